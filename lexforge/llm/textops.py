@@ -88,11 +88,12 @@ def _segments(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int
         i += 1
 
 
-def _hash_segment(data: np.ndarray, starts_at: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Start and hash of every word, and hashes of its first bytes for each length in prefixes."""
+def _hash_segment(data: np.ndarray, starts_at: np.ndarray, parts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Start and hash of every word, and for each k of parts a hash of its first k bytes, of its last -k bytes
+    for a negative k, or for 0 the number of its A-Z."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), [np.zeros(0, np.uint64) for _ in prefixes]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), [np.zeros(0, np.uint64) for _ in parts]
     word = ~_SPACE[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[starts_at] = True
@@ -107,30 +108,37 @@ def _hash_segment(data: np.ndarray, starts_at: np.ndarray, prefixes: tuple[int,
     np.cumsum(_LOWER[data] * power[:n], out=total[1:])
     back = inverse[starts]
     hashes = mix((total[ends] - total[starts]) * back)
-    heads = [mix((total[np.minimum(starts + k, ends)] - total[starts]) * back + np.uint64(k)) for k in prefixes]
-    return starts, hashes, heads
-
-
-def word_hashes(column: pa.Array | pa.ChunkedArray, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(first document, word hashes, offsets by document, hashes of prefixes) for runs of whole documents."""
+    found = []
+    for k in parts:
+        if k > 0:
+            found.append(mix((total[np.minimum(starts + k, ends)] - total[starts]) * back + np.uint64(k)))
+        elif k < 0:
+            at = np.maximum(ends + k, starts)
+            found.append(mix((total[ends] - total[at]) * inverse[at] + np.uint64(1000 - k)))
+        else:
+            capitals = np.cumsum(np.append(np.int32(0), (data >= 65) & (data <= 90)), dtype=np.int32)
+            found.append((capitals[ends] - capitals[starts]).astype(np.uint64))
+    return starts, hashes, found
+
+
+def word_hashes(column: pa.Array | pa.ChunkedArray, parts: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(first document, word hashes, offsets by document, what parts asks for) for runs of whole documents."""
     raw, offs = text_buffer(column)
     held: list[tuple[np.ndarray, list[np.ndarray]]] = []
     for i, j, a, b in _segments(raw, offs):
         inner = offs[i:j] - a if j > i + 1 or a == offs[i] else np.zeros(0, np.int64)
-        starts, hashes, heads = _hash_segment(raw[a:b], np.clip(inner, 0, b - a), prefixes)
+        starts, hashes, heads = _hash_segment(raw[a:b], np.clip(inner, 0, b - a), parts)
         if j == i + 1 and (b < offs[j] or held):
             held.append((hashes, heads))
             if b < offs[j]:
                 continue
             hashes = np.concatenate([h for h, _ in held])
-            heads = [np.concatenate([x[k] for _, x in held]) for k in range(len(prefixes))]
+            heads = [np.concatenate([x[k] for _, x in held]) for k in range(len(parts))]
             held = []
             yield i, hashes, np.array([0, len(hashes)]), heads
             continue
         bounds = np.searchsorted(starts, np.append(offs[i:j], offs[j]) - a, side="left")
         yield i, hashes, bounds, heads
-    if len(offs) > 1 and not len(raw):
-        yield 0, np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), [np.zeros(0, np.uint64) for _ in prefixes]
 
 
 def held_out(doc_id: Column) -> Column:
