@@ -61,9 +61,10 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     size = word_count(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    # floor(log2) of the size in quarters of an octave, from exact comparisons with a fixed list of bounds
-    bounds = F.array(*[F.lit(int(2 ** (k / 4))) for k in range(8, 161)])
-    rows = rows.withColumn("_class", F.size(F.filter(bounds, lambda b: b <= F.col("size")))).withColumn("_part", F.substring("_key", 1, digits))
+    # the size's number of binary digits and the two after the first: quarters of an octave, without rounding
+    digits_of = F.bin("size")
+    octave = F.length(digits_of) * 4 + F.coalesce(F.conv(F.substring(F.concat(digits_of, F.lit("00")), 2, 2), 2, 10).cast("int"), F.lit(0))
+    rows = rows.withColumn("_class", octave).withColumn("_part", F.substring("_key", 1, digits))
     cells = rows.groupBy("source", "_class", "_part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     along = Window.partitionBy("source").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
@@ -98,11 +99,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents
-), bounds AS (SELECT CAST(floor(pow(2.0, i / 4.0)) AS BIGINT) AS b FROM range(8, 161) t(i)
-), sizes AS (SELECT DISTINCT size FROM d
-), classes AS (SELECT size, (SELECT count(*) FROM bounds WHERE b <= size) AS c FROM sizes
+), sizes AS (SELECT DISTINCT size, bin(size) || '00' AS b FROM d
+), classes AS (SELECT size, (length(b) - 2) * 4 + substr(b, 2, 1)::INT * 2 + substr(b, 3, 1)::INT AS c FROM sizes
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
-), w AS (SELECT source, source_size, [5.0, 2.0, 1.0]::DOUBLE[][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s
+), w AS (SELECT source, source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s
 ), e AS (SELECT *, source_size * 3 / weight AS edge FROM w
 ), l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY edge, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY edge, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM e
