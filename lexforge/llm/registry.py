@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, language, mixing, quality, toxicity
+from . import bpe, html, language, mixing, ngram_join, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [bpe.op2_bpe, quality.op3_quality, bpe.op5_token_counts, language.op7_language, toxicity.op8_toxicity, mixing.op9_mixing, html.op10_html]
+    found = [ngram_join.op1_ngram_join, bpe.op2_bpe, quality.op3_quality, bpe.op5_token_counts, language.op7_language, toxicity.op8_toxicity, mixing.op9_mixing, html.op10_html]
     return {f.__name__: f for f in found}
 
 
