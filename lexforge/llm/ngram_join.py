@@ -444,3 +444,23 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB SQL for op1_ngram_join, by an inverted list of all shingles.
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 5 THEN [array_to_string(x, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')))) END AS g FROM w
+), h AS (SELECT doc_id, len(g) AS n, md5(array_to_string(g, '|')) AS k, g FROM s
+), d AS (SELECT k, min(doc_id) AS doc_id, any_value(n) AS n, any_value(g) AS g FROM h WHERE n > 0 GROUP BY k
+), p AS (SELECT doc_id, n, unnest(g) AS t FROM d
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.t = b.t AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT h.doc_id, h.n::BIGINT AS n_shingles, coalesce(c.component_id, h.doc_id)::BIGINT AS component_id
+FROM h LEFT JOIN d ON d.k = h.k AND h.n > 0 LEFT JOIN c ON c.a = d.doc_id
+"""
