@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct pieces whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class PrefixTable:
@@ -38,16 +38,22 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         """Extends the table; what it already holds stays valid."""
-        ranks, longest, fits = self.bpe.ranks, self.bpe.longest, self.bpe.fits
+        rank, reach, known, fits = self.bpe.ranks.get, self.bpe.reach.get, self.bpe.known_fits.get, self.bpe.fits
         data = self.data = self.data + more
         last, width = self.last, self.width
         for end in range(len(last), len(data) + 1):
-            for size in range(min(end, longest), 0, -1):
-                token = ranks.get(data[end - size : end])
-                if token is not None and (size == end or fits(last[end - size], token)):
-                    last.append(token)
-                    width.append(size)
-                    break
+            for size in range(min(end, reach(data[max(end - 2, 0) : end], 1)), 0, -1):
+                token = rank(data[end - size : end])
+                if token is None:
+                    continue
+                if size < end:
+                    before = last[end - size]
+                    good = known(before << 20 | token)
+                    if not (fits(before, token) if good is None else good):
+                        continue
+                last.append(token)
+                width.append(size)
+                break
 
     def truncate(self, size: int) -> None:
         """Goes back to the first size bytes."""
@@ -71,12 +77,15 @@ class Bpe:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for data, rank in self.ranks.items():
             self.token[rank] = data
-        self.longest = max(map(len, self.ranks))
+        self.reach: dict[bytes, int] = {}  # the longest token that ends in two given bytes
+        for data in self.ranks:
+            if len(data) > 1:
+                self.reach[data[-2:]] = max(self.reach.get(data[-2:], 1), len(data))
         self.pieces = regex.compile(pattern).findall
         self.halves: list[tuple[int, int]] = [(-1, -1)] * len(self.token)
         for data, rank in self.ranks.items():
             self.halves[rank] = self._halves(data, rank)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known_fits: dict[int, bool] = {}
         self._memory: dict[str, tuple[int, ...]] = {}
 
     def _halves(self, data: bytes, rank: int) -> tuple[int, int]:
@@ -95,12 +104,12 @@ class Bpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging by rank keeps a boundary between the two tokens."""
-        key = (left, right)
-        known = self._fits.get(key)
+        key = left << 20 | right
+        known = self.known_fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[key] = self._boundary(left, right)
+            if len(self.known_fits) > 1_000_000:
+                self.known_fits.clear()
+            known = self.known_fits[key] = self._boundary(left, right)
         return known
 
     def _boundary(self, left: int, right: int) -> bool:
