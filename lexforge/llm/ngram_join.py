@@ -7,10 +7,11 @@ subsets), all others put their prefix with k = 1 in inverted lists, which the la
 small and large is where enumerating costs more than scanning, from the sizes and list lengths of the input.
 
 The global order puts frequent shingles last.  Frequency is read from a sketch of fixed size over all documents; it
-steers cost only, since any fixed order gives the same links.  Equal sets become one node first.  A first round tries
-links in each list to one node only and joins what it finds into clusters; the second round tries all pairs of a list
-whose clusters differ, so that a group of thousands of near copies never becomes all its pairs.  Candidates pass a
-bitmap bound that loses no link, and the rest are verified on whole sets.  Nothing is capped, dropped or sampled.
+steers cost only, since any fixed order gives the same links.  Equal sets become one node first.  A first round links
+near copies that share a minimum of their hashes to one of them and joins what it finds into clusters; the second
+round, which finds every other link, tries all pairs of a list whose clusters differ, so that a group of thousands of
+near copies never becomes all its pairs.  Candidates pass a bitmap bound that loses no link, and the rest are verified
+on whole sets.  Nothing is capped, dropped or sampled.
 
 Results: null or empty text, or white space only, gives n_shingles 0, linked with nothing.  A null id is linked with
 nothing and has a null component.  Rows that share an id belong to one component; repeated rows give repeated rows.
@@ -18,7 +19,7 @@ nothing and has a null component.  Rows that share an id belong to one component
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .textops import mix, word_hashes, written
+from .textops import forget, mix, word_hashes, written
 
 WORDS = 5
 #: Counters of the sketch; its size does not depend on the input.
-COUNTERS = 1 << 18
-_SLICE = 1 << 14
+COUNTERS = 1 << 20
+_SLICE = 1 << 15
 _BINS = 1024
 #: Postings that one group of buckets holds, about.
 POSTINGS = 400_000
+#: Minima of differently mixed hashes by which the first round finds clusters.
+MINIMA = 4
 #: What a candidate pair costs, in postings.
 PAIR_COST = 8.0
 _NOWHERE = np.uint32(0xFFFFFFFF)
@@ -158,7 +161,7 @@ def frequent(sketch: np.ndarray) -> np.ndarray:
     middle = float(np.median(sketch))
     spread = 1.4826 * float(np.median(np.abs(sketch - middle)))
     over = np.maximum(sketch - middle, 1)
-    return np.where(over > max(64.0, 8 * spread), 1 + np.log2(over), 0).astype(np.uint8)
+    return np.where(over > max(16.0, 5 * spread), 1 + np.log2(over), 0).astype(np.uint8)
 
 
 def boundary(sketch: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> int:
@@ -176,15 +179,16 @@ def boundary(sketch: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> int:
     return best
 
 
-def profiles(docs: DataFrame, level: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, prefix, bits) of every document: size, signature, first shingles in the order, bitmap."""
-    sent = docs.sparkSession.sparkContext.broadcast(level)  # 256 KB
+def profiles(docs: DataFrame, sketch: np.ndarray, level: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, node, prefix, bits, minima, shared) of every document: size, signature, first shingles in the order,
+    bitmap, the least of its hashes under each of a few mixings, and how full its shingles' counters are on average."""
+    sent = docs.sparkSession.sparkContext.broadcast((level, np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)))  # 5 MB
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
+        level, full = sent.value
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1)):
-                sizes, nodes, prefixes, bits = [], [], [], []
+                sizes, nodes, prefixes, bits, minima, shared = [], [], [], [], [], []
                 for s in sets:
                     n = len(s)
                     sizes.append(n)
@@ -192,33 +196,44 @@ def profiles(docs: DataFrame, level: np.ndarray, id_col: str, text_col: str) ->
                     if not n:
                         prefixes.append(b"")
                         bits.append(b"")
+                        minima.append([])
+                        shared.append(0.0)
                         continue
-                    late = level[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    minima.append([int(mix(s * f).min().view(np.int64)) for f in _FACTORS[:MINIMA]])
+                    counters = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+                    shared.append(float(full[counters].mean()))
+                    late = level[counters]
                     hot = np.flatnonzero(late)
                     if len(hot):
                         s = np.concatenate([s[late == 0], s[hot[np.lexsort((s[hot], late[hot]))]]])
                     prefixes.append(s[: n - int(least_overlap(n)) + 2].tobytes())
                     bits.append(bitmap(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n", "node", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(shared, pa.float64())], names=["doc_id", "n", "node", "prefix", "bits", "minima", "shared"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("shared", T.DoubleType())])
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(made, schema)
 
 
-def keys_of(prefix: np.ndarray, n: int, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and their places: pairs of the longer prefix for small sets, single shingles for those that a
-    large set may meet.  A place of _NOWHERE says nothing."""
-    keys, places = [], []
+def keys_of(prefix: np.ndarray, n: int, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set, their places, and the two shingles before them: pairs of the longer prefix for small sets, single
+    shingles for those that a large set may meet.  A place of _NOWHERE and a shingle of 0 say nothing."""
+    keys, places, before = [], [], []
     if n <= small and len(prefix) >= 2:
         i, j = np.triu_indices(len(prefix), 1)
         a, b = prefix[i], prefix[j]
         keys.append(mix(np.minimum(a, b) * np.uint64(3) + np.maximum(a, b) * np.uint64(7) + np.uint64(1)))
         places.append(np.full(len(i), _NOWHERE, np.uint32))
+        before.append(np.zeros((len(i), 2), np.uint64))
     if 5 * n >= 4 * small:
         p = n - int(least_overlap(n)) + 1
         keys.append(mix(prefix[:p] + np.uint64(2)))
         places.append(np.arange(p, dtype=np.uint32))
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        last = np.zeros((p, 2), np.uint64)
+        last[1:, 0], last[2:, 1] = prefix[: p - 1], prefix[: max(p - 2, 0)]
+        before.append(last)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros((0, 2), np.uint64)
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(before)
 
 
 def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
@@ -229,35 +244,37 @@ def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
         heads: list[tuple[int, int, int]] = []
         keys: list[np.ndarray] = []
         places: list[np.ndarray] = []
+        befores: list[np.ndarray] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not heads:
                 return
-            key, place = np.concatenate(keys), np.concatenate(places)
+            key, place, before = np.concatenate(keys), np.concatenate(places), np.concatenate(befores)
             owner = np.repeat(np.arange(len(heads), dtype=np.uint32), [len(k) for k in keys])
             table = np.array(heads, np.int64)
             bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            key, place, owner, bucket = key[order].astype(np.uint32), place[order], owner[order], bucket[order]
+            key, place, before, owner, bucket = key[order].astype(np.uint32), place[order], before[order], owner[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out: list[list[object]] = [[] for _ in range(7)]
+            out: list[list[object]] = [[] for _ in range(8)]
             for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
                 used, local = np.unique(owner[a:b], return_inverse=True)
                 part = table[used]
-                for column, value in zip(out, (int(bucket[a]), part[:, 0].tobytes(), part[:, 1].astype(np.uint32).tobytes(), part[:, 2].tobytes(), key[a:b].tobytes(), local.astype(np.uint32).tobytes(), place[a:b].tobytes()), strict=True):
+                for column, value in zip(out, (int(bucket[a]), part[:, 0].tobytes(), part[:, 1].astype(np.uint32).tobytes(), part[:, 2].tobytes(), key[a:b].tobytes(), local.astype(np.uint32).tobytes(), place[a:b].tobytes(), before[a:b].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=FORM_NAMES)
-            heads.clear(), keys.clear(), places.clear()
+            heads.clear(), keys.clear(), places.clear(), befores.clear()
 
         for batch in batches:
             for node, n, prefix, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, p = keys_of(np.frombuffer(prefix, np.uint64), n, small)
+                k, p, b = keys_of(np.frombuffer(prefix, np.uint64), n, small)
                 if not len(k):
                     continue
                 heads.append((node, n, label))
                 keys.append(k)
                 places.append(p)
+                befores.append(b)
                 count += len(k)
                 if count > 3_000_000:
                     yield from flush()
@@ -267,13 +284,13 @@ def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
     return nodes.select("node", "n", "prefix", "label").mapInArrow(packed, FORM)
 
 
-FORM = "bucket long, nodes binary, sizes binary, labels binary, keys binary, owners binary, places binary"
-FORM_NAMES = ["bucket", "nodes", "sizes", "labels", "keys", "owners", "places"]
+FORM = "bucket long, nodes binary, sizes binary, labels binary, keys binary, owners binary, places binary, befores binary"
+FORM_NAMES = ["bucket", "nodes", "sizes", "labels", "keys", "owners", "places", "befores"]
 
 
 def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, node, n, label, place of a bucket's postings in lists of two nodes or more, sorted by key."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """key, node, n, label, place, before of a bucket's postings in lists of two nodes or more, sorted by key."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     for row in table.to_pylist():
         owner = np.frombuffer(row["owners"], np.uint32)
         columns[0].append(np.frombuffer(row["keys"], np.uint32))
@@ -281,7 +298,8 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
         columns[2].append(np.frombuffer(row["sizes"], np.uint32)[owner].astype(np.int64))
         columns[3].append(np.frombuffer(row["labels"], np.int64)[owner])
         columns[4].append(np.frombuffer(row["places"], np.uint32))
-    key, node, n, label, place = (np.concatenate(c) for c in columns)
+        columns[5].append(np.frombuffer(row["befores"], np.uint64).reshape(-1, 2))
+    key, node, n, label, place, before = (np.concatenate(c) for c in columns)
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = k[1:] == k[:-1]
@@ -289,7 +307,7 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
     keep[1:] |= same
     keep[:-1] |= same
     order = order[keep]
-    return key[order], node[order], n[order], label[order], place[order]
+    return key[order], node[order], n[order], label[order], place[order], before[order]
 
 
 def _may_link(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -311,28 +329,25 @@ def _pairs(node: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.
 PAIRS = "a long, b long, na long, nb long"
 
 
-def stars(table: pa.Table) -> pa.Table:
-    """In each list, candidates between the smallest node of a size class and the others of the class, for two
-    overlapping divisions into classes."""
-    key, node, n, _, place = _lists(table.select(FORM_NAMES))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for shift in (0.0, 0.5) if len(key) else ():
-        size = np.floor(np.log(np.maximum(n, 1)) / np.log(1.2) + shift).astype(np.int64)
-        order = np.lexsort((node, size, key))
-        k, s = key[order], size[order]
-        starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
-        hub = order[np.repeat(starts, np.diff(np.append(starts, len(k))))]
-        good = (node[hub] != node[order]) & _may_link(n, place, hub, order)
-        left.append(hub[good])
-        right.append(order[good])
-    return _pairs(node, n, np.concatenate(left), np.concatenate(right))
+def stars(nodes: DataFrame) -> DataFrame:
+    """Candidates between nodes that share a minimum and one such node of like size, for two overlapping divisions of
+    sizes: a few for each node, found by partial aggregation.  Near copies share most minima; the one that stands in
+    the middle is that whose shingles most others have, as the text has from which the others were made."""
+    classes = F.array(*[F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + shift) * 2 + k for k, shift in enumerate((0.0, 0.5))])
+    keyed = nodes.select("node", "n", "shared", F.posexplode("minima").alias("k", "least"), classes.alias("classes")).select("node", "n", "shared", F.explode("classes").alias("size"), "k", "least")
+    hubs = keyed.groupBy("k", "least", "size").agg(F.min(F.struct((-F.col("shared")).alias("order"), "node", "n")).alias("hub"))
+    pairs = keyed.join(hubs, ["k", "least", "size"]).filter(F.col("node") != F.col("hub.node"))
+    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
 
 
 def crossings(table: pa.Table) -> pa.Table:
-    """In each list, candidates between any two nodes of different clusters."""
-    key, node, n, label, place = _lists(table.select(FORM_NAMES))
+    """In each list, candidates between any two nodes of different clusters.
+
+    Two nodes need to meet in the list of the first shingle of the order that they share; where one of the two shingles
+    before the list's is the same in both, they share an earlier one, and the pair is left to that one's list."""
+    key, node, n, label, place, before = _lists(table.select(FORM_NAMES))
     order = np.lexsort((n, label, key))
-    key, node, n, label, place = key[order], node[order], n[order], label[order], place[order]
+    key, node, n, label, place, before = key[order], node[order], n[order], label[order], place[order], before[order]
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(key):
         new_key = np.append(True, key[1:] != key[:-1])
@@ -350,7 +365,13 @@ def crossings(table: pa.Table) -> pa.Table:
             i = np.repeat(at[part], count[part])
             first = np.cumsum(count[part]) - count[part]
             j = np.repeat(run_ends[part] - first, count[part]) + np.arange(len(i))
-            good = (node[i] != node[j]) & _may_link(n, place, i, j)
+            good = np.flatnonzero((node[i] != node[j]) & _may_link(n, place, i, j))
+            i, j = i[good], j[good]
+            earlier = np.zeros(len(i), bool)
+            for x in (0, 1):
+                for y in (0, 1):
+                    earlier |= (before[i, x] == before[j, y]) & (before[i, x] != 0)
+            good = ~earlier
             left.append(i[good])
             right.append(j[good])
             step = end
@@ -364,14 +385,29 @@ def _within_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of sets, but for those whose ends this task has joined already."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+        for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
+            a, b = root(a), root(b)
+            if a == b:
+                keep.append(False)
+                continue
             s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(s) > len(t):
                 s, t = t, s
             shared = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
             keep.append(100 * shared >= 80 * (len(s) + len(t) - shared))
+            if keep[-1]:
+                parent[a] = b
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -394,7 +430,9 @@ def links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     sets = texts.mapInArrow(_sets, schema).join(shown, (F.col("doc_id") == F.col("want_id")) & (F.col("node") == F.col("want")), "left_semi").dropDuplicates(["node"]).select("node", "shingles")
     sets = written(sets, "sets")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return written(full.mapInArrow(_verified, "a long, b long"), "linked")
+    linked = written(full.mapInArrow(_verified, "a long, b long"), "linked")
+    forget(near), forget(sets)
+    return linked
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, small: int | None = None) -> DataFrame:
@@ -404,18 +442,18 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     small = boundary(sketch, level, sizes) if small is None else small
     total = int(sketch.sum())
     buckets = buckets or max(1, -(-total // 5 // POSTINGS))
-    base = written(profiles(docs, level, id_col, text_col), "profiles")
+    base = written(profiles(docs, sketch, level, id_col, text_col), "profiles")
     # one row for each distinct set, shown by the smallest id that has it
     owners = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = written(base.filter("n > 0").join(owners, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "n", "prefix", "bits"), "nodes")
-
-    def candidates(labelled: DataFrame, pairs: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return postings(labelled, small, buckets).groupBy("bucket").applyInArrow(pairs, PAIRS)
-
-    first = links(candidates(nodes.withColumn("label", F.col("node")), stars), nodes, docs, id_col, text_col)
+    nodes = written(base.filter("n > 0").join(owners, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "n", "prefix", "bits", "minima", "shared"), "nodes")
+    wide, base = base, written(base.select("doc_id", "n", "node"), "documents")
+    forget(wide)
+    first = links(stars(nodes), nodes, docs, id_col, text_col)
     clusters = written(components(first), "clusters")
     labelled = nodes.join(clusters, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("label"))
-    second = links(candidates(labelled, crossings), nodes, docs, id_col, text_col)
+    crossed = postings(labelled, small, buckets).groupBy("bucket").applyInArrow(crossings, PAIRS)
+    second = links(crossed, nodes, docs, id_col, text_col)
+    forget(nodes)
     # an id with several rows joins their sets
     shared = base.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count_distinct("node").alias("k"))
     twice = base.filter("n > 0").join(shared.filter("k > 1"), "doc_id").select("a", F.col("node").alias("b"))
