@@ -51,8 +51,9 @@ def best_partial(a: str, b: str, enough: float = 100.0) -> float:
     n, best, letters = len(a), 0.0, set(a)
     for start in range(1 - n, len(b)):
         lo, hi = max(0, start), min(len(b), start + n)
-        # an optimal window begins and ends on a letter of the shorter string, unless an end of the longer cuts it
-        if (start > 0 and b[lo] not in letters and hi < len(b)) or (hi < len(b) and b[hi - 1] not in letters):
+        # a window that does not end on a letter of the shorter string is no better than the one before it, and one
+        # that the end of the longer string cuts must begin on one
+        if (b[hi - 1] if start + n <= len(b) else b[lo]) not in letters:
             continue
         best = max(best, indel_ratio(a, b[lo:hi]))
         if best >= enough:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons
 from ..functions import validation as V
 from ..functions.strings import column
+from ..session import cut_lineage
 from .relational import token_cost
 
 Message = "struct<role:string,content:string>"
@@ -187,16 +188,16 @@ def annotate(rows: DataFrame, backend: Backend, *, stage: int, repairer: Backend
 
     state = validated(out).withColumn(f"{p}_attempts", F.lit(1)).withColumn(f"{p}_cost", token_cost(F.col(f"{p}_tokens_in"), F.col(f"{p}_tokens_out")))
     state = state.withColumn(f"{p}_failed", F.col("parse_error").isNotNull())
-    state = state.drop("messages", f"{p}_raw", f"{p}_tokens_in", f"{p}_tokens_out").checkpoint()
+    state = cut_lineage(state.drop("messages", f"{p}_raw", f"{p}_tokens_in", f"{p}_tokens_out"))
     base = state.columns
     done, bad = state.filter(f"valid or {p}_failed"), state.filter(f"not valid and not {p}_failed")
     # what can be mended without a model costs no attempt
     if not bad.isEmpty():
-        tried = validated(mended(bad).drop("errors", "auto_fixed", "valid")).checkpoint()
+        tried = cut_lineage(validated(mended(bad).drop("errors", "auto_fixed", "valid")))
         good = tried.filter("valid and repaired").select(*base)
         keys = good.select("row_idx")
         done = done.unionByName(good)
-        bad = bad.join(keys, "row_idx", "left_anti").checkpoint()
+        bad = cut_lineage(bad.join(keys, "row_idx", "left_anti"))
         for k in range(repairs):
             if bad.isEmpty():
                 break
@@ -210,7 +211,7 @@ def annotate(rows: DataFrame, backend: Backend, *, stage: int, repairer: Backend
             for f, old in kept.items():  # an answer that cannot be read changes nothing but the errors
                 read = read.withColumn(f, F.when(unread, F.col(old)).otherwise(F.col(f)))
             checked = validated(mended(read.drop("errors", "auto_fixed", "valid")))
-            checked = checked.withColumn(f"{p}_attempts", F.lit(k + 2)).select(*base).checkpoint()
+            checked = cut_lineage(checked.withColumn(f"{p}_attempts", F.lit(k + 2)).select(*base))
             done = done.unionByName(checked.filter("valid"))
             bad = checked.filter("not valid")
         ended = validated(bad.withColumn("parse_error", F.lit(None).cast("string")).drop("errors", "auto_fixed", "valid"))
@@ -225,7 +226,7 @@ def process(rows: DataFrame, backend: Backend, *, repairer: Backend | None = Non
     from ..functions.cleaning import clean_text
     from .routing import status_of
 
-    own = rows.withColumn("cleaned_text", cleaned if cleaned is not None else clean_text("text")).checkpoint()
+    own = cut_lineage(rows.withColumn("cleaned_text", cleaned if cleaned is not None else clean_text("text")))
     gone = own.filter("cleaned_text is null").withColumn("status", F.lit("filtered"))
     first = annotate(own.filter("cleaned_text is not null"), backend, stage=1, repairer=repairer, shots=shots, wording=wording)
     failed = first.filter("not s1_valid").withColumn("status", F.when(F.col("s1_failed"), "failed").otherwise("review"))
@@ -244,7 +245,7 @@ def predict(rows: DataFrame, backend: Backend, *, text: str = "text", repairer:
     own = rows.withColumn("cleaned_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     if "row_idx" not in own.columns:
         own = own.withColumn("row_idx", F.monotonically_increasing_id())
-    first = annotate(own.checkpoint(), backend, stage=1, repairer=repairer)
+    first = annotate(cut_lineage(own), backend, stage=1, repairer=repairer)
     failed = first.filter("not s1_valid").withColumn("error", F.when(F.col("s1_failed"), F.lit("stage1 failed")).otherwise(F.lit("stage1 repair failed")))
     second = annotate(first.filter("s1_valid"), backend, stage=2, repairer=repairer)
     ended = second.withColumn("error", F.when(F.col("s2_failed"), F.lit("stage2 failed")).when(~F.col("s2_valid"), F.lit("stage2 repair failed")))

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons
 from ..functions.strings import any_of, blank, text_key, token_set
-
-#: Rows of the smaller side up to which a semi or anti join is sent to all executors.
-BROADCAST_ROWS = 1_000_000
+from ..session import cut_lineage
 
 
 def source_filter(rows: DataFrame, names: list[str], col: str = "source") -> DataFrame:
@@ -107,7 +105,7 @@ def minhash_candidates(rows: DataFrame, threshold: float, *, text: str = "text",
 def keep_first_independent(ids: DataFrame, edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     """ids (one column idx) that a pass in order keeps: a row goes if, and only if, an earlier row that is kept is its
     neighbour (edges: earlier, later).  Each round decides rows all of whose earlier neighbours are decided."""
-    open_edges = edges.select("earlier", "later").distinct().checkpoint()
+    open_edges = cut_lineage(edges.select("earlier", "later").distinct())
     gone: DataFrame | None = None
     for _ in range(rounds):
         if open_edges.isEmpty():
@@ -115,10 +113,10 @@ def keep_first_independent(ids: DataFrame, edges: DataFrame, *, rounds: int = 20
         # rows without an open earlier neighbour are kept; their later neighbours go
         waiting = open_edges.select(F.col("later").alias("idx")).distinct()
         kept = open_edges.select(F.col("earlier").alias("idx")).distinct().join(waiting, "idx", "left_anti")
-        dropped = open_edges.join(kept.withColumnRenamed("idx", "earlier"), "earlier", "left_semi").select(F.col("later").alias("idx")).distinct().checkpoint()
-        gone = dropped if gone is None else gone.unionByName(dropped).checkpoint()
+        dropped = cut_lineage(open_edges.join(kept.withColumnRenamed("idx", "earlier"), "earlier", "left_semi").select(F.col("later").alias("idx")).distinct())
+        gone = cut_lineage(dropped if gone is None else gone.unionByName(dropped))
         left = open_edges.join(dropped.withColumnRenamed("idx", "earlier"), "earlier", "left_anti").join(dropped.withColumnRenamed("idx", "later"), "later", "left_anti")
-        open_edges = left.join(kept.withColumnRenamed("idx", "earlier"), "earlier", "left_anti").checkpoint()
+        open_edges = cut_lineage(left.join(kept.withColumnRenamed("idx", "earlier"), "earlier", "left_anti"))
     return ids if gone is None else ids.join(gone, "idx", "left_anti")
 
 

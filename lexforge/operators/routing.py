@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import blank, column
+from ..session import cut_lineage
 from .relational import distribution, quality_gate, running_total
 
 # The columns of results and of the final data.
@@ -114,10 +115,8 @@ def merge(parts: list[DataFrame], *, order: str = "sample_id", least_ratio: floa
 def number(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     """rows numbered from 1 in an order, by sorted partitions and the counts of those before: the rows are sorted
     across all tasks, only one count for each partition is put in order."""
-    spark = rows.sparkSession
-    sorted_rows = rows.orderBy(*order)
-    placed = sorted_rows.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else placed.cache()
+    placed = rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    placed = cut_lineage(placed)  # partition numbers must not change between the two uses
     counts = placed.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_lo"))
     before = counts.select(F.col("_p").alias("_q"), "_lo", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(out, F.col("_m") - F.col("_lo") + F.col("_before") + 1).drop("_p", "_q", "_m", "_lo", "_before")
