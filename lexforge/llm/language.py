@@ -83,11 +83,12 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse_table(step: np.ndarray) -> np.ndarray:
-    """Flat table of where each (state, class) leads, states multiplied by the width; where the phrase must end, the
-    state that starts the next phrase, with ~ on it (~x is negative)."""
+    """Flat table of where each (state, class) leads, states multiplied by the width; where a phrase begins, ~ of the
+    state that it begins with (negative).  State 0 is before any phrase and after a character that occurs nowhere."""
     width = step.shape[1]
-    start = np.maximum(step[0], 0)
-    return np.where(step >= 0, step * width, ~(start[None, :] * width)).astype(np.int32).ravel()
+    first = ~np.where(step[0] >= 0, (step[0] + 1) * width, 0)
+    inside = np.where(step >= 0, (step + 1) * width, first[None, :])
+    return np.concatenate([first[None, :], inside]).astype(np.int32).ravel()
 
 
 @dataclass
@@ -137,15 +138,15 @@ class Model:
         padded = np.append(chars, np.zeros(BLOCK, chars.dtype))
         grid = padded[start[None, :] + np.arange(longest)[:, None]].astype(np.int32)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for t in range(longest):
                 m = lanes[t]
                 s = state[:m]
                 s += grid[t, :m]
                 np.take(table, s, out=s, mode="clip")
-                ended = s >> 31  # -1 where a phrase ends, else 0
-                s ^= ended
-                count[:m] -= ended
+                begun = s >> 31  # -1 where a phrase begins, else 0
+                s ^= begun
+                count[:m] -= begun
             out[:, k] = np.bincount(owner, weights=count, minlength=n)
         return out
 

@@ -42,15 +42,23 @@ def words_of(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarr
         yield first, np.stack([(h & mask).astype(np.int32) for h in (words, *(mix(x + np.uint64(21)) for x in heads))], axis=1), bounds
 
 
-def padded(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents one after another, each with a pad per width less one and at least one row; and where they start."""
-    gap = np.full((max(WIDTHS) - 1, len(_PARTS) + 1), _PAD, np.int32)
-    starts, parts, at = [], [], 0
-    for c in cells:
-        starts.append(at)
-        parts += [c, gap]
-        at += len(c) + len(gap)
-    return np.concatenate([*parts, gap]), np.array(starts)
+def padded(cells: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of documents one after another with as many pads after each as the widest filter, where each begins, and
+    which rows a filter may start on: the words, or the first pad of a document without any."""
+    gap, count = max(WIDTHS), np.diff(bounds)
+    n = len(count)
+    starts = bounds[:-1] - bounds[0] + gap * np.arange(n)
+    whole = np.full((int(bounds[-1] - bounds[0]) + gap * n + gap, cells.shape[1]), _PAD, np.int32)
+    at = np.arange(int(bounds[-1] - bounds[0])) + gap * np.repeat(np.arange(n), count)
+    whole[at] = cells[bounds[0] : bounds[-1]]
+    live = np.zeros(len(whole), bool)
+    live[at] = True
+    live[starts] = True
+    return whole, starts, live
+
+
+def joined(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return padded(np.concatenate(cells), np.concatenate([[0], np.cumsum([len(c) for c in cells])]))
 
 
 @dataclass
@@ -63,7 +71,7 @@ class Model:
     langs: np.ndarray
     shifts: np.ndarray
 
-    def pooled(self, cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def pooled(self, cells: np.ndarray, starts: np.ndarray, live: np.ndarray) -> np.ndarray:
         """The largest response of every filter in every document."""
         out, size = [], len(cells) - max(WIDTHS) + 1
         x = self.table[cells[:, 0]]
@@ -73,6 +81,7 @@ class Model:
             response = x[:size] @ kernel[0]
             for k in range(1, width):
                 response += x[k : size + k] @ kernel[k]
+            response[~live[:size]] = -np.inf
             out.append(np.maximum(np.maximum.reduceat(response, starts, axis=0) + offset, 0))
         return np.concatenate(out, axis=1)
 
@@ -89,13 +98,7 @@ class Model:
         out = np.zeros(len(column))
         for first, cells, bounds in words_of(column):
             n = len(bounds) - 1
-            # pads go in where documents end
-            gap = max(WIDTHS) - 1
-            whole = np.full((len(cells) + gap * (n + 1), cells.shape[1]), _PAD, np.int32)
-            starts = bounds[:-1] + gap * np.arange(n)
-            owner = np.repeat(np.arange(n), np.diff(bounds))
-            whole[np.arange(len(cells)) + gap * owner] = cells
-            logit = self.pooled(whole, starts) @ self.dense + self.bias
+            logit = self.pooled(*padded(cells, bounds)) @ self.dense + self.bias
             out[first : first + n] = logit + self.shifts[self.language(cells[:, 0], bounds)]
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
@@ -134,10 +137,10 @@ def train(cells: list[np.ndarray], y: np.ndarray, *, rounds: int = 4, batch: int
     for _ in range(rounds):
         for at in rng.permutation(range(0, len(order), batch)):
             rows = order[at : at + batch]
-            ids, starts = padded([cells[r] for r in rows])
+            ids, starts, _ = joined([cells[r] for r in rows])
             size = len(ids) - max(WIDTHS) + 1
             x = table[ids].sum(axis=1)
-            ends = np.append(starts[1:], size)
+            ends = starts + np.maximum([len(cells[r]) for r in rows], 1)
             peaks, pooled = [], []
             for width, kernel, offset in zip(WIDTHS, kernels, offsets, strict=True):
                 response = x[:size] @ kernel[0]
@@ -232,8 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, bound: int
     logit, guess = np.zeros(len(check)), np.zeros(len(check), np.int64)
     for at in range(0, len(check), 64):
         part = [x[k] for k in check[at : at + 64]]
-        ids, starts = padded(part)
-        logit[at : at + 64] = model.pooled(ids, starts) @ model.dense + model.bias
+        logit[at : at + 64] = model.pooled(*joined(part)) @ model.dense + model.bias
         guess[at : at + 64] = [int(model.language(c[:, 0], np.array([0, len(c)]))[0]) for c in part]
     known = y[check]
     shared = best_cut(logit, known)
