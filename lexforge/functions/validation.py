@@ -1,7 +1,7 @@
 """Checks and normal forms of structured annotations.
 
-Each validator splits its rows: what built-in expressions decide stays in the JVM, and only rows whose spans or
-categories need fuzzy matching reach the Arrow functions.
+What built-in expressions decide is decided in the JVM; the Arrow functions get nulls for those rows and pass over
+them, so only spans and categories that need fuzzy matching cost time there, and plans stay linear.
 """
 
 from __future__ import annotations
@@ -104,11 +104,10 @@ def fuzzy_category(categories: list[str] | None = None):  # noqa: ANN201
 
 
 def normal_category(rows: DataFrame, raw: str, out: str, categories: list[str] | None = None) -> DataFrame:
-    """rows with the normal category; only rows without a plain match are compared letter by letter."""
-    marked = rows.withColumn(out, known_category(raw, categories))
-    plain = marked.filter(F.col(out).isNotNull() | blank(raw))
-    rest = marked.filter(F.col(out).isNull() & ~blank(raw)).withColumn(out, fuzzy_category(categories)(F.col(raw)))
-    return plain.unionByName(rest)
+    """rows with the normal category; only texts without a plain match are compared letter by letter."""
+    plain = known_category(raw, categories)
+    near = fuzzy_category(categories)(F.when(plain.isNull() & ~blank(raw), column(raw)))
+    return rows.withColumn(out, F.coalesce(plain, near))
 
 
 def consistent(stance: Column | str, opinion: Column | str) -> Column:
@@ -121,7 +120,6 @@ def consistent(stance: Column | str, opinion: Column | str) -> Column:
 def grounding(rows: DataFrame, span: str, text: str, out: str, threshold: float = SPAN_F1) -> DataFrame:
     """rows with out: a struct of grounded and, where it is not, the closest run of words (or null)."""
     plain = plainly_grounded(span, text, threshold)
-    kind = "struct<grounded:boolean,closest:string>"
 
     @F.pandas_udf("grounded boolean, closest string")
     def fuzzy(s: pd.Series, t: pd.Series) -> pd.DataFrame:
@@ -131,9 +129,9 @@ def grounding(rows: DataFrame, span: str, text: str, out: str, threshold: float
             found.append((good, None if good else closest_window(a, b)))
         return pd.DataFrame(found, columns=["grounded", "closest"])
 
-    done = rows.filter(plain).withColumn(out, F.struct(F.lit(True).alias("grounded"), F.lit(None).cast("string").alias("closest")).cast(kind))
-    rest = rows.filter(~plain).withColumn(out, fuzzy(F.col(span), F.col(text)).cast(kind))
-    return done.unionByName(rest)
+    near = fuzzy(F.when(~plain, column(span)), F.when(~plain, column(text)))
+    marked = rows.withColumn("_plain", plain).withColumn("_near", near)
+    return marked.withColumn(out, F.struct((F.col("_plain") | F.col("_near.grounded")).alias("grounded"), F.col("_near.closest").alias("closest"))).drop("_plain", "_near")
 
 
 def validate_first(rows: DataFrame, text: str = "text", target: str = "aspect_target", category: str = "aspect_category", opinion: str = "opinion_span", categories: list[str] | None = None) -> DataFrame:
@@ -195,9 +193,8 @@ def repair_plainly(rows: DataFrame, text: str = "text", spans: tuple[str, ...] =
 
     for span in spans:
         absent = F.coalesce(column(span) != "", F.lit(False)) & ~F.coalesce(F.contains(F.lower(column(text)), F.lower(column(span))), F.lit(False))
-        there = out.filter(~absent)
-        mended = out.filter(absent).withColumn("_close", closest_span(F.col(span), F.col(text))).withColumn("repaired", F.col("repaired") | F.col("_close").isNotNull()).withColumn(span, F.coalesce("_close", span)).drop("_close")
-        out = there.unionByName(mended)
+        out = out.withColumn("_close", closest_span(F.when(absent, column(span)), F.when(absent, column(text))))
+        out = out.withColumn("repaired", F.col("repaired") | F.col("_close").isNotNull()).withColumn(span, F.coalesce("_close", span)).drop("_close")
     return out
 
 

@@ -140,7 +140,7 @@ def resolve_links(rows: DataFrame, pages: DataFrame, *, text: str = "text", key:
     found = rows.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(links(text))).alias("_url")).filter(link_importance("_url", "_t", keywords) >= least)
     wanted = found.select("_url").distinct().join(pages.select(F.col("url").alias("_url"), "html"), "_url")
     known = wanted.dropDuplicates(["_url"]).select("_url", page_gist("html").alias("_gist")).filter("_gist <> ''")
-    each = found.select(key, "_url").join(known, "_url").groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct(-F.length("_url"), "_url", "_gist"))).alias("_known"))
+    each = found.select(key, "_url").join(known, "_url").groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct((-F.length("_url")).alias("l"), "_url", "_gist"))).alias("_known"))
     joined = rows.join(each, F.col(key) == F.col("_k"), "left")
     # an opened link must not be read as a link again
     filled = F.aggregate(F.coalesce("_known", F.array().cast("array<struct<l:int,_url:string,_gist:string>>")), F.col(text), lambda t, x: F.replace(t, x["_url"], F.concat(F.lit("["), x["_gist"], F.lit("]"))))
@@ -151,7 +151,7 @@ def resolve_mentions(rows: DataFrame, profiles: DataFrame, *, text: str = "text"
     """rows with @handles replaced by the names in profiles (handle, name), or left as they are."""
     handles = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)@\w+"), F.lit(0)))
     found = rows.select(key, F.explode(handles).alias("_h")).join(profiles.select(F.concat(F.lit("@"), F.regexp_replace("handle", "^@", "")).alias("_h"), "name"), "_h")
-    each = found.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct(-F.length("_h"), "_h", "name"))).alias("_known"))
+    each = found.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct((-F.length("_h")).alias("l"), "_h", "name"))).alias("_known"))
     joined = rows.join(each, F.col(key) == F.col("_k"), "left")
     filled = F.aggregate(F.coalesce("_known", F.array().cast("array<struct<l:int,_h:string,name:string>>")), F.col(text), lambda t, x: F.replace(t, x["_h"], x["name"]))
     return joined.withColumn(text, filled).drop("_k", "_known")
