@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textops import written
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct pieces whose ids a worker remembers; the memory is emptied when full.
 REMEMBERED = 600_000
@@ -288,4 +290,5 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    # the histogram is small and read twice: written, so that the texts are encoded once
+    return suffix_sums(written(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "histogram"))
