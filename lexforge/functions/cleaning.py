@@ -10,12 +10,12 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lexicons
-from .strings import blank, column, replace_tokens, squeeze, strip, words
+from .strings import blank, column, literal_map, squeeze, strip, words
 
 # What counts as a deleted post, a link, a mention and repeated content.
 DELETED = r"(?iU)^\s*\[(deleted|removed)\]\s*$"
@@ -82,11 +82,12 @@ def drop_hash_signs(text: Column | str) -> Column:
 
 def expand_abbreviations(text: Column | str, slang: dict[str, str] | None = None, acronyms: dict[str, str] | None = None) -> Column:
     """Words that are abbreviations but for outer punctuation become what they stand for, slang before acronyms."""
-    table = (acronyms if acronyms is not None else lexicons.ACRONYMS) | (slang if slang is not None else lexicons.SLANG)
-    tokens = words(text)
-    keys = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), r"^[.,!?;:()]+|[.,!?;:()]+$", ""))
-    values = replace_tokens(keys, table)
-    return F.array_join(F.zip_with(F.arrays_zip(tokens.alias("t"), keys.alias("k")), values, lambda p, v: F.when(F.array_contains(F.lit(list(table)), p["k"]), v).otherwise(p["t"])), " ")
+    table = literal_map((acronyms if acronyms is not None else lexicons.ACRONYMS) | (slang if slang is not None else lexicons.SLANG))
+
+    def expanded(token: Column) -> Column:
+        return F.coalesce(F.try_element_at(table, F.regexp_replace(F.lower(token), r"^[.,!?;:()]+|[.,!?;:()]+$", "")), token)
+
+    return F.array_join(F.transform(words(text), expanded), " ")
 
 
 def drop_numbers(text: Column | str) -> Column:
@@ -151,7 +152,15 @@ def clean_text(text: Column | str, *, unescape: bool = True, emoji: bool = False
     if repeats:
         out = squeeze_repeats(out)
     out = squeeze(out)
-    keep = ~empty_or_deleted(t) & long_enough(out, least)
+    # bound to a lambda's argument, the cleaned text is computed once for the test and the result
+    out = F.get(F.transform(F.array(out), lambda o: F.when(long_enough(o, least), o)), F.lit(0))
+    keep = ~empty_or_deleted(t)
     if in_language:
         keep &= in_language(out)
     return F.when(keep, out)
+
+
+def cleaned_rows(rows: DataFrame, text: str = "text", out: str = "cleaned_text", **options: object) -> DataFrame:
+    """rows with their cleaned text, without those that cleaning drops.  A generator holds the text, so that it is
+    computed once for the test and the result."""
+    return rows.select("*", F.explode(F.array_compact(F.array(clean_text(text, **options)))).alias(out))

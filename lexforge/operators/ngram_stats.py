@@ -26,11 +26,15 @@ def count_ngrams(rows: DataFrame, *, text: str = "text", most: int = 2, unescape
     words = words_of("line", unescape=unescape)
     lines = rows.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(words.alias("w"))
 
+    def before(k: int) -> Column:
+        """The word k places before each word, or a start; arrays are zipped, so each is made once a line."""
+        return F.slice(F.concat(F.array(*[F.lit(START)] * k), F.col("w")), F.lit(1), F.size("w")) if k else F.col("w")
+
     def grams(n: int) -> Column:
-        padded = F.concat(F.array(*[F.lit(START)] * (n - 1)), F.col("w")) if n > 1 else F.col("w")
-        size = F.size(padded) - (n - 1)
-        found = F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(padded, i, n), "_"))
-        return F.transform(F.when(size >= 1, found).otherwise(F.array().cast("array<string>")), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+        found = before(0)
+        for k in range(1, n):
+            found = F.zip_with(before(k), found, lambda a, b: F.concat(a, F.lit("_"), b))
+        return F.transform(found, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
     parts = [grams(n) for n in range(1, most + 1)]
     return lines.select(F.explode(F.concat(*parts)).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("cnt"))

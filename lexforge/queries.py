@@ -168,8 +168,7 @@ _cleaned("sorted_punctuation", patterns.sort_punctuation, None)
 
 @query()
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "documents").withColumn("cleaned", cleaning.clean_text("text"))
-    return done.filter("cleaned is not null").select("doc_id", F.md5("cleaned").alias("digest"))
+    return cleaning.cleaned_rows(table(spark, sf_dir, "documents")).select("doc_id", F.md5("cleaned_text").alias("digest"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '^\\s*(\\[([dD][eE][lL][eE][tT][eE][dD]|[rR][eE][mM][oO][vV][eE][dD])\\]\\s*)?$') AND length(text) >= 20")

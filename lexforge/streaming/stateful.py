@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.cleaning import clean_text
+from ..functions.cleaning import cleaned_rows
 from ..functions.strings import text_key
 
 
 def cleaned(stream: DataFrame, text: str = "text") -> DataFrame:
     """The stream with cleaned_text, without what cleaning drops."""
-    return stream.withColumn("cleaned_text", clean_text(text)).filter(F.col("cleaned_text").isNotNull())
+    return cleaned_rows(stream, text)
 
 
 def unique(stream: DataFrame, *, text: str = "text", time: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -59,6 +59,8 @@ def test_steps(spark, step, given, expected):
 def test_clean_text(spark):
     out = one(spark, cleaning.clean_text, "Idk what &amp; why!!! @you http://a.b/c is here here now 12", "short", None, "[deleted]")
     assert out == ["I do not know what & why! is here now", None, None, None]
+    rows = spark.createDataFrame([(1, "a text that is long enough"), (2, "short"), (3, None)], "k int, text string")
+    assert [tuple(r) for r in cleaning.cleaned_rows(rows).collect()] == [(1, "a text that is long enough", "a text that is long enough")]
 
 
 @pytest.mark.parametrize("name", [n for n in patterns.PATTERNS if n not in ("emoji", "ltr_face", "rtl_face", "eastern_emoticons")])
