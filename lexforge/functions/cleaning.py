@@ -129,6 +129,17 @@ def long_enough(text: Column | str, least: int = LEAST_LENGTH) -> Column:
     return F.char_length(column(text)) >= least
 
 
+def common_word_share(text: Column | str, common: tuple[str, ...] = ("the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "was", "with", "are", "be", "this", "a")) -> Column:
+    """The share of words that are among a language's most common ones; 0 without words."""
+    tokens = F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"(?U)^\W+|\W+$", ""))
+    return F.coalesce(F.try_divide(F.aggregate(tokens, F.lit(0), lambda n, w: n + F.when(w.isin(*common), 1).otherwise(0)), F.size(tokens)), F.lit(0.0))
+
+
+def in_common_words(least: float = 0.1) -> Callable[[Column], Column]:
+    """A test for clean_text(in_language=...): keeps texts with enough common words, and those too short to tell."""
+    return lambda text: (common_word_share(text) >= least) | (F.size(words(text)) < 4)
+
+
 def clean_text(text: Column | str, *, unescape: bool = True, emoji: bool = False, social: Callable[[Column], Column] | None = None, repair: Callable[[Column], Column] | None = None, numbers: bool = True, repeats: bool = True, abbreviations: bool = True, least: int = LEAST_LENGTH, in_language: Callable[[Column], Column] | None = None) -> Column:
     """The cleaned text, or null where nothing usable is left.
 

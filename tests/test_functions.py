@@ -181,3 +181,24 @@ def test_pairwise_in_range(spark, raw):
     rows = spark.createDataFrame([tuple([x / sum(r) for x in r] for r in raw)], "p array<double>, q array<double>")
     made = rows.select(*[c.alias(n) for n, c in judgment.pairwise_predictions("p", "q").items()]).first()
     assert all(-1 <= v <= 1 for v in made)
+
+
+def test_language_test(spark):
+    texts = ["The cat is on the mat with a hat", "Der Hund und die Katze auf der Matte", "ja nein", None]
+    assert one(spark, lambda c: F.coalesce(cleaning.in_common_words()(c), F.lit(False)), *texts) == [True, False, True, False]
+
+
+def test_review_checks(spark):
+    rows = spark.createDataFrame([("the big shelter", "big shelter", "qqqq", "odd", "HATE", "")], "text string, aspect_target string, opinion_span string, aspect_category string, stance string, explanation string")
+    assert validation.review_checks(rows).first().checks == ["✓ aspect_target", "✗ opinion_span", "✗ aspect_category", "✓ stance"]
+    fixed = validation.repair_plainly(rows, spans=("aspect_target", "opinion_span")).first()
+    assert not fixed.repaired and fixed.opinion_span == "qqqq"
+    near = validation.repair_plainly(rows.withColumn("aspect_target", F.lit("big sheltr")).withColumn("aspect_category", F.lit("public safety"))).first()
+    assert near.repaired and near.aspect_target == "big shelter" and near.aspect_category == "Public Safety"
+
+
+def test_sql_functions(spark):
+    from lexforge.functions import similarity
+
+    similarity.register(spark)
+    assert spark.sql("SELECT indel_ratio('abc', 'abd') AS r, partial_ratio('abc', 'xxabcxx') AS p").first() == (pytest.approx(200 * 2 / 6), 100.0)
