@@ -26,7 +26,7 @@ from .textops import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct pieces whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 
 
 class PrefixTable:
@@ -109,7 +109,7 @@ class Bpe:
         key = left << 20 | right
         known = self.known_fits.get(key)
         if known is None:
-            if len(self.known_fits) > 1_000_000:
+            if len(self.known_fits) > 500_000:
                 self.known_fits.clear()
             known = self.known_fits[key] = self._boundary(left, right)
         return known

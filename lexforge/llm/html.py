@@ -38,6 +38,8 @@ MARKS = re.compile(
     r"pagination|pager|copyright|disclaimer|login|signin|signup|search|searchbox|contentinfo|complementary)\Z"
 )
 COMMENT = re.compile(r"(?:comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|reviews?)\Z")
+#: Words of a class that say what the element has around it, not what it is.
+AROUND = frozenset(("has", "no", "with", "without", "layout"))
 _CUTS = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -72,8 +74,9 @@ class Lines(HTMLParser):
     def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
             return True
+        inside = any(t in ("article", "main") for t, _ in self.open)
         if tag == "header":
-            return not any(t in ("article", "main") for t, _ in self.open)
+            return not inside
         if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
@@ -81,8 +84,10 @@ class Lines(HTMLParser):
                 return True
             if value and name in ("class", "id", "role", "aria-label", "itemprop"):
                 marks = COMMENT if tag == "article" else MARKS
-                if any(marks.match(w.lower()) for w in _CUTS.split(value) if w):
-                    return True
+                for one in value.split():
+                    words = [w.lower() for w in _CUTS.split(one) if w]
+                    if AROUND.isdisjoint(words) and any(marks.match(w) and not (w == "header" and inside) for w in words):
+                        return True
         return False
 
     def leave(self, tag: str) -> None:

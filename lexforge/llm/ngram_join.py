@@ -276,7 +276,7 @@ def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
                 places.append(p)
                 befores.append(b)
                 count += len(k)
-                if count > 3_000_000:
+                if count > 1_000_000:
                     yield from flush()
                     count = 0
         yield from flush()

@@ -401,6 +401,8 @@ def test_mix_comes_near_targets(spark):
         ("<body><nav><ul><li>a</ul><article><p class=ad>buy<p>Text  one.<br>more</p><p>b</p><section class='comments'><p>c</p></section></article></body>", "Text one. more\n\nb"),
         ("<body><header>top</header><div class='cookie-notice'>We use</div><div id=content><h2>Hi &amp; <i>you</i></h2><p>Long text here with many words in one line, really long text.<p>ok<form>name</form><aside>s</aside></div><footer>x</footer>", "Hi & you\n\nLong text here with many words in one line, really long text.\n\nok"),
         ("<html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><article><header><h1>H</h1></header><p>Body text that is long enough.</p><div class='advert'>buy</div><p>s</p></article></body></html>", "H\n\nBody text that is long enough.\n\ns"),
+        ("<body class='has-sidebar'><div class='content-with-sidebar'><div class='mainMenu'>menu</div><p>The text of this page is here.</p><p>b</p></div><div id='sidebar'>side</div></body>", "The text of this page is here.\n\nb"),
+        ("<main><div class='article-header'><h1>T</h1></div><p>Enough text for a line of content.</p><div class='comments-container'><div class='comment'>no</div></div></main>", "T\n\nEnough text for a line of content."),
     ],
 )
 def test_main_text(page, text):
