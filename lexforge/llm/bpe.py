@@ -26,7 +26,9 @@ from .textops import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct pieces whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
+#: Bytes of a piece whose table is remembered too, and how many such tables.
+HEAD, HEADS = 5, 50_000
 
 
 class PrefixTable:
@@ -44,7 +46,9 @@ class PrefixTable:
         data = self.data = self.data + more
         last, width = self.last, self.width
         for end in range(len(last), len(data) + 1):
-            for size in range(min(end, reach(data[max(end - 2, 0) : end], 1)), 0, -1):
+            for size in reach(data[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
+                if size > end:
+                    continue
                 token = rank(data[end - size : end])
                 if token is None:
                     continue
@@ -57,6 +61,13 @@ class PrefixTable:
                 width.append(size)
                 break
 
+    def extended(self, more: bytes) -> PrefixTable:
+        """The table of a longer string; this one stays as it is."""
+        longer = PrefixTable.__new__(PrefixTable)
+        longer.bpe, longer.data, longer.last, longer.width = self.bpe, self.data, self.last[:], self.width[:]
+        longer.append(more)
+        return longer
+
     def truncate(self, size: int) -> None:
         """Goes back to the first size bytes."""
         self.data = self.data[:size]
@@ -79,16 +90,18 @@ class Bpe:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for data, rank in self.ranks.items():
             self.token[rank] = data
-        self.reach: dict[bytes, int] = {}  # the longest token that ends in two given bytes
+        self.reach: dict[bytes, list[int]] = {}  # lengths of the tokens of three bytes and more by their last three
         for data in self.ranks:
-            if len(data) > 1:
-                self.reach[data[-2:]] = max(self.reach.get(data[-2:], 1), len(data))
+            if len(data) > 2:
+                self.reach.setdefault(data[-3:], []).append(len(data))
+        self.reach = {ending: [*sorted(set(sizes), reverse=True), 2, 1] for ending, sizes in self.reach.items()}
         self.pieces = regex.compile(pattern).findall
         self.halves: list[tuple[int, int]] = [(-1, -1)] * len(self.token)
         for data, rank in self.ranks.items():
             self.halves[rank] = self._halves(data, rank)
         self.known_fits: dict[int, bool] = {}
         self._memory: dict[str, tuple[int, ...]] = {}
+        self._heads: dict[bytes, PrefixTable] = {}
 
     def _halves(self, data: bytes, rank: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; the token itself, twice, for a byte."""
@@ -131,13 +144,24 @@ class Bpe:
             else:
                 return True
 
+    def table(self, data: bytes) -> PrefixTable:
+        """The prefix table of a piece, grown from that of its first bytes, which many pieces share."""
+        if len(data) <= HEAD:
+            return PrefixTable(self, data)
+        head = self._heads.get(data[:HEAD])
+        if head is None:
+            if len(self._heads) >= HEADS:
+                self._heads.clear()
+            head = self._heads[data[:HEAD]] = PrefixTable(self, data[:HEAD])
+        return head.extended(data[HEAD:])
+
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
         found = self._memory.get(text)
         if found is None:
             data = text.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(PrefixTable(self, data).ids())
+            found = (whole,) if whole is not None else tuple(self.table(data).ids())
             if len(self._memory) >= REMEMBERED:
                 self._memory.clear()
             if len(text) <= 64:
