@@ -358,9 +358,9 @@ def crossings(table: pa.Table) -> pa.Table:
         count = key_ends - run_ends
         live = np.flatnonzero(count)
         step = 0
-        while step < len(live):  # a few million pairs at a time
+        while step < len(live):  # half a million pairs at a time, to bound memory
             reach = np.cumsum(count[live[step:]])
-            end = step + max(1, int(np.searchsorted(reach, 2_000_000, side="right")))
+            end = step + max(1, int(np.searchsorted(reach, 500_000, side="right")))
             part = live[step:end]
             i = np.repeat(at[part], count[part])
             first = np.cumsum(count[part]) - count[part]
