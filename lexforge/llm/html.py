@@ -38,6 +38,16 @@ MARKS = re.compile(
     r"pagination|pager|copyright|disclaimer|login|signin|signup|search|searchbox|contentinfo|complementary)\Z"
 )
 COMMENT = re.compile(r"(?:comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|reviews?)\Z")
+#: Marks that are no words of articles.  Inside an article only these drop an element by its class; other marks, and
+#: ids, which are often the slugs of headings, need the ratio as well.
+SURE = re.compile(r"(?:ads?|adverts?|advertis\w+|adslot|adbox|sponsor\w*|newsletter|sidebar|menubar|navbar|nav|breadcrumbs?|comments?|commentlist|disqus|widgets?|toolbar|pagination|pager|searchbox|signin|signup|contentinfo|complementary)\Z")
+ROLES = _WORDS("navigation search complementary contentinfo menubar toolbar".split())
+#: Words that a name can have besides its marks, and those that it can have besides marks that are sure.
+NEUTRAL = re.compile(r"(?:\d+|container|wrap|wrapper|box|block|area|section|list|items?|inner|outer|main|site|top|bottom|left|right|primary|secondary|global|sticky|fixed|mobile|desktop|bar|row|col|column|panel|module|group|links?|posts|stories)\Z")
+OWNERS = re.compile(r"(?:post|article|entry|story|blog|user|reader|page|content)\Z")
+HEADINGS = _WORDS("h1 h2 h3 h4 h5 h6".split())
+#: A region with a doubtful name is boilerplate if it has fewer characters a tag than this and than the content's cut.
+FEW = 20
 #: Words of a class that say what the element has around it, not what it is.
 AROUND = frozenset(("has", "no", "with", "without", "layout"))
 _CUTS = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
@@ -63,6 +73,8 @@ class Lines(HTMLParser):
         self.line = Line(self.regions)
         self.drop, self.depth, self.remarks = "", 0, False
         self.main = False
+        self.doubt = False
+        self.doubtful: set[int] = set()
 
     def cut(self) -> None:
         if self.line.parts or self.line.tags:
@@ -79,15 +91,28 @@ class Lines(HTMLParser):
             return not inside
         if tag in ("html", "body", "main"):
             return False
+        self.doubt = False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
                 return True
+        if tag in HEADINGS or inside and tag not in BLOCK:
+            return False
+        for name, value in attrs:
             if value and name in ("class", "id", "role", "aria-label", "itemprop"):
-                marks = COMMENT if tag == "article" else MARKS
                 for one in value.split():
                     words = [w.lower() for w in _CUTS.split(one) if w]
-                    if AROUND.isdisjoint(words) and any(marks.match(w) and not (w == "header" and inside) for w in words):
+                    marks = [w for w in words if MARKS.match(w) and not (w == "header" and inside)]
+                    if not marks or not AROUND.isdisjoint(words):
+                        continue
+                    sure = any(SURE.match(w) for w in marks)
+                    whole = all(w in marks or NEUTRAL.match(w) or sure and OWNERS.match(w) for w in words)
+                    if tag == "article":  # a comment in or after the page's article
+                        if whole and name == "class" and self.main and any(COMMENT.match(w) and SURE.match(w) for w in marks):
+                            return True
+                    elif name == "role" and one in ROLES or whole and (name == "class" and (sure or not inside) or name in ("id", "role") and not inside and tag != "section"):
                         return True
+                    elif whole or not inside:
+                        self.doubt = True
         return False
 
     def leave(self, tag: str) -> None:
@@ -107,6 +132,7 @@ class Lines(HTMLParser):
                 self.depth += tag == self.drop
                 return
             self.drop = ""
+        self.doubt = False
         if tag not in VOID and self.boilerplate(tag, attrs):
             if tag in BLOCK:
                 self.cut()
@@ -118,9 +144,11 @@ class Lines(HTMLParser):
                 self.leave(self.open[-1][0])
             self.cut()
             number = 0
-            if tag in REGION and tag != "body":
+            if (tag in REGION or self.doubt) and tag not in VOID and tag != "body":
                 number = len(self.names)
                 self.names[number] = tag
+                if self.doubt:
+                    self.doubtful.add(number)
                 self.regions += (number,)
                 self.main |= tag in ("article", "main")
             if tag not in VOID and tag not in ("html", "body"):
@@ -171,15 +199,34 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content(lines: list[Line], names: dict[int, str]) -> list[Line]:
+def cut_of(flat: list[float]) -> float:
+    """The smoothed ratio that makes a line content."""
+    mean = sum(flat) / len(flat)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in flat) / len(flat))
+    return max(CUT * spread, 0.25 * mean)
+
+
+def undoubted(lines: list[Line], doubtful: set[int]) -> list[Line]:
+    """The lines without the regions of doubtful name that have few characters a tag."""
+    sizes = {r: [0, 0] for r in doubtful}
+    for x in lines:
+        for r in doubtful.intersection(x.regions):
+            sizes[r][0] += len(x.text)
+            sizes[r][1] += x.tags
+    least = min(FEW, cut_of(smoothed([len(x.text) / max(1, x.tags) for x in lines])))
+    gone = {r for r, (size, tags) in sizes.items() if size < least * max(1, tags)}
+    return [x for x in lines if gone.isdisjoint(x.regions)]
+
+
+def content(lines: list[Line], names: dict[int, str], doubtful: set[int]) -> list[Line]:
     """The lines of the regions that hold the content."""
+    if lines and doubtful:
+        lines = undoubted(lines, doubtful)
     if not lines:
         return []
-    ratio = [len(x.text) / max(1, x.tags) for x in lines]
-    flat = smoothed(ratio)
-    mean = sum(flat) / len(flat)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in flat) / len(flat))
-    chosen = [v >= CUT * spread and v >= 0.25 * mean for v in flat]
+    flat = smoothed([len(x.text) / max(1, x.tags) for x in lines])
+    cut = cut_of(flat)
+    chosen = [v >= cut for v in flat]
     # regions by the text that the content lines have in them
     weight: dict[int, int] = {}
     for x, good in zip(lines, chosen, strict=True):
@@ -214,7 +261,7 @@ def main_text(html: str | None) -> str:
         parser.feed(html.replace("<![", "&lt;!["))
         parser.close()
     parser.cut()
-    return "\n\n".join(x.text for x in content(parser.lines, parser.names))
+    return "\n\n".join(x.text for x in content(parser.lines, parser.names, parser.doubtful))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -409,6 +409,33 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "A sentence with enough words in it to be the content of a page. " * 5
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<h2 id='related-work'>Related work</h2>",
+        "<h2 class='reviews'>Reviews</h2>",
+        "<section id='discussion'><h3>Discussion</h3><p>We discuss what was found in the trial.</p></section>",
+        "<section id='side-effects'><ul><li>Nausea</li><li>Fever</li></ul></section>",
+        "<div itemprop='reviewBody'><p>The book reads well from start to end.</p></div>",
+        "<div class='notice'><p>Read this before the first use of the device.</p></div>",
+        "<pre>x = 1 <span class='comment'># one</span></pre>",
+    ],
+)
+def test_names_drop_no_article_text(inner):
+    plain = html.main_text(f"<article><p>{LONG}</p>{re.sub(r' (id|class|itemprop)=.*?>', '>', inner)}<p>{LONG}</p></article>")
+    assert plain.count("\n\n") >= 2 and html.main_text(f"<article><p>{LONG}</p>{inner}<p>{LONG}</p></article>") == plain
+
+
+def test_names_drop_boilerplate():
+    assert html.main_text(f"<body><article class='post category-reviews tag-discussion'><p>{LONG}</p></article></body>") == LONG.strip()
+    links = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+    for named in ("<div class='post-comments'><p>I agree with all that has been said here.</p></div>", f"<div id='related-posts'>{links}</div>", f"<div class='share'>{links}</div>", "<article class='comment'><p>I agree with all that has been said here.</p></article>"):
+        assert html.main_text(f"<body><article><p>{LONG}</p>{named}</article></body>") == LONG.strip()
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (1, None, None, "t"), (None, "v", "<p>é", "t")], "page_id long, url string, html string, text string")
     assert Counter(tuple(r) for r in html.extract(pages).collect()) == Counter([(1, "u", "a b", 3), (1, None, "", 0), (None, "v", "é", 1)])
