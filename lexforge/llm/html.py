@@ -240,9 +240,8 @@ def content(lines: list[Line], names: dict[int, str], doubtful: set[int]) -> lis
             return [x for x in lines if set(x.regions) & (inner or marked)]
     if any(names[r] == "article" for x in lines for r in x.regions):
         return [x for x in lines if any(names[r] == "article" for r in x.regions)]
-    # no marked region: the innermost one with nearly all of the content's text
-    total = weight.get(0, 0)
-    best = max((r for r in weight if weight[r] >= 0.7 * total), default=0)
+    # no marked region: the innermost one with all content lines
+    best = max(set.intersection(*(set(x.regions) for x, good in zip(lines, chosen, strict=True) if good)), default=0) if any(chosen) else 0
     held = [k for k, x in enumerate(lines) if best in x.regions]
     good = [k for k in held if chosen[k]]
     return [lines[k] for k in held if good and good[0] <= k <= good[-1]] if best == 0 else [lines[k] for k in held]

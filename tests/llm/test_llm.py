@@ -436,6 +436,13 @@ def test_names_drop_boilerplate():
         assert html.main_text(f"<body><article><p>{LONG}</p>{named}</article></body>") == LONG.strip()
 
 
+@pytest.mark.parametrize("page", ["<div id=content><section><p>{}</p></section><section><p>{}</p></section></div>", "<body><p>{}</p><div><p>{}</p></div></body>", "<body><div><p>{}</p></div><p>{}</p></body>"])
+@pytest.mark.parametrize("sizes", [(7, 3), (3, 7), (9, 1)])
+def test_regions_with_little_of_the_content(page, sizes):
+    parts = [" ".join(["Sentences of some seventy characters make up the paragraphs of pages."] * k) for k in sizes]
+    assert html.main_text(page.format(*parts)) == "\n\n".join(parts)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (1, None, None, "t"), (None, "v", "<p>é", "t")], "page_id long, url string, html string, text string")
     assert Counter(tuple(r) for r in html.extract(pages).collect()) == Counter([(1, "u", "a b", 3), (1, None, "", 0), (None, "v", "é", 1)])
