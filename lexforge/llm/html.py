@@ -227,20 +227,16 @@ def content(lines: list[Line], names: dict[int, str], doubtful: set[int]) -> lis
     flat = smoothed([len(x.text) / max(1, x.tags) for x in lines])
     cut = cut_of(flat)
     chosen = [v >= cut for v in flat]
-    # regions by the text that the content lines have in them
-    weight: dict[int, int] = {}
-    for x, good in zip(lines, chosen, strict=True):
-        if good:
-            for r in x.regions:
-                weight[r] = weight.get(r, 0) + len(x.text)
-    for kinds in (("main",), ("article",)):
-        marked = {r for r in weight if names[r] in kinds}
-        if marked:
-            inner = {r for r in weight if names[r] == "article" and any(r in x.regions and marked & set(x.regions) for x in lines)} if kinds == ("main",) else set()
-            return [x for x in lines if set(x.regions) & (inner or marked)]
-    if any(names[r] == "article" for x in lines for r in x.regions):
-        return [x for x in lines if any(names[r] == "article" for r in x.regions)]
-    # no marked region: the innermost one with all content lines
+    holding = {r for x, good in zip(lines, chosen, strict=True) if good for r in x.regions}
+    articles = {r for x in lines for r in x.regions if names[r] == "article"}
+    mains = {r for x in lines for r in x.regions if names[r] == "main"}
+    marked = articles | mains
+    if marked and (marked & holding or not holding):
+        # all of the articles; of a main around articles its own lines and those of its regions with content, or else all
+        around = {r for x in lines if not articles.isdisjoint(x.regions) for r in x.regions if r in mains}
+        return [x for x in lines if not articles.isdisjoint(x.regions) or any(r in mains and (r not in around or x.regions[-1] == r or x.regions[-1] in holding) for r in x.regions)]
+    # the innermost region with all content lines and what is marked
+    chosen = [good or not marked.isdisjoint(x.regions) for x, good in zip(lines, chosen, strict=True)]
     best = max(set.intersection(*(set(x.regions) for x, good in zip(lines, chosen, strict=True) if good)), default=0) if any(chosen) else 0
     held = [k for k, x in enumerate(lines) if best in x.regions]
     good = [k for k in held if chosen[k]]

@@ -443,6 +443,25 @@ def test_regions_with_little_of_the_content(page, sizes):
     assert html.main_text(page.format(*parts)) == "\n\n".join(parts)
 
 
+def test_main_around_articles():
+    links = "<div><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul></div>"
+    short = [f"{k}:0" for k in range(6)]
+    page = f"<main><h1>Title</h1><p class=lead>{LONG}</p><article><p>{LONG}</p></article><article>{''.join(f'<p>{x}</p>' for x in short)}</article>{links}</main>"
+    assert html.main_text(page) == "\n\n".join(["Title", LONG.strip(), LONG.strip(), *short])
+
+
+def test_short_articles_between_long_ones():
+    short = [f"<article><h2>Goal</h2><p>{k}:0</p><p>{k}'</p></article>" for k in range(5)]
+    page = f"<body><article><p>{LONG}</p></article>{''.join(short)}<article><p>{LONG}</p></article></body>"
+    assert html.main_text(page) == "\n\n".join([LONG.strip(), *(x for k in range(5) for x in ("Goal", f"{k}:0", f"{k}'")), LONG.strip()])
+
+
+def test_content_outside_of_articles():
+    body = f"<div id=content><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    teaser = "<div>" + "<p><a href=a>More</a></p>" * 4 + "<article><a href=b>Next</a></article></div>"
+    assert html.main_text(f"<body>{body}{teaser}</body>").count(LONG.strip()) == 3
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (1, None, None, "t"), (None, "v", "<p>é", "t")], "page_id long, url string, html string, text string")
     assert Counter(tuple(r) for r in html.extract(pages).collect()) == Counter([(1, "u", "a b", 3), (1, None, "", 0), (None, "v", "é", 1)])
