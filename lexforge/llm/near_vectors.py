@@ -1,8 +1,9 @@
 """Operator 4: near-duplicate embeddings by spherical k-means cells and blocked cosine products.
 
 Centroids are fitted on a bounded sample; every vector is indexed.  A vector lives in the cell of its nearest centroid
-and visits the cells whose centroids are nearly as near (at most VISITS); each cell compares its visitors with its
-residents, block against block, in double precision.  Equal vectors are one node with a count first, so a vector that
+and visits every other cell that the angle between its vector and the plane halfway to that cell's centroid cannot
+exclude, so no pair is lost; of two cells one visits the other.  Each cell compares its visitors with its residents,
+block against block, in double precision.  Equal vectors are one node with a count first, so a vector that
 a third of all rows share costs one comparison.  Groups are joined through a spanning forest of each block, not
 through all their pairs, and the smallest id of a group is kept.
 
@@ -30,11 +31,12 @@ SAMPLE = 16_384
 #: Vectors that a cell should hold, about; there are at most MOST_CELLS cells.
 CELL = 1_500
 MOST_CELLS = 4_096
-#: Cells that a vector visits at most, and how much less near than the nearest they may be.
-VISITS = 8
-MARGIN = 0.3
 #: Rows of a block.
 BLOCK = 2_048
+#: Blocks of visitors that meet a block of residents in one task, so that residents are sent less often.
+TURNS = 8
+#: The sine of the angle that linked vectors have at most.
+SINE = (1 - THRESHOLD**2) ** 0.5
 
 
 def spherical_kmeans(x: np.ndarray, k: int, *, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -56,15 +58,26 @@ def spherical_kmeans(x: np.ndarray, k: int, *, rounds: int = 10, seed: int = 3)
     return c
 
 
-def place(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each unit vector, and the cells it visits, home first and -1 for none."""
-    near = x @ centroids.T
-    width = min(VISITS, near.shape[1])
-    top = np.argpartition(-near, width - 1, axis=1)[:, :width]
-    value = np.take_along_axis(near, top, axis=1)
-    order = np.argsort(-value, axis=1, kind="stable")
-    top, value = np.take_along_axis(top, order, axis=1), np.take_along_axis(value, order, axis=1)
-    return top[:, 0], np.where(value >= value[:, :1] - MARGIN, top, -1)
+def place(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home of each unit vector, and the cells it visits.
+
+    A vector at home in another cell lies beyond the plane halfway between the centroids; where the angle to that plane
+    is above that of linked vectors there is no link.  Of two cells the one that the parity of their numbers tells
+    visits the other, so that all cells have about as many visitors.
+    """
+    number = np.arange(len(centroids))
+    homes, visits = [np.zeros(0, np.int64)], []
+    for at in range(0, len(x), 512):
+        near = x[at : at + 512] @ centroids.T
+        home = near.argmax(axis=1)
+        ahead = near[np.arange(len(home)), home][:, None] - near
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (centroids[home] @ centroids.T)))
+        turn = ((number + home[:, None]) % 2 == 1) == (home[:, None] > number)
+        met = (ahead <= SINE * apart + 1e-6) & turn
+        met[np.arange(len(home)), home] = True
+        homes.append(home)
+        visits += [np.flatnonzero(m) for m in met]
+    return np.concatenate(homes), visits
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -101,6 +114,7 @@ def cosine_links(u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray) -
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     value = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    kind = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64  # sent without loss
     rows = vectors.select(F.col(id_col).alias("id"), F.when(usable(F.col(vector_col)), value).alias("v"))
     live = rows.filter(F.col("id").isNotNull() & F.exists("v", lambda x: x != 0))
     # -0.0 and 0.0 are one value
@@ -130,17 +144,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     home, visits = place(x / length[:, None], c)
                 else:  # vectors of another length have a cell of their own
                     home = np.full(len(x), -2 - int(width))
-                    visits = home[:, None]
+                    visits = list(home[:, None])
                 node = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(home, pa.int64()), pa.array([[int(w) for w in r if w != -1] for r in visits], pa.list_(pa.int64())), pa.array((mix(node.astype(np.int64).view(np.uint64)) % np.uint64(1 << 20)).astype(np.int64))], names=["node", "copies", "x", "home", "visits", "deal"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(home, pa.int64()), pa.array(visits, pa.list_(pa.int64())), pa.array((mix(node.astype(np.int64).view(np.uint64)) % np.uint64(1 << 20)).astype(np.int64))], names=["node", "copies", "x", "home", "visits", "deal"])
 
     cellular = written(nodes.select("node", "copies", "v").mapInArrow(placed, "node long, copies long, x binary, home long, visits array<long>, deal long"), "cells")
     # each cell's residents and visitors are dealt into blocks by a hash, as many as its size asks for
     full = cellular.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("r")).select(F.col("home").alias("cell"), "r")
-    guests = cellular.select("node", F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("g"))
+    guests = cellular.select("node", F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / (TURNS * BLOCK)).alias("g"))
     plan = full.join(guests, "cell")
-    residents = cellular.withColumn("cell", F.col("home")).join(plan, "cell").select("cell", "node", "copies", "x", "home", "visits", F.lit(0).alias("side"), (F.col("deal") % F.col("r")).alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("gb"))
-    visitors = cellular.withColumn("cell", F.explode("visits")).join(plan, "cell").select("cell", "node", "copies", "x", "home", "visits", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("rb"), (F.col("deal") % F.col("g")).alias("gb"))
+    residents = cellular.withColumn("cell", F.col("home")).join(plan, "cell").select("cell", "node", "copies", "x", "home", F.lit(0).alias("side"), (F.col("deal") % F.col("r")).alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("gb"))
+    visitors = cellular.withColumn("cell", F.explode("visits")).join(plan, "cell").select("cell", "node", "copies", "x", "home", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("rb"), (F.col("deal") % F.col("g")).alias("gb"))
 
     def compared(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -148,24 +162,20 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         credit: list[tuple[np.ndarray, np.ndarray]] = []
         edges = [np.zeros((0, 2), np.int64)]
         if own.num_rows and guest.num_rows:
-            xs = [np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(t.num_rows, -1) for t in (own, guest)]
+            xs = [np.frombuffer(b"".join(t.column("x").to_pylist()), kind).astype(np.float64).reshape(t.num_rows, -1) for t in (own, guest)]
             ls = [np.linalg.norm(x, axis=1) for x in xs]
             names = [t.column("node").to_numpy() for t in (own, guest)]
             copies = [t.column("copies").to_numpy() for t in (own, guest)]
             homes = guest.column("home").to_numpy()
             cell = int(table.column("cell")[0].as_py())
-            lists = own.column("visits").to_pylist()
-            seen = np.full((own.num_rows, max(map(len, lists))), -1, np.int64)
-            for k, r in enumerate(lists):
-                seen[k, : len(r)] = r
             for at in range(0, guest.num_rows, 1024):
                 g, o = cosine_links(xs[1][at : at + 1024], xs[0], ls[1][at : at + 1024], ls[0])
                 g += at
                 other = names[1][g] != names[0][o]
                 g, o = g[other], o[other]
                 credit.append((names[1][g], copies[0][o]))
-                # the resident learns of a guest here unless it meets it as a guest of the guest's home
-                away = (homes[g] != cell) & ~(seen[o] == homes[g][:, None]).any(axis=1)
+                # a resident learns here of guests from other cells, which it does not visit
+                away = homes[g] != cell
                 credit.append((names[0][o[away]], copies[1][g[away]]))
                 if len(g):
                     every, local = np.unique(np.concatenate([names[1][g], names[0][o]]), return_inverse=True)

@@ -325,6 +325,33 @@ def test_near_vectors(spark, cells):
     assert near_vectors.keep_representatives(table).schema == table.schema
 
 
+def test_cells_visited_lose_no_link():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    v = np.concatenate([x, 0.91 * x + (1 - 0.91**2) ** 0.5 * y / np.linalg.norm(y, axis=1)[:, None]])
+    home, visits = near_vectors.place(v, near_vectors.spherical_kmeans(v[rng.choice(len(v), 8192, replace=False)], 200))
+    assert all(home[k + len(x)] in visits[k] or home[k] in visits[k + len(x)] for k in range(len(x)))
+
+
+def test_near_vectors_in_many_cells(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    v = np.float32(np.concatenate([x, 0.91 * x + (1 - 0.91**2) ** 0.5 * y]))
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert links.sum() == 6000
+    table = spark.createDataFrame([(k, r.tolist(), 1) for k, r in enumerate(v)], VECTORS)
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(table, cells=200).collect()}
+    assert [got[k].n_links for k in range(6000)] == links.tolist()
+    assert [got[k].component_id for k in range(6000)] == [k % 3000 for k in range(6000)]
+
+
 def test_top_products(spark):
     table, rows = odd_vectors(spark)
     live = [(i, np.floor(256 * np.array(v, float))) for i, v, _ in rows if usable(v)]
