@@ -1,6 +1,7 @@
 """Operator 7: language identification by cross-parsing entropy.
 
-For every language a suffix automaton of labelled text is laid out as a dense table.  A text is cut greedily into the
+For every language a suffix automaton of labelled text is laid out as a dense table over the letters of that text, or,
+when dense tables get too large, as a sorted list of its transitions.  A text is cut greedily into the
 longest phrases that occur in a language's labelled text; the language that needs the fewest phrases, each counted as
 the logarithm of that text's length and divided by the letters read, wins.  Texts are parsed in blocks of BLOCK
 characters, many at once, and a block's end ends a phrase: every character of every text is read.
@@ -23,12 +24,14 @@ from pyspark.sql import types as T
 
 from .textops import held_out, text_buffer
 
-#: Characters of labelled text learned for each language, at most; fewer if there are very many languages.
+#: Characters of labelled text learned for each language, at most, whatever the alphabets and the number of languages.
 LEARNED = 20_000
 #: Cells of all dense tables together, at most.
 CELLS = 16_000_000
 #: Labelled documents read for each language, at most (one for each value of the id's hash modulo this).
 SALTS = 64
+#: Places of a document that its characters are taken from.
+PLACES = 3
 BLOCK = 384
 UNKNOWN = "und"
 
@@ -47,10 +50,9 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return letter, lower
 
 
-def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of a sequence of classes; row 0 is the start, -1 is none."""
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions by class of each state of the suffix automaton of a sequence of classes; row 0 is the start."""
     size = 2 * len(text) + 2
-    step = np.full((size, width), -1, dtype=np.int32)
     length, link, last, used = [0] * size, [-1] * size, 0, 1
     rows: list[dict[int, int]] = [{}]
     for c in text.tolist():
@@ -76,10 +78,42 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return rows
+
+
+def dense(rows: list[dict[int, int]], width: int) -> np.ndarray:
+    """Transitions as a table of states and classes, -1 for none."""
+    step = np.full((len(rows), width), -1, dtype=np.int32)
     for k, row in enumerate(rows):
         for c, to in row.items():
             step[k, c] = to
-    return step[:used]
+    return step
+
+
+@dataclass
+class Sparse:
+    """Sorted keys (state, from 1, times the width, and class), the states that they lead to, and each class's state at
+    a phrase's begin, 0 for none."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    first: np.ndarray
+
+    def next(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a class, and where a phrase begins with it."""
+        key = state * len(self.first) + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        begun = self.keys[at] != key
+        return np.where(begun, self.first[c], self.to[at]), begun
+
+
+def sparse(rows: list[dict[int, int]], width: int) -> Sparse:
+    found = np.array([((k + 1) * width + c, to + 1) for k, row in enumerate(rows) for c, to in row.items()], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    first = np.zeros(width, np.int64)
+    for c, to in rows[0].items():
+        first[c] = to + 1
+    return Sparse(found[:, 0], found[:, 1], first)
 
 
 def parse_table(step: np.ndarray) -> np.ndarray:
@@ -93,12 +127,14 @@ def parse_table(step: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """classes gives a code point's class (0 for what is no letter); bits is the cost of a phrase."""
+    """classes gives a code point's class (0 for what is no letter), local a class's number in each language's table;
+    bits is the cost of a phrase."""
 
     names: list[str]
     classes: np.ndarray
     width: int
-    tables: list[np.ndarray]
+    local: list[np.ndarray]
+    tables: list[np.ndarray | Sparse]
     bits: np.ndarray
 
     def normal(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +174,17 @@ class Model:
         padded = np.append(chars, np.zeros(BLOCK, chars.dtype))
         grid = padded[start[None, :] + np.arange(longest)[:, None]].astype(np.int32)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
+            wide = isinstance(table, Sparse)
+            state, count = np.zeros(len(owner), np.int64 if wide else np.int32), np.zeros(len(owner), np.int32)
+            own = self.local[k][grid]
             for t in range(longest):
                 m = lanes[t]
+                if wide:
+                    state[:m], begun = table.next(state[:m], own[t, :m])
+                    count[:m] += begun
+                    continue
                 s = state[:m]
-                s += grid[t, :m]
+                s += own[t, :m]
                 np.take(table, s, out=s, mode="clip")
                 begun = s >> 31  # -1 where a phrase begins, else 0
                 s ^= begun
@@ -192,36 +234,69 @@ def build(texts: dict[str, str]) -> Model:
     points = {k: np.frombuffer(texts[k].encode("utf-32-le", "surrogatepass"), np.uint32) for k in names}
     found = sorted({int(x) for k in names for x in np.unique(lower[points[k][letter[points[k]]]])})
     width = len(found) + 2  # what is no letter, the letters, other letters
-    classes = np.zeros(0x110000, np.uint16)
+    classes = np.zeros(0x110000, np.int32)
     classes[letter] = width - 1
-    number = np.zeros(0x110000, np.uint16)
+    number = np.zeros(0x110000, np.int32)
     number[found] = np.arange(1, width - 1)
     known = letter & (number[lower] > 0)
     classes[known] = number[lower[known]]
-    budget = max(200, min(LEARNED, CELLS // max(1, 2 * width * len(names))))
-    tables, bits = [], []
+    local, built, bits = [], [], []
     for k in names:
         c = classes[points[k]]
-        c = c[np.append(True, ~((c[1:] == 0) & (c[:-1] == 0)))][:budget]
-        tables.append(parse_table(automaton(c, width)))
+        c = c[np.append(True, ~((c[1:] == 0) & (c[:-1] == 0)))][:LEARNED]
+        own = np.union1d(c, [0])  # what is no letter is 0 here, too, and letters of other languages are the last
+        numbers = np.full(width, len(own), np.int32)
+        numbers[own] = np.arange(len(own))
+        local.append(numbers)
+        built.append((automaton(numbers[c]), len(own) + 1))
         bits.append(np.log2(len(c) + 2))
-    return Model(names, classes, width, tables, np.array(bits))
+    tables: list[np.ndarray | Sparse] = [np.zeros(0, np.int32)] * len(names)
+    left = CELLS
+    for k in sorted(range(len(names)), key=lambda k: len(built[k][0]) * built[k][1]):  # small tables are dense first
+        rows, size = built[k]
+        left -= (len(rows) + 1) * size
+        tables[k] = parse_table(dense(rows, size)) if left >= 0 else sparse(rows, size)
+    return Model(names, classes, width, local, tables, np.array(bits))
+
+
+def spread(text: str, size: int) -> str:
+    """About so many characters of a text, from the middles of its PLACES equal parts; all of it if it is no longer."""
+    if len(text) <= size:
+        return text
+    part = size // PLACES
+    starts = [(2 * k + 1) * len(text) // (2 * PLACES) - part // 2 for k in range(PLACES)]
+    return "\n".join(text[a : a + part] for a in starts)
+
+
+def shared(texts: list[str]) -> str:
+    """LEARNED characters at most of all texts: as many of each as leave room for the others, short ones whole."""
+    low, high = 0, LEARNED
+    while low < high:
+        middle = (low + high + 1) // 2
+        if sum(min(len(t), middle) + PLACES for t in texts) <= LEARNED:
+            low = middle
+        else:
+            high = middle - 1
+    return "\n".join(spread(t, low) for t in texts)
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from a bounded sample of the documents that are not held out and name a language.
 
     For each language and each value of the id's hash modulo SALTS one document is chosen, by partial aggregation;
-    of it LEARNED / 16 characters at most are learned.
+    of it LEARNED / 16 characters at most are read, from PLACES places, and all documents share what is learned.
     """
     usable = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter("i is not null and l is not null and t is not null").filter(~held_out(F.col("i")))
     salted = usable.select("i", "l", F.xxhash64("i").alias("h")).groupBy("l", F.pmod("h", F.lit(SALTS)).alias("s"))
     chosen = salted.agg(F.min(F.struct("h", "i")).alias("m")).select(F.col("m.i").alias("c"), F.col("l").alias("cl"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    picked = usable.join(F.broadcast(chosen), (F.col("i") == F.col("c")) & (F.col("l") == F.col("cl"))).select("l", F.xxhash64("i").alias("h"), F.substring("t", 1, LEARNED // 16).alias("t"))
+    most, n = LEARNED // 16, F.char_length("t")
+    places = [F.col("t").substr((F.floor(n * (2 * k + 1) / (2 * PLACES)) - most // PLACES // 2 + 1).cast("int"), F.lit(most // PLACES)) for k in range(PLACES)]
+    part = F.when(n <= most, F.col("t")).otherwise(F.concat_ws("\n", *places))
+    picked = usable.join(F.broadcast(chosen), (F.col("i") == F.col("c")) & (F.col("l") == F.col("cl"))).select("l", F.xxhash64("i").alias("h"), part.alias("t"))
     for row in picked.collect():
         texts.setdefault(row["l"], []).append((row["h"], row["t"]))
-    return build({k: "\n".join(t for _, t in sorted(v)) for k, v in texts.items()})
+    return build({k: shared([t for _, t in sorted(v)]) for k, v in texts.items()})
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -267,6 +267,25 @@ def test_phrases_against_plain_parsing():
         assert model.phrases(chars, bounds)[0].tolist() == [phrases(texts[k], text) for k in model.names]
 
 
+def test_learned_length_does_not_depend_on_alphabets(monkeypatch):
+    rng = random.Random(3)
+    texts = {f"l{k}": "".join(rng.choice("abcdefghijklmnop   ") for _ in range(3000)) for k in range(9)}
+    texts["zh"] = "".join(chr(0x4E00 + rng.randrange(3500)) for _ in range(5000))
+    model = language.build(texts)
+    assert min(model.bits) > math.log2(2500) and isinstance(model.tables[-1], language.Sparse)
+    monkeypatch.setattr(language, "CELLS", 0)
+    other = language.build(texts)
+    chars, bounds, _ = model.normal(np.frombuffer((texts["l0"][50:900] + texts["zh"][:99] + "xyz").encode(), np.uint8), np.array([0, 850 + 3 * 99 + 3]))
+    assert model.phrases(chars, bounds).tolist() == other.phrases(chars, bounds).tolist()
+
+
+def test_language_learns_beyond_headers(spark):
+    docs = spark.createDataFrame([(k, "header " * 200 + chr(0x4E00 + k) * 400, "en") for k in range(40)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    known = [model.local[0][model.classes[0x4E00 + k]] < model.local[0].max() for k in range(40) if 0 < model.classes[0x4E00 + k] < model.width - 1]
+    assert sum(known) >= 15  # one document for each value of the hash
+
+
 def test_language_of_odd_rows(spark):
     docs, rows = odd_documents(spark)
     got = language.predict(docs, language.fit(docs)).collect()
