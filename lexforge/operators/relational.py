@@ -102,14 +102,17 @@ def minhash_candidates(rows: DataFrame, threshold: float, *, text: str = "text",
     return pairs.unionByName(copies).distinct()
 
 
-def keep_first_independent(ids: DataFrame, edges: DataFrame, *, rounds: int = 200) -> DataFrame:
+def keep_first_independent(ids: DataFrame, edges: DataFrame, *, rounds: int | None = None) -> DataFrame:
     """ids (one column idx) that a pass in order keeps: a row goes if, and only if, an earlier row that is kept is its
-    neighbour (edges: earlier, later).  Each round decides rows all of whose earlier neighbours are decided."""
+    neighbour (edges: earlier, later).  Each round decides rows all of whose earlier neighbours are decided, until all
+    are; with a bound on the rounds it raises if that is not enough."""
     open_edges = cut_lineage(edges.select("earlier", "later").distinct())
     gone: DataFrame | None = None
-    for _ in range(rounds):
-        if open_edges.isEmpty():
-            break
+    done = 0
+    while not open_edges.isEmpty():
+        if done == rounds:
+            raise RuntimeError("keep_first_independent did not settle")
+        done += 1
         # rows without an open earlier neighbour are kept; their later neighbours go
         waiting = open_edges.select(F.col("later").alias("idx")).distinct()
         kept = open_edges.select(F.col("earlier").alias("idx")).distinct().join(waiting, "idx", "left_anti")

@@ -56,6 +56,14 @@ def test_keep_first_is_greedy(spark):
     assert ids(got) == kept
 
 
+def test_keep_first_never_stops_short(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(7)], "idx long")
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "earlier long, later long")
+    with pytest.raises(RuntimeError, match="settle"):
+        relational.keep_first_independent(nodes, chain, rounds=2)
+    assert ids(relational.keep_first_independent(nodes, chain)) == [0, 2, 4, 6]
+
+
 def test_fuzzy_dedup(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(500)]
