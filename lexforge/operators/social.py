@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.patterns import TOKEN_ORDER, compiled, contraction_rules
+from ..functions.patterns import CONTRACTIONS, TOKEN_ORDER, compiled
 from ..functions.strings import column
 
 #: Terms that each switch of the tokenizer turns on.
@@ -219,7 +219,7 @@ class Preprocessor:
                 if name in self.annotate:
                     doc = compiled("repeat_puncts" if name == "repeated" else name).sub(step, doc)
         if self.unpack_contractions:
-            for pattern, full in contraction_rules():
+            for pattern, full in CONTRACTIONS:
                 doc = re.sub(pattern, rf"\g<1>{full}", doc)
         if self.remove_tags:
             doc = " ".join(w for w in doc.split() if not w.startswith("<"))
