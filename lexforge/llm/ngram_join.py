@@ -2,46 +2,58 @@
 
 A document's set holds its distinct five-word shingles (64-bit hashes).  Two sets of sizes s and t reach Jaccard 0.8
 only if they share ceil(4 (s + t) / 9) shingles; so of each set, taken in one global order, s - ceil(0.8 s) + k first
-shingles must share k with any partner's.  Small sets enumerate the pairs of that prefix with k = 2 (fixed-size
-subsets), all others put their prefix with k = 1 in inverted lists, which the large sets scan.  The boundary between
-small and large is where enumerating costs more than scanning, from the sizes and list lengths of the input.
+shingles must share k with any partner's.  Light sets enumerate the pairs of that prefix with k = 2 (fixed-size
+subsets); heavy sets put their prefix with k = 1 in inverted lists and scan them, and light sets that a heavy one may
+be near do so, too.  The boundary between light and heavy is the size that makes enumerating and scanning together
+cheapest, from how many sets of each size there are and how long the lists of their shingles are, which is measured.
 
-The global order puts frequent shingles last.  Frequency is read from a sketch of fixed size over all documents; it
-steers cost only, since any fixed order gives the same links.  Equal sets become one node first.  A first round links
-near copies that share a minimum of their hashes to one of them and joins what it finds into clusters; the second
-round, which finds every other link, tries all pairs of a list whose clusters differ, so that a group of thousands of
-near copies never becomes all its pairs.  Candidates pass a bitmap bound that loses no link, and the rest are verified
-on whole sets.  Nothing is capped, dropped or sampled.
+The global order puts frequent shingles last.  Frequencies and list lengths are counted in sketches of fixed size over
+all documents; they steer cost only, since any fixed order gives the same links.  Equal sets become one node first.
+
+All pairs of a list are candidates where the list is short.  In a list that may be long (by the sketch) each node first
+meets the list's hub only; what is linked by then is a cluster, and the pairs of a long list are then those of
+different clusters, dealt in blocks over many tasks, so that a group of thousands of near copies never becomes all its
+pairs and no task gets a whole list.  Candidates pass a bitmap bound that loses no link, and the rest are verified on
+whole sets.  Nothing is capped, dropped or sampled.
 
 Results: null or empty text, or white space only, gives n_shingles 0, linked with nothing.  A null id is linked with
 nothing and has a null component.  Rows that share an id belong to one component; repeated rows give repeated rows.
+An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .textops import forget, mix, word_hashes, written
+from .textops import forget, free_name, mix, tidied, tidy, word_hashes, written
 
 WORDS = 5
 #: Counters of the sketch; its size does not depend on the input.
 COUNTERS = 1 << 20
 _SLICE = 1 << 15
 _BINS = 1024
-#: Postings that one group of buckets holds, about.
-POSTINGS = 400_000
-#: Minima of differently mixed hashes by which the first round finds clusters.
-MINIMA = 4
-#: What a candidate pair costs, in postings.
-PAIR_COST = 8.0
+#: Postings that one group of buckets holds, about, and keys that a task packs at a time.
+POSTINGS = 200_000
+FLUSH = 250_000
+#: A list is long if its counter holds so many postings more than most counters do.
+LONG = 16
+#: Nodes of a part of a long list; two parts meet in one task.
+PART = 2_048
+#: What one other entry of a list costs to scan, in keys that are enumerated: about a third of the entries have a
+#: fitting size and become candidates, and a candidate, shared by its two ends, costs about 16 keys to deal and join.
+SCAN = 16 / 3 / 2
+#: Bits by which documents that are wanted again are found before they are dealt.
+WANTED = 1 << 24
 _NOWHERE = np.uint32(0xFFFFFFFF)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -119,41 +131,53 @@ def size_bin(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(n < 256, n, 256 + (top - 8) * 32 + ((n >> np.maximum(top - 5, 0)) & 31)), _BINS - 1)
 
 
-def profile(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """How often each counter of the sketch is hit, and documents by size_bin, over all documents.
+_KINDS = {2: np.uint16, 4: np.uint32, 8: np.uint64}
+_COUNTS = "slice int, part int, width int, counts binary"
+
+
+def _sliced(*arrays: np.ndarray) -> pa.RecordBatch:
+    """Counts as rows of slices, in as few bytes a count as the largest needs."""
+    part = TaskContext.get().partitionId() % 64 if TaskContext.get() else 0
+    rows = []
+    for x in arrays:
+        for k in range(0, len(x), _SLICE):
+            own = x[k : k + _SLICE]
+            width = 2 if own.max() < 1 << 16 else 4 if own.max() < 1 << 32 else 8
+            rows.append((len(rows), part, width, own.astype(_KINDS[width]).tobytes()))
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["slice", "part", "width", "counts"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total: np.ndarray | None = None
+    for width, raw in zip(table.column("width").to_pylist(), table.column("counts"), strict=True):
+        now = np.frombuffer(raw.as_buffer(), _KINDS[width]).astype(np.uint64)
+        total = now if total is None else total + now
+    return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "width": pa.array([8], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' arrays of counts.  Slices are added up in two steps, so no group grows with the number of
+    tasks beyond its square root's order, and the driver gets one array."""
+    once = parts.groupBy("slice", "part").applyInArrow(_added, _COUNTS)
+    found = {r["slice"]: np.frombuffer(r["counts"], np.uint64).astype(np.int64) for r in once.groupBy("slice").applyInArrow(_added, _COUNTS).collect()}
+    return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size, np.int64)
 
-    Tasks send slices of fixed size, which are added up in two steps, so no group grows with the number of tasks
-    beyond its square root's order and the driver gets one sketch.
-    """
+
+def profile(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """How often each counter of the sketch is hit, and documents by size_bin, over all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, sizes = np.zeros(COUNTERS, np.int64), np.zeros(_BINS, np.int64)
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0)):
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                sketch += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(sketch, (every & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 sizes += np.bincount(size_bin(np.array([len(s) for s in sets], np.int64)), minlength=_BINS)
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        blobs = [sketch[k : k + _SLICE].astype(np.uint32).tobytes() for k in range(0, COUNTERS, _SLICE)] + [sizes.astype(np.uint32).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array([part % 64] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "part", "counts"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total: np.ndarray | None = None
-        for x in table.column("counts"):
-            raw = x.as_py()
-            now = np.frombuffer(raw, np.uint32 if len(raw) in (4 * _SLICE, 4 * _BINS) else np.int64).astype(np.int64)
-            total = now if total is None else total + now
-        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    form = "slice int, part int, counts binary"
-    parts = docs.select(text_col).mapInArrow(counted, form)
-    once = parts.groupBy("slice", "part").applyInArrow(added, form)
-    rows = once.groupBy("slice").applyInArrow(added, form).collect()
-    found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in rows}
-    if not found:
-        return np.zeros(COUNTERS, np.int64), np.zeros(_BINS, np.int64)
-    last = COUNTERS // _SLICE
-    return np.concatenate([found[k] for k in range(last)]), found[last]
+        yield _sliced(sketch, sizes)
+
+    both = _summed(docs.select(text_col).mapInArrow(tidied(counted), _COUNTS), COUNTERS + _BINS)
+    return both[:COUNTERS], both[COUNTERS:]
 
 
 def frequent(sketch: np.ndarray) -> np.ndarray:
@@ -164,31 +188,78 @@ def frequent(sketch: np.ndarray) -> np.ndarray:
     return np.where(over > max(16.0, 5 * spread), 1 + np.log2(over), 0).astype(np.uint8)
 
 
-def boundary(sketch: np.ndarray, level: np.ndarray, sizes: np.ndarray) -> int:
-    """The largest size for which enumerating pairs costs no more than scanning lists."""
-    rare = sketch[level == 0].astype(float)
-    total = rare.sum()
-    others = max(0.0, ((rare**2).sum() - total**2 / max(len(rare), 1)) / total - 1) if total else 0.0
-    best = 3
-    for s in range(4, 256):
-        p = s - int(least_overlap(s)) + 1
-        # of a shingle's other sets, a fifth have it in their prefix and about a third have a fitting size
-        if sizes[s] and p * (p + 1) / 2 > p * (1 + PAIR_COST * others / 15):
-            break
-        best = s
-    return best
+def prefix_size(n: int) -> int:
+    """Shingles that a set of n puts in inverted lists."""
+    return n - int(least_overlap(n)) + 1
+
+
+def list_lengths(nodes: DataFrame) -> np.ndarray:
+    """How many postings each counter of the sketch stands for: the length of its shingles' inverted lists together."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            np.add.at(counts, (every & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        yield _sliced(counts)
+
+    return _summed(nodes.select("prefix").mapInArrow(tidied(counted), _COUNTS), COUNTERS)
+
+
+def noise(counts: np.ndarray) -> tuple[float, float]:
+    """What most counters hold, and how far they spread around it."""
+    middle = float(np.median(counts))
+    return middle, 1.4826 * float(np.median(np.abs(counts - middle)))
+
+
+def long_lists(counts: np.ndarray) -> np.ndarray:
+    """Whether the lists of a counter may be long."""
+    middle, spread = noise(counts)
+    return counts - middle > max(float(LONG), 5 * spread)
+
+
+def scan_costs(nodes: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each size below 256: sets, and other entries in the lists of their prefixes, as the counters tell them
+    (without bias: what other shingles add to a counter on average is taken off).  In a long list a node meets the hub."""
+    long = long_lists(counts)
+    average = float(counts[~long].sum()) / max(int((~long).sum()), 1)
+    sent = nodes.sparkSession.sparkContext.broadcast(np.where(long, 2 + average, counts).astype(np.float32))  # 4 MB
+
+    def costed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, others = np.zeros(256), np.zeros(256)
+        for batch in batches:
+            for n, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(prefix, np.uint64)[: prefix_size(n)]
+                sets[n] += 1
+                others[n] += float(sent.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)].sum()) - len(own) * (1 + average)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(sets), pa.array(others)], names=["size", "sets", "others"])
+
+    sets, others = np.zeros(256), np.zeros(256)
+    for r in nodes.filter("n < 256").select(F.col("n").cast("int"), "prefix").mapInArrow(costed, "size int, sets double, others double").groupBy("size").agg(F.sum("sets").alias("sets"), F.sum("others").alias("others")).collect():
+        sets[r["size"]], others[r["size"]] = r["sets"], r["others"]
+    return sets, np.maximum(others, 0)
+
+
+def boundary(sets: np.ndarray, others: np.ndarray) -> int:
+    """The largest light size: that for which the keys of light sets, the postings of heavy ones and of those that a
+    heavy one may be near, and the entries that are scanned in lists cost least together."""
+    size = np.arange(256)
+    p = size - least_overlap(size) + 1
+    light, heavy = sets * p * (p + 1) / 2, sets * p + SCAN * others
+    total = [light[:s].sum() + light[s] + heavy[(5 * size >= 4 * s)].sum() for s in range(256)]
+    return int(np.argmin(total))
 
 
 def profiles(docs: DataFrame, sketch: np.ndarray, level: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, prefix, bits, minima, shared) of every document: size, signature, first shingles in the order,
-    bitmap, the least of its hashes under each of a few mixings, and how full its shingles' counters are on average."""
+    """(doc_id, n, node, prefix, bits, shared) of every document: size, signature, first shingles in the order, bitmap,
+    and how full its shingles' counters are on average."""
     sent = docs.sparkSession.sparkContext.broadcast((level, np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)))  # 5 MB
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, full = sent.value
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1)):
-                sizes, nodes, prefixes, bits, minima, shared = [], [], [], [], [], []
+                sizes, nodes, prefixes, bits, shared = [], [], [], [], []
                 for s in sets:
                     n = len(s)
                     sizes.append(n)
@@ -196,118 +267,125 @@ def profiles(docs: DataFrame, sketch: np.ndarray, level: np.ndarray, id_col: str
                     if not n:
                         prefixes.append(b"")
                         bits.append(b"")
-                        minima.append([])
                         shared.append(0.0)
                         continue
-                    minima.append([int(mix(s * f).min().view(np.int64)) for f in _FACTORS[:MINIMA]])
                     counters = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
                     shared.append(float(full[counters].mean()))
                     late = level[counters]
                     hot = np.flatnonzero(late)
                     if len(hot):
                         s = np.concatenate([s[late == 0], s[hot[np.lexsort((s[hot], late[hot]))]]])
-                    prefixes.append(s[: n - int(least_overlap(n)) + 2].tobytes())
+                    prefixes.append(s[: prefix_size(n) + 1].tobytes())
                     bits.append(bitmap(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(shared, pa.float64())], names=["doc_id", "n", "node", "prefix", "bits", "minima", "shared"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary()), pa.array(shared, pa.float64())], names=["doc_id", "n", "node", "prefix", "bits", "shared"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("shared", T.DoubleType())])
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(tidied(made), schema)
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("shared", T.DoubleType())])
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(made, schema)
 
+@dataclass
+class Keys:
+    """Keys of a set, their places, the two shingles before them, and whether their lists may be long.  A place of
+    _NOWHERE and a shingle of 0 say nothing."""
 
-def keys_of(prefix: np.ndarray, n: int, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a set, their places, and the two shingles before them: pairs of the longer prefix for small sets, single
-    shingles for those that a large set may meet.  A place of _NOWHERE and a shingle of 0 say nothing."""
-    keys, places, before = [], [], []
+    key: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    long: np.ndarray
+
+    def only(self, chosen: np.ndarray) -> Keys:
+        return Keys(self.key[chosen], self.place[chosen], self.before[chosen], self.long[chosen])
+
+
+def keys_of(prefix: np.ndarray, n: int, small: int, long: np.ndarray) -> Keys:
+    """Pairs of the longer prefix for light sets, single shingles for heavy ones and those that a heavy set may meet.
+    The list of a pair may be long only if the lists of both its shingles may."""
+    keys, places, before, may = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros((0, 2), np.uint64)], [np.zeros(0, bool)]
+    of_one = long[(prefix & np.uint64(COUNTERS - 1)).astype(np.int64)]
     if n <= small and len(prefix) >= 2:
         i, j = np.triu_indices(len(prefix), 1)
         a, b = prefix[i], prefix[j]
         keys.append(mix(np.minimum(a, b) * np.uint64(3) + np.maximum(a, b) * np.uint64(7) + np.uint64(1)))
         places.append(np.full(len(i), _NOWHERE, np.uint32))
         before.append(np.zeros((len(i), 2), np.uint64))
-    if 5 * n >= 4 * small:
-        p = n - int(least_overlap(n)) + 1
+        may.append(of_one[i] & of_one[j])
+    if n > small or 5 * n >= 4 * small:
+        p = prefix_size(n)
         keys.append(mix(prefix[:p] + np.uint64(2)))
         places.append(np.arange(p, dtype=np.uint32))
         last = np.zeros((p, 2), np.uint64)
         last[1:, 0], last[2:, 1] = prefix[: p - 1], prefix[: max(p - 2, 0)]
         before.append(last)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros((0, 2), np.uint64)
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(before)
+        may.append(of_one[:p])
+    return Keys(np.concatenate(keys), np.concatenate(places), np.concatenate(before), np.concatenate(may))
 
 
-def postings(nodes: DataFrame, small: int, buckets: int) -> DataFrame:
-    """Postings of (node, n, prefix, label), packed by bucket of the key: few large rows are dealt instead of one row
-    for each posting."""
+def postings(nodes: DataFrame, small: int, long: Broadcast, buckets: int) -> DataFrame:
+    """Postings of (node, n, prefix) in short lists, packed by bucket of the key: few large rows are dealt instead of one
+    row for each posting."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: list[tuple[int, int, int]] = []
-        keys: list[np.ndarray] = []
-        places: list[np.ndarray] = []
-        befores: list[np.ndarray] = []
+        heads: list[tuple[int, int]] = []
+        held: list[Keys] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not heads:
                 return
-            key, place, before = np.concatenate(keys), np.concatenate(places), np.concatenate(befores)
-            owner = np.repeat(np.arange(len(heads), dtype=np.uint32), [len(k) for k in keys])
+            key, place, before = (np.concatenate([getattr(k, name) for k in held]) for name in ("key", "place", "before"))
+            owner = np.repeat(np.arange(len(heads), dtype=np.uint32), [len(k.key) for k in held])
             table = np.array(heads, np.int64)
             bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, place, before, owner, bucket = key[order].astype(np.uint32), place[order], before[order], owner[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out: list[list[object]] = [[] for _ in range(8)]
+            out: list[list[object]] = [[] for _ in range(7)]
             for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
                 used, local = np.unique(owner[a:b], return_inverse=True)
                 part = table[used]
-                for column, value in zip(out, (int(bucket[a]), part[:, 0].tobytes(), part[:, 1].astype(np.uint32).tobytes(), part[:, 2].tobytes(), key[a:b].tobytes(), local.astype(np.uint32).tobytes(), place[a:b].tobytes(), before[a:b].tobytes()), strict=True):
+                for column, value in zip(out, (int(bucket[a]), part[:, 0].tobytes(), part[:, 1].astype(np.uint32).tobytes(), key[a:b].tobytes(), local.astype(np.uint32).tobytes(), place[a:b].tobytes(), before[a:b].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=FORM_NAMES)
-            heads.clear(), keys.clear(), places.clear(), befores.clear()
+            heads.clear(), held.clear()
 
         for batch in batches:
-            for node, n, prefix, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, p, b = keys_of(np.frombuffer(prefix, np.uint64), n, small)
-                if not len(k):
-                    continue
-                heads.append((node, n, label))
-                keys.append(k)
-                places.append(p)
-                befores.append(b)
-                count += len(k)
-                if count > 1_000_000:
-                    yield from flush()
-                    count = 0
+            for at in range(0, batch.num_rows, 1024):
+                for node, n, prefix in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    keys = keys_of(np.frombuffer(prefix, np.uint64), n, small, long.value)
+                    keys = keys.only(~keys.long)
+                    if len(keys.key):
+                        heads.append((node, n))
+                        held.append(keys)
+                        count += len(keys.key)
+                    if count > FLUSH:
+                        yield from flush()
+                        count = 0
         yield from flush()
 
-    return nodes.select("node", "n", "prefix", "label").mapInArrow(packed, FORM)
+    return nodes.select("node", "n", "prefix").mapInArrow(tidied(packed), FORM)
 
 
-FORM = "bucket long, nodes binary, sizes binary, labels binary, keys binary, owners binary, places binary, befores binary"
-FORM_NAMES = ["bucket", "nodes", "sizes", "labels", "keys", "owners", "places", "befores"]
+def long_postings(nodes: DataFrame, small: int, long: Broadcast) -> DataFrame:
+    """(key, node, n, shared, place, b1, b2) of the postings in lists that may be long, one row each."""
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [keys_of(np.frombuffer(prefix, np.uint64), n, small, long.value) for n, prefix in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                found = [k.only(k.long) for k in found]
+                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(k.key) for k in found]))
+                if not len(owner):
+                    continue
+                key, place, before = (np.concatenate([getattr(k, name) for k in found]) for name in ("key", "place", "before"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(k).take(owner) for k in range(3)), pa.array(place.astype(np.int64)), *(pa.array(before[:, k].copy().view(np.int64)) for k in (0, 1))], names=["key", "node", "n", "shared", "place", "b1", "b2"])
 
-def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, node, n, label, place, before of a bucket's postings in lists of two nodes or more, sorted by key."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-    for row in table.to_pylist():
-        owner = np.frombuffer(row["owners"], np.uint32)
-        columns[0].append(np.frombuffer(row["keys"], np.uint32))
-        columns[1].append(np.frombuffer(row["nodes"], np.int64)[owner])
-        columns[2].append(np.frombuffer(row["sizes"], np.uint32)[owner].astype(np.int64))
-        columns[3].append(np.frombuffer(row["labels"], np.int64)[owner])
-        columns[4].append(np.frombuffer(row["places"], np.uint32))
-        columns[5].append(np.frombuffer(row["befores"], np.uint64).reshape(-1, 2))
-    key, node, n, label, place, before = (np.concatenate(c) for c in columns)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
-    keep = np.zeros(len(k), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    order = order[keep]
-    return key[order], node[order], n[order], label[order], place[order], before[order]
+    return nodes.select("node", "n", "shared", "prefix").mapInArrow(tidied(listed), "key long, node long, n long, shared double, place long, b1 long, b2 long")
+
+
+FORM = "bucket long, nodes binary, sizes binary, keys binary, owners binary, places binary, befores binary"
+FORM_NAMES = ["bucket", "nodes", "sizes", "keys", "owners", "places", "befores"]
+PAIRS = "a long, b long, na long, nb long"
 
 
 def _may_link(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -319,63 +397,95 @@ def _may_link(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return fits & ((a == int(_NOWHERE)) | (b == int(_NOWHERE)) | (left >= need))
 
 
-def _pairs(node: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
-    swap = node[i] > node[j]
-    a, b = np.where(swap, j, i), np.where(swap, i, j)
-    found = np.unique(np.stack([node[a], node[b], n[a], n[b]], axis=1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
-    return pa.table({c: pa.array(found[:, k].copy()) for k, c in enumerate(("a", "b", "na", "nb"))})
-
-
-PAIRS = "a long, b long, na long, nb long"
-
+def _crossed(key: np.ndarray, node: np.ndarray, n: np.ndarray, label: np.ndarray, place: np.ndarray, before: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """In each list (one key), candidates between any two nodes of different labels and, but for 0, different sides.
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """Candidates between nodes that share a minimum and one such node of like size, for two overlapping divisions of
-    sizes: a few for each node, found by partial aggregation.  Near copies share most minima; the one that stands in
-    the middle is that whose shingles most others have, as the text has from which the others were made."""
+    Two nodes need to meet in the list of the first shingle of the order that they share; where one of the two shingles
+    before the list's is the same in both, they share an earlier one, and the pair is left to that one's list."""
+    order = np.lexsort((n, label, key))
+    key, node, n, label, place, before, side = (x[order] for x in (key, node, n, label, place, before, side))
+    if not len(key):
+        return
+    new_key = np.append(True, key[1:] != key[:-1])
+    new_run = new_key | np.append(True, label[1:] != label[:-1])
+    at = np.arange(len(key))
+    key_ends = np.append(np.flatnonzero(new_key)[1:], len(key))[np.cumsum(new_key) - 1]
+    run_ends = np.append(np.flatnonzero(new_run)[1:], len(key))[np.cumsum(new_run) - 1]
+    count = key_ends - run_ends
+    live = np.flatnonzero(count)
+    step = 0
+    while step < len(live):  # a quarter of a million pairs at a time, to bound memory
+        reach = np.cumsum(count[live[step : step + 250_000]])
+        end = step + max(1, int(np.searchsorted(reach, 250_000, side="right")))
+        part = live[step:end]
+        i = np.repeat(at[part], count[part])
+        first = np.cumsum(count[part]) - count[part]
+        j = np.repeat(run_ends[part] - first, count[part]) + np.arange(len(i))
+        good = (node[i] != node[j]) & ((side[i] == 0) | (side[i] != side[j])) & _may_link(n, place, i, j)
+        i, j = i[good], j[good]
+        earlier = np.zeros(len(i), bool)
+        for x in (0, 1):
+            for y in (0, 1):
+                earlier |= (before[i, x] == before[j, y]) & (before[i, x] != 0)
+        i, j = i[~earlier], j[~earlier]
+        if len(i):
+            swap = node[i] > node[j]
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            found = np.unique(np.stack([node[a], node[b], n[a], n[b]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(4)], names=["a", "b", "na", "nb"])
+        step = end
+
+
+def short_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of a bucket of packed short lists: all pairs of each list."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: np.frombuffer(batch.column(name)[k].as_buffer(), kind) for name, kind in (("nodes", np.int64), ("sizes", np.uint32), ("keys", np.uint32), ("owners", np.uint32), ("places", np.uint32), ("befores", np.uint64))}
+            values = (row["keys"].copy(), row["nodes"][row["owners"]], row["sizes"][row["owners"]].astype(np.int64), row["places"].copy(), row["befores"].reshape(-1, 2).copy())
+            for column, value in zip(columns, values, strict=True):
+                column.append(value)
+    key, node, n, place, before = (np.concatenate(c) for c in columns)
+    columns.clear()
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)]  # lists of two nodes or more
+    yield from _crossed(key[order], node[order], n[order], node[order], place[order], before[order], np.zeros(len(order), np.int8))
+    tidy()
+
+
+def long_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of a bucket of blocks of long lists: all pairs of different clusters."""
+    table = pa.Table.from_batches(batches)
+    key, node, n, label, place, side = (table.column(c).to_numpy() for c in ("cell", "node", "n", "label", "place", "side"))
+    before = np.stack([table.column(c).to_numpy() for c in ("b1", "b2")], axis=1)
+    del table
+    yield from _crossed(key, node, n, label, place, before, side)
+    tidy()
+
+
+def stars(listed: DataFrame) -> DataFrame:
+    """Candidates between the nodes of a long list and its hub, one of like size, for two overlapping divisions of sizes;
+    hubs are found by partial aggregation.  The hub is the node whose shingles most others have, as the text has from
+    which the others were made."""
     classes = F.array(*[F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + shift) * 2 + k for k, shift in enumerate((0.0, 0.5))])
-    keyed = nodes.select("node", "n", "shared", F.posexplode("minima").alias("k", "least"), classes.alias("classes")).select("node", "n", "shared", F.explode("classes").alias("size"), "k", "least")
-    hubs = keyed.groupBy("k", "least", "size").agg(F.min(F.struct((-F.col("shared")).alias("order"), "node", "n")).alias("hub"))
-    pairs = keyed.join(hubs, ["k", "least", "size"]).filter(F.col("node") != F.col("hub.node"))
+    keyed = listed.select("key", "node", "n", "shared", F.explode(classes).alias("size"))
+    hubs = keyed.groupBy("key", "size").agg(F.min(F.struct((-F.col("shared")).alias("order"), "node", "n")).alias("hub"))
+    pairs = keyed.join(hubs, ["key", "size"]).filter(F.col("node") != F.col("hub.node"))
     return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
 
 
-def crossings(table: pa.Table) -> pa.Table:
-    """In each list, candidates between any two nodes of different clusters.
-
-    Two nodes need to meet in the list of the first shingle of the order that they share; where one of the two shingles
-    before the list's is the same in both, they share an earlier one, and the pair is left to that one's list."""
-    key, node, n, label, place, before = _lists(table.select(FORM_NAMES))
-    order = np.lexsort((n, label, key))
-    key, node, n, label, place, before = key[order], node[order], n[order], label[order], place[order], before[order]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(key):
-        new_key = np.append(True, key[1:] != key[:-1])
-        new_run = new_key | np.append(True, label[1:] != label[:-1])
-        at = np.arange(len(key))
-        key_ends = np.append(np.flatnonzero(new_key)[1:], len(key))[np.cumsum(new_key) - 1]
-        run_ends = np.append(np.flatnonzero(new_run)[1:], len(key))[np.cumsum(new_run) - 1]
-        count = key_ends - run_ends
-        live = np.flatnonzero(count)
-        step = 0
-        while step < len(live):  # half a million pairs at a time, to bound memory
-            reach = np.cumsum(count[live[step:]])
-            end = step + max(1, int(np.searchsorted(reach, 500_000, side="right")))
-            part = live[step:end]
-            i = np.repeat(at[part], count[part])
-            first = np.cumsum(count[part]) - count[part]
-            j = np.repeat(run_ends[part] - first, count[part]) + np.arange(len(i))
-            good = np.flatnonzero((node[i] != node[j]) & _may_link(n, place, i, j))
-            i, j = i[good], j[good]
-            earlier = np.zeros(len(i), bool)
-            for x in (0, 1):
-                for y in (0, 1):
-                    earlier |= (before[i, x] == before[j, y]) & (before[i, x] != 0)
-            good = ~earlier
-            left.append(i[good])
-            right.append(j[good])
-            step = end
-    return _pairs(node, n, np.concatenate(left), np.concatenate(right))
+def crossings(listed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Candidates between nodes of different clusters in long lists.  Lists of one cluster go; the others are dealt into
+    parts, and each pair of parts is a block of its own."""
+    labelled = listed.drop("shared").join(clusters, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    spans = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / PART).alias("parts")).filter("low < high").select("key", "parts")
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = labelled.join(spans, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = dealt.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
+    cells = written(cells.select("cell", "node", "n", "label", "place", "b1", "b2", "side"), "blocks")
+    buckets = max(1, -(-cells.count() // POSTINGS))
+    return cells.groupBy(F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("bucket")).applyInArrow(long_pairs, PAIRS)
 
 
 def _within_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +494,10 @@ def _within_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: Nodes that a task remembers as joined while it verifies links.
+JOINED = 100_000
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of sets, but for those whose ends this task has joined already."""
     parent: dict[int, int] = {}
@@ -397,6 +511,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
+            if len(parent) > JOINED:
+                parent.clear()
             a, b = root(a), root(b)
             if a == b:
                 keep.append(False)
@@ -418,46 +534,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "shingles"])
 
 
+def among(rows: DataFrame, col: str, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose value is among the wanted ones, and few others: by a bitmap of WANTED bits, which is the only thing
+    sent to all.  It spares the shuffle of rows that the join which must follow would drop."""
+    spot = lambda x: (F.pmod(F.xxhash64(x), F.lit(WANTED)) + 1).cast("long")
+    marks = wanted.select(spot(name).alias("_at")).groupBy(F.call_function("bitmap_bucket_number", F.col("_at")).alias("_bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    bit = F.bitmap_bit_position(spot(col))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.join(F.broadcast(marks), F.call_function("bitmap_bucket_number", spot(col)) == F.col("_bucket"))
+    return marked.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b) of the candidates that reach the threshold: bitmaps first, whole sets of what is left."""
     bits = nodes.select("node", "bits")
     joined = candidates.distinct().join(bits.select(F.col("node").alias("a"), F.col("bits").alias("ba")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bb")), "b")
-    near = written(joined.mapInArrow(_within_bounds, PAIRS), "near")
+    near = written(joined.mapInArrow(tidied(_within_bounds), PAIRS), "near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     shown = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("want_id"), F.col("node").alias("want"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(shown.select(F.col("want_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shown = written(shown, "shown")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = among(texts, "doc_id", shown, "want_id").join(shown.select(F.col("want_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
-    sets = texts.mapInArrow(_sets, schema).join(shown, (F.col("doc_id") == F.col("want_id")) & (F.col("node") == F.col("want")), "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    sets = texts.mapInArrow(tidied(_sets), schema).join(shown, (F.col("doc_id") == F.col("want_id")) & (F.col("node") == F.col("want")), "left_semi").dropDuplicates(["node"]).select("node", "shingles")
     sets = written(sets, "sets")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    linked = written(full.mapInArrow(_verified, "a long, b long"), "linked")
-    forget(near), forget(sets)
+    linked = written(full.mapInArrow(tidied(_verified), "a long, b long"), "linked")
+    forget(near), forget(sets), forget(shown)
     return linked
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, small: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row of docs."""
-    sketch, sizes = profile(docs, text_col)
+    sketch, _ = profile(docs, text_col)
     level = frequent(sketch)
-    small = boundary(sketch, level, sizes) if small is None else small
-    total = int(sketch.sum())
-    buckets = buckets or max(1, -(-total // 5 // POSTINGS))
     base = written(profiles(docs, sketch, level, id_col, text_col), "profiles")
     # one row for each distinct set, shown by the smallest id that has it
-    owners = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = written(base.filter("n > 0").join(owners, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "doc_id", "n", "prefix", "bits", "minima", "shared"), "nodes")
+    shown = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "shared")])
+    nodes = written(shown, "nodes")
     wide, base = base, written(base.select("doc_id", "n", "node"), "documents")
     forget(wide)
-    first = links(stars(nodes), nodes, docs, id_col, text_col)
+    counts = list_lengths(nodes)
+    if small is None:
+        small = boundary(*scan_costs(nodes, counts))
+    long = docs.sparkSession.sparkContext.broadcast(long_lists(counts))  # 1 MB
+    buckets = buckets or max(1, -(-int(counts.sum()) // POSTINGS))
+    short = postings(nodes, small, long, buckets).groupBy("bucket").applyInArrow(short_pairs, PAIRS)
+    listed = written(long_postings(nodes, small, long), "long")
+    first = links(short.unionByName(stars(listed)), nodes, docs, id_col, text_col)
     clusters = written(components(first), "clusters")
-    labelled = nodes.join(clusters, "node", "left").select("node", "n", "prefix", F.coalesce("component", "node").alias("label"))
-    crossed = postings(labelled, small, buckets).groupBy("bucket").applyInArrow(crossings, PAIRS)
-    second = links(crossed, nodes, docs, id_col, text_col)
-    forget(nodes)
+    second = links(crossings(listed, clusters), nodes, docs, id_col, text_col)
+    forget(nodes), forget(listed), forget(first)
     # an id with several rows joins their sets
-    shared = base.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count_distinct("node").alias("k"))
-    twice = base.filter("n > 0").join(shared.filter("k > 1"), "doc_id").select("a", F.col("node").alias("b"))
-    found = components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(twice))
+    shared = base.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    twice = base.filter("n > 0").join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    more = written(second.unionByName(twice), "more")
+    found = clusters if more.isEmpty() else components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     member = base.filter("n > 0 and doc_id is not null").select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
     least = member.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     named = member.join(least, "group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -468,16 +601,15 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's smallest, with all their columns; of repeated rows with one id,
     the first in order of text stays.  Rows with a null id or an empty set stay."""
-    from pyspark.sql import Window
-
+    gone_col, many, turn = (free_name(docs.columns, x) for x in ("_gone", "_many", "_turn"))
     found = jaccard_join(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col).isNotNull())
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = found.groupBy(F.col(id_col).alias("_many")).count().filter("count > 1").select("_many")
-    single = left.join(repeated, F.col(id_col) == F.col("_many"), "left_anti")
-    several = left.join(repeated, F.col(id_col) == F.col("_many"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return single.unionByName(several.withColumn("_turn_", turn).filter("_turn_ = 1").drop("_turn_"))
+    gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_col)).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col(gone_col), "left_anti")
+    repeated = found.groupBy(F.col(id_col).alias(many)).agg(F.count("*").alias("n")).filter("n > 1").select(many)
+    single = left.join(repeated, F.col(id_col) == F.col(many), "left_anti")
+    several = left.join(repeated, F.col(id_col) == F.col(many), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return single.unionByName(several.withColumn(turn, first).filter(F.col(turn) == 1).drop(turn))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ space, so memory is bounded by ``SEGMENT`` bytes (or one word, if longer).
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS: list[np.ndarray] = []
 
@@ -53,14 +56,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and n + 1 offsets; null counts as empty."""
+    """The bytes of a text column and n + 1 offsets, without a copy of the bytes where it has one chunk; null counts as
+    empty."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.cast(pa.large_string()).chunks) if column.num_chunks else pa.array([], pa.large_string())
+    if column.type not in (pa.string(), pa.large_string()):
+        column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    kind = np.int32 if column.type == pa.string() else np.int64
+    offs = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    if column.null_count:  # what stands under a null is left out
+        sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offs))
+        if sizes.sum() != offs[-1] - offs[0]:
+            return text_buffer(pc.fill_null(column, ""))
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
@@ -147,9 +155,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is set only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; one is made only where it is unset and all runs on one machine."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         given = getattr(spark, "_lexforge_shared", None) or tempfile.mkdtemp(prefix="lexforge-")
@@ -158,10 +168,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and outlives executors."""
+    """df as a Parquet table in the shared folder: lineage ends here and outlives executors.  What forget() does not
+    delete before goes when the session's driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
 
 
@@ -173,6 +186,34 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library
+        return None
+
+
+def tidy() -> None:
+    """Gives memory that nothing uses back to the system: Python workers live on, and what one stage had freed would
+    still count when the next one runs."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, with tidy() after the last batch of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """wanted, with underscores until no column has the name."""
     taken = {c.lower() for c in columns}

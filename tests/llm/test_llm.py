@@ -119,8 +119,75 @@ def test_join_against_all_pairs(spark, small):
     assert got == brute_components(rows)
 
 
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """Groups of near copies beyond what a short list holds, dealt in parts and blocks, with the light side in use."""
+    for name, value in (("LONG", 3), ("PART", 7), ("POSTINGS", 400), ("FLUSH", 100), ("WANTED", 1 << 15)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(9)
+    rows, at = [], 0
+    shared = [f"s{k}" for k in range(40)]
+    for group in range(6):  # copies of one text, and texts that share a long passage with all of them
+        base = [f"g{group}w{k}" for k in range(30)] + shared
+        for _ in range(40 if group < 2 else 6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((at, " ".join(copy)))
+            at += 1
+    for k in range(60):
+        rows.append((at, " ".join(shared[: rng.randint(5, 40)] + [f"y{k}"] * rng.randint(0, 3))))
+        at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components(rows)
+    for small in (None, 0, 60):
+        assert Counter(tuple(r) for r in ngram_join.jaccard_join(docs, small=small, buckets=2).collect()) == expected
+    assert max(Counter(c for _, _, c in expected.elements()).values()) > 3 * ngram_join.PART
+
+
+def test_boundary_by_cost():
+    """Short lists are scanned; the longer they are, the larger the sets that enumerate pairs."""
+    sets = np.full(256, 100.0)
+    postings = sets * (np.arange(256) - ngram_join.least_overlap(np.arange(256)) + 1)
+    sizes = [ngram_join.boundary(sets, postings * others) for others in (0.0, 1.0, 3.0, 10.0)]
+    assert sizes[0] == 0 and sizes == sorted(sizes) and sizes[1] >= 9 and sizes[-1] > 40
+
+
+def test_light_sets_find_links_by_pairs(spark):
+    """Short texts that share frequent shingles: the measured boundary makes them light, and pairs of shingles alone,
+    without single postings of theirs, give every link."""
+    rng = random.Random(10)
+    parts = [" ".join(f"p{k}q{j}" for j in range(6)) for k in range(12)]
+    rows = [(k, " ".join(rng.sample(parts, 2))) for k in range(300)] + [(300 + k, f"{rows_k} end{k}") for k, rows_k in enumerate(" ".join(rng.sample(parts, 2)) for _ in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch, _ = ngram_join.profile(docs, "text")
+    base = ngram_join.profiles(docs, sketch, ngram_join.frequent(sketch), "doc_id", "text").dropDuplicates(["node"]).cache()
+    counts = ngram_join.list_lengths(base)
+    small = ngram_join.boundary(*ngram_join.scan_costs(base, counts))
+    assert small >= 9  # 8 and 9 shingles a text
+    long = np.zeros(ngram_join.COUNTERS, bool)
+    keys = {r.node: ngram_join.keys_of(np.frombuffer(r.prefix, np.uint64), r.n, 12, long) for r in base.collect()}
+    sizes = {r.node: r.n for r in base.collect()}
+    assert all((k.place == ngram_join._NOWHERE).all() for node, k in keys.items() if 5 * sizes[node] < 48)
+    found = Counter(tuple(r) for r in ngram_join.jaccard_join(docs, small=12).collect())
+    assert found == brute_components(rows) and len({c for _, _, c in found}) < len(found)
+
+
+def test_keys_meet_only_in_first_common_list(spark):
+    """Short lists give each pair that can link, and long lists those of different clusters, in chunks of pairs."""
+    rng = np.random.default_rng(11)
+    key = np.repeat(np.arange(3, dtype=np.int64), 40)
+    node = rng.integers(0, 60, 120)
+    n = np.full(120, 10)
+    zero = np.zeros((120, 2), np.uint64)
+    label = node % 4
+    rows = pa.Table.from_batches(ngram_join._crossed(key, node, n, label, np.zeros(120, np.uint32), zero, np.zeros(120, np.int8)))
+    expected = {(min(a, b), max(a, b)) for k in range(3) for a in node[key == k] for b in node[key == k] if a % 4 != b % 4}
+    assert {(r["a"], r["b"]) for r in rows.to_pylist()} == expected
+
+
 def test_keep_one(spark):
     docs, _ = odd_documents(spark)
+    docs = docs.withColumns({"_gone": F.lit(1), "_many": F.lit("m"), "_turn": F.lit(None).cast("int"), "n": F.lit(5), "node": F.lit(1), "component_id": F.lit(0)})
     kept = ngram_join.keep_one(docs)
     assert kept.schema == docs.schema
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 9, 10, 11, 13, 14, None, None])
