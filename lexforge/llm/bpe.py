@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import public_tokenizers
@@ -22,13 +24,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import written
+from .textops import tidied, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Distinct pieces whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+#: Distinct pieces whose ids a worker remembers: twice so many at most, about 200 bytes each.  When the younger half is
+#: full it becomes the older one, whose pieces go if they are not met again meanwhile.
+REMEMBERED = 65_536
+#: Pairs of tokens of which a worker remembers whether they fit; emptied when full.
+PAIRS = 150_000
 #: Bytes of a piece whose table is remembered too, and how many such tables.
-HEAD, HEADS = 5, 50_000
+HEAD, HEADS = 5, 8_192
 
 
 class PrefixTable:
@@ -81,6 +86,19 @@ class PrefixTable:
         return out[::-1]
 
 
+@dataclass
+class Encoded:
+    """A text, where its pieces begin and end, and their ids."""
+
+    text: str
+    starts: list[int]
+    ends: list[int]
+    pieces: list[tuple[int, ...]]
+
+    def ids(self) -> list[int]:
+        return [i for p in self.pieces for i in p]
+
+
 class Bpe:
     """Encoder and decoder over a file of ranks."""
 
@@ -95,12 +113,13 @@ class Bpe:
             if len(data) > 2:
                 self.reach.setdefault(data[-3:], []).append(len(data))
         self.reach = {ending: [*sorted(set(sizes), reverse=True), 2, 1] for ending, sizes in self.reach.items()}
-        self.pieces = regex.compile(pattern).findall
+        self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.halves: list[tuple[int, int]] = [(-1, -1)] * len(self.token)
         for data, rank in self.ranks.items():
             self.halves[rank] = self._halves(data, rank)
         self.known_fits: dict[int, bool] = {}
         self._memory: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self._heads: dict[bytes, PrefixTable] = {}
 
     def _halves(self, data: bytes, rank: int) -> tuple[int, int]:
@@ -122,7 +141,7 @@ class Bpe:
         key = left << 20 | right
         known = self.known_fits.get(key)
         if known is None:
-            if len(self.known_fits) > 500_000:
+            if len(self.known_fits) >= PAIRS:
                 self.known_fits.clear()
             known = self.known_fits[key] = self._boundary(left, right)
         return known
@@ -159,12 +178,15 @@ class Bpe:
         """Ids of one match of the pattern."""
         found = self._memory.get(text)
         if found is None:
-            data = text.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(self.table(data).ids())
-            if len(self._memory) >= REMEMBERED:
-                self._memory.clear()
+            found = self._older.get(text)
+            if found is None:
+                data = text.encode("utf-8", "surrogatepass")
+                whole = self.ranks.get(data)
+                found = (whole,) if whole is not None else tuple(self.table(data).ids())
             if len(text) <= 64:
+                if len(self._memory) >= REMEMBERED:
+                    self._older = dict(self._memory)
+                    self._memory.clear()  # callers hold its get
                 self._memory[text] = found
         return found
 
@@ -185,28 +207,35 @@ class Bpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def reencode(self, old: str, start: int, end: int, new: str) -> tuple[str, list[int]]:
-        """The text and its ids after old[start:end] becomes new, splitting anew from the last boundary before
-        the edit only as far as the boundaries agree again with those of the old text."""
-        text = old[:start] + new + old[end:]
-        spans = [m.span() for m in regex.finditer(self.pattern_text, old)]
-        kept = [s for s in spans if s[1] < start]
-        if kept:
-            kept.pop()  # its match may have looked past its end
-        shift, at = len(text) - len(old), kept[-1][1] if kept else 0
-        later = {s[0] + shift: k for k, s in enumerate(spans) if s[0] >= end}
-        ids = [i for a, b in kept for i in self.piece(old[a:b])]
-        for m in regex.compile(self.pattern_text).finditer(text, at):
-            if m.start() in later:
-                for a, b in spans[later[m.start()] :]:
-                    ids.extend(self.piece(old[a:b]))
-                break
-            ids.extend(self.piece(m[0]))
-        return text, ids
+    def encoded(self, text: str) -> Encoded:
+        """A text with its pieces, for edits."""
+        spans = [m.span() for m in self.matches(text)]
+        return Encoded(text, [a for a, _ in spans], [b for _, b in spans], [self.piece(text[a:b]) for a, b in spans])
+
+    def edited(self, old: Encoded, start: int, end: int, new: str) -> Encoded:
+        """The text after text[start:end] has become new: it is split anew from the last boundary before the edit, only
+        as far as the boundaries agree again with those of the old text, and only new pieces are encoded."""
+        text = old.text[:start] + new + old.text[end:]
+        shift = len(text) - len(old.text)
+        kept = max(bisect_left(old.ends, start) - 1, 0)  # the last one's match may have looked past its end
+        starts, ends, ids = old.starts[:kept], old.ends[:kept], old.pieces[:kept]
+        for m in self.matches(text, ends[-1] if ends else 0):
+            if m.start() - shift >= end:
+                k = bisect_left(old.starts, m.start() - shift)
+                if k < len(old.starts) and old.starts[k] == m.start() - shift:
+                    starts += [x + shift for x in old.starts[k:]]
+                    ends += [x + shift for x in old.ends[k:]]
+                    ids += old.pieces[k:]
+                    break
+            starts.append(m.start())
+            ends.append(m.end())
+            ids.append(self.piece(m[0]))
+        return Encoded(text, starts, ends, ids)
 
-    @property
-    def pattern_text(self) -> str:
-        return self.pieces.__self__.pattern
+    def reencode(self, old: str, start: int, end: int, new: str) -> tuple[str, list[int]]:
+        """The text and its ids after old[start:end] has become new."""
+        changed = self.edited(self.encoded(old), start, end, new)
+        return changed.text, changed.ids()
 
 
 @lru_cache(maxsize=4)
@@ -242,7 +271,7 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(encoded, T.StructType(fields))
+    return docs.select(id_col, text_col).mapInArrow(tidied(encoded), T.StructType(fields))
 
 
 def decode_ids(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -257,7 +286,7 @@ def decode_ids(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids
             texts = [None if x is None else coder.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=out.names)
 
-    return tokens.select(id_col, ids_col).mapInArrow(decoded, out)
+    return tokens.select(id_col, ids_col).mapInArrow(tidied(decoded), out)
 
 
 def length_histogram(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -271,7 +300,7 @@ def length_histogram(docs: DataFrame, *, text_col: str = "text", vocabulary: str
                 found[n] = found.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
-    return docs.select(text_col).mapInArrow(counted, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select(text_col).mapInArrow(tidied(counted), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame, *, span: int = 256) -> DataFrame:
@@ -297,16 +326,21 @@ def suffix_sums(histogram: DataFrame, *, span: int = 256) -> DataFrame:
             "n_tokens", "n_docs", "docs_at_least", "tokens_at_least",
             (F.col("tokens") - F.col("tokens_at_least") + F.col("docs_at_least") * F.col("n_tokens")).alias("tokens_if_cut"),
             ((F.col("docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("docs")).alias("quantile"),
+            "docs", "tokens",
         )
     )
 
 
-def context_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents longer than it, and tokens kept when every document is cut there."""
-    context = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))
-    over = F.sum(F.when(F.col("n_tokens") > F.col("context"), F.col("n_docs")).otherwise(0))
-    kept = F.sum(F.least("n_tokens", "context") * F.col("n_docs"))
-    return histogram.select("n_tokens", "n_docs", context.alias("context")).groupBy("context").agg(over.alias("docs_over"), kept.alias("tokens_kept"), F.sum("n_docs").alias("docs"))
+def context_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """For each context limit, from suffix_sums(): documents longer than it, tokens kept when every document is cut
+    there, and documents.  Those longer are the documents from the next length that occurs on, and what they keep is the
+    limit; all others keep all their tokens.  Without documents there are no rows."""
+    asked = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))
+    above = F.col("n_tokens") > F.col("context")
+    next_up = F.min(F.when(above, F.struct("n_tokens", "docs_at_least", "tokens_at_least")))
+    found = sums.select("*", asked.alias("context")).groupBy("context").agg(next_up.alias("up"), F.max(F.struct("docs", "tokens")).alias("all"))
+    over, beyond = F.coalesce("up.docs_at_least", F.lit(0)), F.coalesce("up.tokens_at_least", F.lit(0))
+    return found.select("context", over.alias("docs_over"), (F.col("all.tokens") - beyond + over * F.col("context")).alias("tokens_kept"), F.col("all.docs").alias("docs"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,4 +349,4 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the histogram is small and read twice: written, so that the texts are encoded once
-    return suffix_sums(written(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "histogram"))
+    return suffix_sums(written(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "histogram")).drop("docs", "tokens")
