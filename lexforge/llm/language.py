@@ -1,38 +1,46 @@
 """Operator 7: language identification by cross-parsing entropy.
 
-For every language a suffix automaton of labelled text is laid out as a dense table over the letters of that text, or,
-when dense tables get too large, as a sorted list of its transitions.  A text is cut greedily into the
-longest phrases that occur in a language's labelled text; the language that needs the fewest phrases, each counted as
-the logarithm of that text's length and divided by the letters read, wins.  Texts are parsed in blocks of BLOCK
-characters, many at once, and a block's end ends a phrase: every character of every text is read.
-
-Letters are lower-cased and everything else counts as one space.  Text that is null or has no letter is `und` with
-score 0.  Ties go to the language first in order.  With no labelled text at all every text is `und`.
+For every language a suffix automaton of labelled texts, each learned whole, is laid out as a dense table over the
+letters of those texts, or, when dense tables get too large, as a sorted list of its transitions.  A text is cut greedily
+into the longest phrases that occur in a language's labelled text; the language that needs the fewest phrases, each
+counted as the logarithm of that text's length and divided by the letters read, wins.  Every character of every text is
+read, and a phrase goes on over whatever blocks and pieces the text is read in: many texts are parsed side by side, and
+the last, longest ones one by one from where they stand.
+
+Labelled texts are a bounded sample of rows: of each language at most ROWS that are not held out, of those with at most
+LONGEST characters, chosen by a hash of id and text; a language without any so short is learned from its shortest one.
+
+Letters are lower-cased and every run of anything else counts as one space.  Text that is null or has no letter is `und`
+with score 0.  Ties go to the language first in order.  With no labelled text at all every text is `und`.  Rows with
+null ids or languages are predicted but not learned; repeated rows are predicted each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import held_out, text_buffer
+from .textops import held_out, text_buffer, tidied
 
-#: Characters of labelled text learned for each language, at most, whatever the alphabets and the number of languages.
-LEARNED = 20_000
+#: Labelled documents learned for each language, at most.
+ROWS = 16
+#: Characters of a document that is learned, at most, where the language has one so short.
+LONGEST = 8_192
 #: Cells of all dense tables together, at most.
 CELLS = 16_000_000
-#: Labelled documents read for each language, at most (one for each value of the id's hash modulo this).
-SALTS = 64
-#: Places of a document that its characters are taken from.
-PLACES = 3
-BLOCK = 384
+#: Bytes of text that are parsed together; longer texts are read piece by piece.
+PIECE = 1 << 21
+#: Characters that all texts advance before those at their end are left out, and texts for which that is worth while.
+BLOCK = 256
+LANES = 48
 UNKNOWN = "und"
 
 
@@ -90,6 +98,34 @@ def dense(rows: list[dict[int, int]], width: int) -> np.ndarray:
     return step
 
 
+class Dense:
+    """A flat table of where each (state, class) leads, states multiplied by the width; where a phrase begins, ~ of the
+    state that it begins with (negative).  State 0 is before any phrase and after a character that occurs nowhere."""
+
+    kind = np.int32
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table = table
+
+    def advance(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Moves the states on by a class each; -1 where a phrase begins, else 0."""
+        state += c
+        np.take(self.table, state, out=state, mode="clip")
+        begun = state >> 31
+        state ^= begun
+        return begun
+
+    def run(self, chars: np.ndarray, state: int) -> tuple[int, int]:
+        """Phrases that begin in a sequence of classes, and the state after it."""
+        table, count = memoryview(self.table), 0
+        for c in chars.tolist():
+            state = table[state + c]
+            if state < 0:
+                state = ~state
+                count += 1
+        return count, state
+
+
 @dataclass
 class Sparse:
     """Sorted keys (state, from 1, times the width, and class), the states that they lead to, and each class's state at
@@ -98,13 +134,26 @@ class Sparse:
     keys: np.ndarray
     to: np.ndarray
     first: np.ndarray
+    kind = np.int64
 
-    def next(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after a class, and where a phrase begins with it."""
+    def advance(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         key = state * len(self.first) + c
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         begun = self.keys[at] != key
-        return np.where(begun, self.first[c], self.to[at]), begun
+        state[:] = np.where(begun, self.first[c], self.to[at])
+        return -begun.astype(np.int64)
+
+    def run(self, chars: np.ndarray, state: int) -> tuple[int, int]:
+        keys, to, first, width, count = memoryview(self.keys), memoryview(self.to), memoryview(self.first), len(self.first), 0
+        for c in chars.tolist():
+            key = state * width + c
+            at = bisect_left(keys, key)
+            if at < len(keys) and keys[at] == key:
+                state = to[at]
+            else:
+                state = first[c]
+                count += 1
+        return count, state
 
 
 def sparse(rows: list[dict[int, int]], width: int) -> Sparse:
@@ -113,16 +162,14 @@ def sparse(rows: list[dict[int, int]], width: int) -> Sparse:
     first = np.zeros(width, np.int64)
     for c, to in rows[0].items():
         first[c] = to + 1
-    return Sparse(found[:, 0], found[:, 1], first)
+    return Sparse(found[:, 0].copy(), found[:, 1].copy(), first)
 
 
-def parse_table(step: np.ndarray) -> np.ndarray:
-    """Flat table of where each (state, class) leads, states multiplied by the width; where a phrase begins, ~ of the
-    state that it begins with (negative).  State 0 is before any phrase and after a character that occurs nowhere."""
+def parse_table(step: np.ndarray) -> Dense:
     width = step.shape[1]
     first = ~np.where(step[0] >= 0, (step[0] + 1) * width, 0)
     inside = np.where(step >= 0, (step + 1) * width, first[None, :])
-    return np.concatenate([first[None, :], inside]).astype(np.int32).ravel()
+    return Dense(np.concatenate([first[None, :], inside]).astype(np.int32).ravel())
 
 
 @dataclass
@@ -134,7 +181,7 @@ class Model:
     classes: np.ndarray
     width: int
     local: list[np.ndarray]
-    tables: list[np.ndarray | Sparse]
+    tables: list[Dense | Sparse]
     bits: np.ndarray
 
     def normal(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +189,7 @@ class Model:
         letter, _ = _letters()
         text = raw.tobytes().decode("utf-8", "replace")
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ahead = np.zeros(len(raw) + 1, np.int64)
+        ahead = np.zeros(len(raw) + 1, np.int32)
         np.cumsum((raw & 0xC0) != 0x80, out=ahead[1:])
         at = ahead[offs]
         known = self.classes[points]
@@ -150,48 +197,67 @@ class Model:
         drop[1:] = (known[1:] == 0) & (known[:-1] == 0)
         inner = at[:-1][at[:-1] < len(points)]
         drop[inner] = False
-        kept = np.zeros(len(points) + 1, np.int64)
+        kept = np.zeros(len(points) + 1, np.int32)
         np.cumsum(~drop, out=kept[1:])
-        letters = np.zeros(len(points) + 1, np.int64)
+        letters = np.zeros(len(points) + 1, np.int32)
         np.cumsum(letter[points], out=letters[1:])
-        return known[~drop], kept[at], letters[at[1:]] - letters[at[:-1]]
+        return known[~drop], kept[at].astype(np.int64), letters[at[1:]] - letters[at[:-1]]
 
     def phrases(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases of each document (rows) in each language (columns)."""
-        n, sizes = len(bounds) - 1, np.diff(bounds)
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(n), blocks)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = bounds[:-1][owner] + inside * BLOCK
-        length = np.minimum(BLOCK, bounds[1:][owner] - start)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        out = np.zeros((n, len(self.tables)))
-        if not len(owner):
-            return out
-        longest = int(length[0])
-        lanes = np.searchsorted(-length, -np.arange(longest), side="left")  # lanes longer than t
-        padded = np.append(chars, np.zeros(BLOCK, chars.dtype))
-        grid = padded[start[None, :] + np.arange(longest)[:, None]].astype(np.int32)
+        sizes = np.diff(bounds)
+        order = np.argsort(-sizes, kind="stable")
+        start, length = bounds[:-1][order], sizes[order]
+        out = np.zeros((len(sizes), len(self.tables)))
+        side_by_side = int(length[LANES - 1]) // BLOCK * BLOCK if len(length) >= LANES else 0
         for k, table in enumerate(self.tables):
-            wide = isinstance(table, Sparse)
-            state, count = np.zeros(len(owner), np.int64 if wide else np.int32), np.zeros(len(owner), np.int32)
-            own = self.local[k][grid]
-            for t in range(longest):
-                m = lanes[t]
-                if wide:
-                    state[:m], begun = table.next(state[:m], own[t, :m])
-                    count[:m] += begun
-                    continue
-                s = state[:m]
-                s += own[t, :m]
-                np.take(table, s, out=s, mode="clip")
-                begun = s >> 31  # -1 where a phrase begins, else 0
-                s ^= begun
-                count[:m] -= begun
-            out[:, k] = np.bincount(owner, weights=count, minlength=n)
+            own = self.local[k][chars]
+            state, count = np.zeros(len(start), table.kind), np.zeros(len(start), np.int64)
+            for at in range(0, side_by_side, BLOCK):
+                m = int(np.searchsorted(-length, -(at + BLOCK), side="right"))  # those with a whole block left
+                grid = own[start[:m, None] + np.arange(at, at + BLOCK)].T.copy()
+                for c in grid:
+                    count[:m] -= table.advance(state[:m], c)
+            # what is left of each: for most less than a block, side by side again
+            done = np.minimum(length // BLOCK * BLOCK, side_by_side)
+            rest = length - done
+            turn = np.argsort(-rest, kind="stable")
+            alone = int(np.searchsorted(-rest[turn], -BLOCK, side="right")) if side_by_side or len(turn) >= LANES else len(turn)
+            for j in turn[:alone]:
+                more, _ = table.run(own[start[j] + done[j] : start[j] + length[j]], int(state[j]))
+                count[j] += more
+            turn = turn[alone:]
+            if len(turn):
+                begin, left, now = start[turn] + done[turn], rest[turn], state[turn]
+                found, padded = np.zeros(len(turn), np.int64), np.append(own, np.zeros(BLOCK, own.dtype))
+                grid = padded[begin[:, None] + np.arange(int(left[0]))].T.copy()
+                for t, c in enumerate(grid):
+                    m = int(np.searchsorted(-left, -t, side="left"))
+                    found[:m] -= table.advance(now[:m], c[:m])
+                count[turn] += found
+            out[order, k] = count
         return out
 
+    def piecewise(self, raw: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """Phrases of one long text in each language, its characters and its letters; phrases, and what is no letter, go
+        on over the ends of pieces."""
+        count, state = np.zeros(len(self.tables)), [0] * len(self.tables)
+        size = letters = a = 0
+        space = False
+        while a < len(raw):
+            b = min(a + PIECE, len(raw))
+            while b < len(raw) and (raw[b] & 0xC0) == 0x80:
+                b += 1
+            chars, _, found = self.normal(raw[a:b], np.array([0, b - a]))
+            if space and len(chars) and chars[0] == 0:
+                chars = chars[1:]
+            space = bool(chars[-1] == 0) if len(chars) else space
+            for k, table in enumerate(self.tables):
+                more, state[k] = table.run(self.local[k][chars], state[k])
+                count[k] += more
+            size, letters, a = size + len(chars), letters + int(found[0]), b
+        return count, size, letters
+
     def predict(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language (-1 for none) and score of each text."""
         raw, offs = text_buffer(column)
@@ -201,23 +267,13 @@ class Model:
             return best, score
         at = 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + (1 << 20), side="right")) - 1)
-            bits, size, letters = np.zeros((to - at, len(self.tables))), np.zeros(to - at), np.zeros(to - at, np.int64)
-            if to == at + 1 and offs[to] - offs[at] > 1 << 20:  # a very long text goes piece by piece
-                a = int(offs[at])
-                while a < offs[to]:
-                    b = min(a + (1 << 20), int(offs[to]))
-                    while b < offs[to] and (raw[b] & 0xC0) == 0x80:
-                        b += 1
-                    chars, bounds, found = self.normal(raw[a:b], np.array([0, b - a]))
-                    bits += self.phrases(chars, bounds)
-                    size += len(chars)
-                    letters += found
-                    a = b
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + PIECE, side="right")) - 1)
+            if offs[to] - offs[at] > PIECE:
+                count, size, letters = (np.array([x]) for x in self.piecewise(raw[offs[at] : offs[to]]))
             else:
                 chars, bounds, letters = self.normal(raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
-                bits, size = self.phrases(chars, bounds), np.diff(bounds)
-            rate = bits * self.bits[None, :] / np.maximum(size, 1)[:, None]
+                count, size = self.phrases(chars, bounds), np.diff(bounds)
+            rate = count * self.bits[None, :] / np.maximum(size, 1)[:, None]
             least = rate.min(axis=1, keepdims=True)
             share = 1 / np.exp(-8 * (rate - least) / np.maximum(least, 1e-9)).sum(axis=1)
             read = letters > 0
@@ -243,14 +299,14 @@ def build(texts: dict[str, str]) -> Model:
     local, built, bits = [], [], []
     for k in names:
         c = classes[points[k]]
-        c = c[np.append(True, ~((c[1:] == 0) & (c[:-1] == 0)))][:LEARNED]
+        c = c[np.append(True, ~((c[1:] == 0) & (c[:-1] == 0)))]
         own = np.union1d(c, [0])  # what is no letter is 0 here, too, and letters of other languages are the last
         numbers = np.full(width, len(own), np.int32)
         numbers[own] = np.arange(len(own))
         local.append(numbers)
         built.append((automaton(numbers[c]), len(own) + 1))
         bits.append(np.log2(len(c) + 2))
-    tables: list[np.ndarray | Sparse] = [np.zeros(0, np.int32)] * len(names)
+    tables: list[Dense | Sparse] = [Dense(np.zeros(0, np.int32))] * len(names)
     left = CELLS
     for k in sorted(range(len(names)), key=lambda k: len(built[k][0]) * built[k][1]):  # small tables are dense first
         rows, size = built[k]
@@ -259,44 +315,25 @@ def build(texts: dict[str, str]) -> Model:
     return Model(names, classes, width, local, tables, np.array(bits))
 
 
-def spread(text: str, size: int) -> str:
-    """About so many characters of a text, from the middles of its PLACES equal parts; all of it if it is no longer."""
-    if len(text) <= size:
-        return text
-    part = size // PLACES
-    starts = [(2 * k + 1) * len(text) // (2 * PLACES) - part // 2 for k in range(PLACES)]
-    return "\n".join(text[a : a + part] for a in starts)
-
-
-def shared(texts: list[str]) -> str:
-    """LEARNED characters at most of all texts: as many of each as leave room for the others, short ones whole."""
-    low, high = 0, LEARNED
-    while low < high:
-        middle = (low + high + 1) // 2
-        if sum(min(len(t), middle) + PLACES for t in texts) <= LEARNED:
-            low = middle
-        else:
-            high = middle - 1
-    return "\n".join(spread(t, low) for t in texts)
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, longest: int = LONGEST) -> Model:
     """A model from a bounded sample of the documents that are not held out and name a language.
 
-    For each language and each value of the id's hash modulo SALTS one document is chosen, by partial aggregation;
-    of it LEARNED / 16 characters at most are read, from PLACES places, and all documents share what is learned.
+    For each language and each value of a hash modulo rows one document is chosen, by partial aggregation: the one with
+    the least hash of those with at most longest characters.  What reaches the driver, and the model, grows with the
+    number of languages only.
     """
     usable = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter("i is not null and l is not null and t is not null").filter(~held_out(F.col("i")))
-    salted = usable.select("i", "l", F.xxhash64("i").alias("h")).groupBy("l", F.pmod("h", F.lit(SALTS)).alias("s"))
-    chosen = salted.agg(F.min(F.struct("h", "i")).alias("m")).select(F.col("m.i").alias("c"), F.col("l").alias("cl"))
+    hashed = usable.select("l", F.xxhash64("i", "t").alias("h"), F.char_length("t").alias("n"))
+    over = F.when(F.col("n") <= longest, 0).otherwise(F.col("n"))
+    salted = hashed.groupBy("l", F.pmod("h", F.lit(rows)).alias("s")).agg(F.min(F.struct(over.alias("over"), "h")).alias("m"))
+    shortest = F.row_number().over(Window.partitionBy("l").orderBy("m"))
+    chosen = salted.withColumn("r", shortest).filter("m.over = 0 or r = 1").select(F.col("l").alias("cl"), F.col("m.h").alias("c"))
+    same = (F.xxhash64("i", "t") == F.col("c")) & (F.col("l") == F.col("cl"))
+    picked = usable.join(F.broadcast(chosen), same).select("cl", "c", "t").dropDuplicates(["cl", "c"])
     texts: dict[str, list[tuple[int, str]]] = {}
-    most, n = LEARNED // 16, F.char_length("t")
-    places = [F.col("t").substr((F.floor(n * (2 * k + 1) / (2 * PLACES)) - most // PLACES // 2 + 1).cast("int"), F.lit(most // PLACES)) for k in range(PLACES)]
-    part = F.when(n <= most, F.col("t")).otherwise(F.concat_ws("\n", *places))
-    picked = usable.join(F.broadcast(chosen), (F.col("i") == F.col("c")) & (F.col("l") == F.col("cl"))).select("l", F.xxhash64("i").alias("h"), part.alias("t"))
     for row in picked.collect():
-        texts.setdefault(row["l"], []).append((row["h"], row["t"]))
-    return build({k: shared([t for _, t in sorted(v)]) for k, v in texts.items()})
+        texts.setdefault(row["cl"], []).append((row["c"], row["t"]))
+    return build({k: "\n".join(t for _, t in sorted(v)) for k, v in texts.items()})
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +348,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names.take(pa.array(best)), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held"), F.col(text_col)).mapInArrow(predicted, schema)
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held"), F.col(text_col)).mapInArrow(tidied(predicted), schema)
 
 
 def drop_unknown(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -322,7 +359,7 @@ def drop_unknown(docs: DataFrame, model: Model, *, text_col: str = "text") -> Da
         for batch in batches:
             yield batch.filter(pa.array(sent.value.predict(batch.column(at))[0] >= 0))
 
-    return docs.mapInArrow(known, docs.schema)
+    return docs.mapInArrow(tidied(known), docs.schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
