@@ -227,6 +227,11 @@ def test_bpe_against_library(reference_coder):
         j = rng.randint(i, min(len(text), i + 4))
         new, again = coder.reencode(text, i, j, rng.choice(parts))
         assert again == reference_coder.encode_ordinary(new)
+    whole = coder.encoded("The quick  brown fox's tail, 12 times; " * 40)
+    for _ in range(200):  # edits of edits
+        i = rng.randint(0, len(whole.text))
+        whole = coder.edited(whole, i, min(len(whole.text), i + rng.randint(0, 9)), rng.choice(parts))
+        assert whole.ids() == reference_coder.encode_ordinary(whole.text)
     table = bpe.PrefixTable(coder, b"interna")
     table.append(b"tionalisation")
     assert table.ids() == reference_coder._core_bpe.encode_single_piece(b"internationalisation")
@@ -234,6 +239,16 @@ def test_bpe_against_library(reference_coder):
     assert table.ids() == reference_coder._core_bpe.encode_single_piece(b"interna")
 
 
+def test_bpe_remembers_a_bounded_number_of_pieces(monkeypatch, reference_coder):
+    for name, value in (("REMEMBERED", 50), ("PAIRS", 40), ("HEADS", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    coder, rng = bpe.Bpe(), random.Random(12)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12))) for _ in range(8))
+        assert coder.encode(text) == reference_coder.encode_ordinary(text)
+        assert max(len(coder._memory), len(coder._older)) <= 50 and len(coder.known_fits) <= 40 and len(coder._heads) <= 5
+
+
 def test_encode_texts(spark, reference_coder):
     docs, rows = odd_documents(spark)
     got = bpe.encode_texts(docs, keep_ids=True)
@@ -255,7 +270,7 @@ def test_token_counts(spark, reference_coder):
         n = r.n_tokens
         assert r.docs_at_least == sum(s >= n for s in sizes) and r.tokens_at_least == sum(s for s in sizes if s >= n)
         assert r.tokens_if_cut == sum(min(s, n) for s in sizes) and r.quantile == pytest.approx(sum(s <= n for s in sizes) / len(sizes))
-    for r in bpe.context_totals(histogram, [1, 50, 10**6]).collect():
+    for r in bpe.context_totals(bpe.suffix_sums(histogram), [0, 1, 50, 10**6]).collect():
         assert (r.docs_over, r.tokens_kept, r.docs) == (sum(s > r.context for s in sizes), sum(min(s, r.context) for s in sizes), len(sizes))
     assert bpe.suffix_sums(bpe.length_histogram(empty(spark))).count() == 0
 
@@ -315,23 +330,56 @@ def test_labels_are_not_inputs(spark):
     assert kept.schema == docs.schema and kept.count() == toxicity.score(docs, model).filter("predicted = 0").count()
 
 
-def test_phrases_against_plain_parsing():
-    texts = {"aa": "the cat sat on the mat and the dog", "bb": "der hund und die katze auf der matte"}
-    model = language.build(texts)
-
-    def phrases(known, text):
-        n, at = 1, 0
-        while at < len(text):
-            size = 1
-            while at + size < len(text) and text[at : at + size + 1] in known:
-                size += 1
-            at += size
-            n += at < len(text)
-        return n
-
-    for text in ("the katze sat", "cat", "xyz the", "a b c d", "der der der"):
-        chars, bounds, _ = model.normal(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
-        assert model.phrases(chars, bounds)[0].tolist() == [phrases(texts[k], text) for k in model.names]
+def plain_phrases(known, text):
+    """Phrases of a greedy parse, character by character."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        at += size
+        n += 1
+    return n
+
+
+def counted(model, texts):
+    chars, bounds, _ = model.normal(*language.text_buffer(pa.array(texts)))
+    return model.phrases(chars, bounds)
+
+
+@pytest.mark.parametrize("cells", [language.CELLS, 0])
+def test_phrases_against_plain_parsing(monkeypatch, cells):
+    """Short and long texts, alone and side by side, from dense and sparse tables: no block begins a phrase."""
+    monkeypatch.setattr(language, "CELLS", cells)
+    known = {"aa": "the cat sat on the mat and the dog", "bb": "der hund und die katze auf der matte"}
+    model = language.build(known)
+    rng = random.Random(14)
+    words = [*known["aa"].split(), *known["bb"].split(), "xyz", "q"]
+    texts = ["the katze sat", "cat", "xyz the", "a b c d", "der der der", "", *(" ".join(rng.choice(words) for _ in range(rng.choice([3, 90, 200, 700]))) for _ in range(130))]
+    expected = [[plain_phrases(known[k], x) for k in model.names] for x in texts]
+    assert max(map(len, texts)) > 2000
+    assert counted(model, texts).tolist() == expected
+    assert [counted(model, [x])[0].tolist() for x in texts[-20:]] == expected[-20:]
+
+
+@pytest.mark.parametrize("piece", [language.PIECE, 1000])
+def test_phrases_of_very_long_texts(monkeypatch, piece):
+    """Phrases, and runs of what is no letter, go on over the ends of pieces."""
+    monkeypatch.setattr(language, "PIECE", piece)
+    known = {"aa": "the cat sat on the mat é and the dog", "bb": "der hund und die katze auf der matte"}
+    model = language.build(known)
+    rng = random.Random(15)
+    words = [*known["aa"].split(), *known["bb"].split(), "éé", "..", "12"]
+    text = " ".join(rng.choice(words) for _ in range((3 * piece if piece == 1000 else piece // 3)))
+    plain = re.sub("[^a-zé]+", " ", text)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert len(raw) > piece
+    count, size, letters = model.piecewise(raw)
+    assert count.tolist() == [plain_phrases(known[k], plain) for k in model.names]
+    assert size == len(plain) and letters == len(plain.replace(" ", ""))
+    best, score = model.predict(pa.array([text, "the cat", text[: piece // 2]]))
+    rate = count * model.bits
+    assert best[0] == rate.argmin() and best[1] == 0 and 0 < score[0] <= 1
 
 
 def test_learned_length_does_not_depend_on_alphabets(monkeypatch):
@@ -348,11 +396,24 @@ def test_learned_length_does_not_depend_on_alphabets(monkeypatch):
 
 def test_language_learns_beyond_headers(spark):
     docs = spark.createDataFrame([(k, "header " * 200 + chr(0x4E00 + k) * 400, "en") for k in range(40)], "doc_id long, text string, lang string")
-    model = language.fit(docs)
+    model = language.fit(docs, rows=64)
     known = [model.local[0][model.classes[0x4E00 + k]] < model.local[0].max() for k in range(40) if 0 < model.classes[0x4E00 + k] < model.width - 1]
     assert sum(known) >= 15  # one document for each value of the hash
 
 
+def test_language_learns_whole_texts_of_bounded_rows(spark):
+    """At most rows documents of a language, each whole; longer ones only where a language has no other."""
+    rows = [(k, "".join(chr(0x4E00 + 40 * k + j) for j in range(40)), "zh") for k in range(60)] + [(100 + k, "ab" * 5000 + "z" * k, "en") for k in range(1, 9)] + [(200, None, "fr"), (None, "xy", "fr"), (201, "xy", None)]
+    rows = [r for r in rows if not held(r[0])]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    model = language.fit(docs, rows=8, longest=1000)
+    assert model.names == ["en", "zh"]
+    en, zh = ((int(2**b) - 2) for b in model.bits)
+    shortest = min(len(t) for _, t, lang in rows if lang == "en" and t)
+    assert abs(en - shortest) <= 1  # the shortest, whole
+    assert zh % 41 in (39, 40, 0) and 5 * 40 <= zh <= 8 * 41  # whole texts of 40 letters with a space between
+
+
 def test_language_of_odd_rows(spark):
     docs, rows = odd_documents(spark)
     got = language.predict(docs, language.fit(docs)).collect()
@@ -494,6 +555,26 @@ def test_mixing(spark):
     assert mixing.copies(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    """Null, repeated and tied ids: the same mix from any order of the rows, and with any number of digits."""
+    rng = random.Random(13)
+    rows = [(None if k % 3 == 0 else k % 5, " ".join(["w"] * (16 + k % 4)) + f" {k % 6}", None if k % 7 == 0 else "en", rng.choice([None, "a", "b"])) for k in range(120)]
+    rows += [(8, "same words here", lang, "a") for lang in ("en", "de", None, "en", "fr")] + [(None, None, "x", "b"), (None, "", "y", "b")]
+    mixes, places = [], []
+    for k in range(4):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(k + 1)
+        places.append(Counter(tuple(r) for r in mixing.copies(docs, digits=k + 1).collect()))
+        mixes.append(Counter(tuple(r) for r in mixing.mix(docs).collect()))
+    assert all(m == mixes[0] for m in mixes) and all(p == places[0] for p in places)
+
+
+def test_mix_carries_any_columns(spark):
+    docs, _ = odd_documents(spark)
+    docs = docs.withColumns({"_key": F.lit("k"), "_tie": F.lit(1), "_at": F.lit(None).cast("string"), "n": F.lit(1), "s": F.lit("s"), "before": F.lit(2), "target": F.lit(0.5), "m": F.create_map(F.lit("a"), F.lit(1)), "dot.ted": F.lit(1)})
+    assert mixing.mix(docs).schema == docs.schema and mixing.mix(docs).count() == mixing.mix(docs.select("doc_id", "text", "source")).count()
+
+
 def test_mix_comes_near_targets(spark):
     rows = mixing.op9_mixing(spark, "/root/testdata/sf0.1").groupBy(F.col("source_size"), F.col("target")).agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r.taken - r.target) <= 0.05 * r.target + 20_000 for r in rows)
