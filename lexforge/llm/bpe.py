@@ -28,8 +28,10 @@ from .textops import tidied, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct pieces whose ids a worker remembers: twice so many at most, about 200 bytes each.  When the younger half is
-#: full it becomes the older one, whose pieces go if they are not met again meanwhile.
-REMEMBERED = 65_536
+#: full it becomes the older one, whose pieces go if they are not met again meanwhile.  A piece is remembered when it is
+#: met for the second time, as a table of so many marks tells, which is emptied when half full.
+REMEMBERED = 98_304
+MARKS = 1 << 21
 #: Pairs of tokens of which a worker remembers whether they fit; emptied when full.
 PAIRS = 150_000
 #: Bytes of a piece whose table is remembered too, and how many such tables.
@@ -120,6 +122,7 @@ class Bpe:
         self.known_fits: dict[int, bool] = {}
         self._memory: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
+        self._met, self._marked = bytearray(MARKS), 0
         self._heads: dict[bytes, PrefixTable] = {}
 
     def _halves(self, data: bytes, rank: int) -> tuple[int, int]:
@@ -177,17 +180,25 @@ class Bpe:
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
         found = self._memory.get(text)
+        if found is not None:
+            return found
+        found = self._older.get(text)
         if found is None:
-            found = self._older.get(text)
-            if found is None:
-                data = text.encode("utf-8", "surrogatepass")
-                whole = self.ranks.get(data)
-                found = (whole,) if whole is not None else tuple(self.table(data).ids())
-            if len(text) <= 64:
-                if len(self._memory) >= REMEMBERED:
-                    self._older = dict(self._memory)
-                    self._memory.clear()  # callers hold its get
-                self._memory[text] = found
+            data = text.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(data)
+            found = (whole,) if whole is not None else tuple(self.table(data).ids())
+            at = hash(text) % MARKS
+            if not self._met[at]:
+                if 2 * self._marked > MARKS:
+                    self._met, self._marked = bytearray(MARKS), 0
+                self._met[at] = 1
+                self._marked += 1
+                return found
+        if len(text) <= 64:
+            if len(self._memory) >= REMEMBERED:
+                self._older = dict(self._memory)
+                self._memory.clear()  # callers hold its get
+            self._memory[text] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
