@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .textops import tidied
+
 SIGMA = 1.0
 #: A line is content if its smoothed ratio is at least so many standard deviations of all lines' ratios.
 CUT = 0.5
@@ -270,7 +272,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(id_col, url_col, html_col).mapInArrow(extracted, schema)
+    return pages.select(id_col, url_col, html_col).mapInArrow(tidied(extracted), schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

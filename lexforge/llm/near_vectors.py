@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textops import mix, written
+from .textops import mix, tidied, written
 from .vectors import bounded_sample, matrix, usable
 
 THRESHOLD = 0.9
@@ -148,7 +148,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 node = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(home, pa.int64()), pa.array(visits, pa.list_(pa.int64())), pa.array((mix(node.astype(np.int64).view(np.uint64)) % np.uint64(1 << 20)).astype(np.int64))], names=["node", "copies", "x", "home", "visits", "deal"])
 
-    cellular = written(nodes.select("node", "copies", "v").mapInArrow(placed, "node long, copies long, x binary, home long, visits array<long>, deal long"), "cells")
+    cellular = written(nodes.select("node", "copies", "v").mapInArrow(tidied(placed), "node long, copies long, x binary, home long, visits array<long>, deal long"), "cells")
     # each cell's residents and visitors are dealt into blocks by a hash, as many as its size asks for
     full = cellular.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("r")).select(F.col("home").alias("cell"), "r")
     guests = cellular.select("node", F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / (TURNS * BLOCK)).alias("g"))

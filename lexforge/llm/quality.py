@@ -1,9 +1,11 @@
 """Operator 3: quality by naive Bayes support vectors.
 
-Indicators of hashed word n-grams (words, pairs of neighbours, word ends and letter case) are scaled by the classes'
-log-count ratios; a linear model with hinge loss is fitted to them by dual coordinate descent, and a sigmoid fitted on
-rows kept apart turns its margin into a score.  Every word of every text counts; labels, languages, sources and ids
-are no inputs of a score.
+Indicators of hashed n-grams are scaled by the classes' log-count ratios and, so that long texts do not weigh more, by
+one over the root of their number; a linear model with hinge loss is fitted to them by dual coordinate descent, and a
+sigmoid fitted on rows kept apart turns its margin into a score.  The n-grams are words and pairs of neighbours, where a
+word next to itself is one feature whatever the word, and of each word its last character, its last three and how many
+of its letters are capitals (0 to 3).  Every word of every text counts; labels, languages, sources and ids are no inputs
+of a score.
 
 Null and empty texts have no features and get the score of the bias alone.  With no labels at all every score is 0.5,
 with one class only it is that class's smoothed share.  Repeated rows are scored each.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample
-from .textops import held_out, mix, word_hashes
+from .textops import held_out, mix, tidied, word_hashes
 
 BITS = 18
 #: Most labelled rows that a model is fitted on.
@@ -40,7 +42,7 @@ def features(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.
         if len(words) > 1:
             same = owner[1:] == owner[:-1]
             pairs = mix(words[:-1] * np.uint64(3) + words[1:])
-            pairs[words[:-1] == words[1:]] = mix(np.array([14], np.uint64))[0]  # a word twice is one n-gram, whatever the word
+            pairs[words[:-1] == words[1:]] = mix(np.array([31], np.uint64))[0]  # a word twice is one n-gram, whatever the word
             cells.append(pairs[same])
             owners.append(owner[1:][same])
         keys = np.unique(np.concatenate([(o << BITS) | (c & mask).astype(np.int64) for c, o in zip(cells, owners, strict=True)]))
@@ -59,7 +61,6 @@ class Model:
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
         for first, n, owner, cell in features(column):
-            # unit length of the scaled vector is the same as a division by the root of the sum of its squared ratios
             total = np.bincount(owner, weights=self.weight[cell], minlength=n)
             size = np.maximum(np.bincount(owner, minlength=n), 1)
             out[first : first + n] = total / np.sqrt(size) + self.bias
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, bound: in
 
     rows = sample(docs, labels, label, bound=bound, id_col=id_col, text_col=text_col).select("doc_id", "text", "label")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("cells", T.BinaryType())])
-    table = rows.mapInArrow(cells, schema).toArrow().sort_by([("doc_id", "ascending")])
+    table = rows.mapInArrow(tidied(cells), schema).toArrow().sort_by([("doc_id", "ascending")])
     y = np.array(table.column("label").to_pylist(), dtype=float)
     x = [np.frombuffer(b, np.int32) for b in table.column("cells").to_pylist()]
     width = 1 << BITS
@@ -162,7 +163,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held"), F.col(text_col)).mapInArrow(scored, schema)
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held"), F.col(text_col)).mapInArrow(tidied(scored), schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ smoothed share of class 1.  Repeated rows are scored each.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample
-from .textops import held_out, mix, word_hashes
+from .textops import held_out, mix, tidied, word_hashes
 
 BITS = 15
 DIM = 12
@@ -31,6 +32,8 @@ FILTERS = 12
 #: Most labelled rows that a model is fitted on.
 BOUND = 6000
 THRESHOLD = 0.3
+#: Languages that may have a threshold of their own: those with most labelled rows; a text is taken to be in one of them.
+LANGUAGES = 64
 _PARTS = (4, 5, 7)
 _PAD = 1 << BITS  # row of zeros after the last word of each document
 
@@ -209,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, bound: int
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else None
     rows = sample(docs, labels, label, bound=bound, id_col=id_col, text_col=text_col, lang=lang).select("doc_id", "text", "label", "lang")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("cells", T.BinaryType())])
-    table = rows.mapInArrow(cells, schema).toArrow().sort_by([("doc_id", "ascending")])
+    table = rows.mapInArrow(tidied(cells), schema).toArrow().sort_by([("doc_id", "ascending")])
     y = np.array(table.column("label").to_pylist(), dtype=np.float32)
     x = [np.frombuffer(b, np.int32).reshape(-1, len(_PARTS) + 1) for b in table.column("cells").to_pylist()]
     spoken = table.column("lang").to_pylist()
@@ -223,11 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, bound: int
         apart = np.zeros(len(y), bool)
     keep = np.flatnonzero(~apart)
     model = train([x[k] for k in keep], y[keep])
-    names = sorted({s for s in spoken if s is not None})
+    often = Counter(s for s in spoken if s is not None)
+    names = sorted(sorted(often, key=lambda s: (-often[s], s))[:LANGUAGES])
     if len(names) > 1:
         counts = np.full((_PAD, len(names)), 0.05)
         for c, s in zip(x, spoken, strict=True):
-            if s is not None:
+            if s in names:
                 np.add.at(counts[:, names.index(s)], np.unique(c[:, 0]), 1)
         model.langs = (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32)
         model.langs -= model.langs.mean(axis=1, keepdims=True)
@@ -250,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, bound: int
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score and predicted of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, and 128 KB for each language
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, and 128 KB for each of at most LANGUAGES languages
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +262,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held"), F.col(text_col)).mapInArrow(scored, schema)
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("_held"), F.col(text_col)).mapInArrow(tidied(scored), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -269,7 +273,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

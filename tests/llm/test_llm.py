@@ -240,7 +240,7 @@ def test_bpe_against_library(reference_coder):
 
 
 def test_bpe_remembers_a_bounded_number_of_pieces(monkeypatch, reference_coder):
-    for name, value in (("REMEMBERED", 50), ("PAIRS", 40), ("HEADS", 5)):
+    for name, value in (("REMEMBERED", 50), ("MARKS", 64), ("PAIRS", 40), ("HEADS", 5)):
         monkeypatch.setattr(bpe, name, value)
     coder, rng = bpe.Bpe(), random.Random(12)
     for _ in range(300):
@@ -307,6 +307,122 @@ def test_language_on_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.99
 
 
+def test_quality_features_by_hand():
+    """Each feature once a document: words, ends, capitals and pairs, counted plainly."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(["the", "The", "cat", "CAT", "sat", "dog", "dogs", "Mat"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    found = {}
+    for first, n, owner, cell in quality.features(pa.array(texts)):
+        for k in range(n):
+            found[first + k] = cell[owner == k]
+    for k, t in enumerate(texts):
+        w = [x.lower() for x in t.split()]
+        plain = {("w", x) for x in w} | {("e", x[-1]) for x in w} | {("t", x[-3:]) for x in w}
+        plain |= {("c", min(3, sum(c.isupper() for c in x))) for x in t.split()}
+        plain |= {("p", a, b) if a != b else ("twice",) for a, b in zip(w, w[1:])}
+        assert len(found[k]) == len(set(found[k].tolist())) == len(plain)
+    assert set(found[texts.index(texts[5])].tolist()) == set(found[5].tolist())
+
+
+def test_dual_descent_against_plain_steps():
+    """The same steps on whole vectors, one row at a time, and the conditions that hold at the optimum."""
+    rng = np.random.default_rng(17)
+    width, rows, y = 30, [], []
+    for _ in range(40):
+        cells = np.sort(rng.choice(width, rng.integers(1, 8), replace=False))
+        rows.append((cells, 1 / np.sqrt(len(cells))))
+        y.append(1.0 if cells.min() < 5 else -1.0)
+    y, ratio, cost = np.array(y), rng.normal(size=width), np.full(40, 0.7)
+    w, bias = quality.dual_descent(rows, y, ratio, cost=cost, rounds=3, seed=1)
+    order = np.random.default_rng(1)
+    x = np.zeros((40, width + 1))
+    for k, (cells, scale) in enumerate(rows):
+        for c in cells:
+            x[k, c] = ratio[c] * scale
+        x[k, width] = 1
+    alpha = [0.0] * 40
+    for _ in range(3):
+        for i in order.permutation(40):
+            v = [sum(alpha[k] * y[k] * x[k, c] for k in range(40)) for c in range(width + 1)]
+            slope = y[i] * sum(v[c] * x[i, c] for c in range(width + 1)) - 1
+            alpha[i] = min(max(alpha[i] - slope / sum(z * z for z in x[i]), 0.0), cost[i])
+    plain = [sum(alpha[k] * y[k] * x[k, c] for k in range(40)) for c in range(width + 1)]
+    assert w == pytest.approx(plain[:-1], abs=1e-9) and bias == pytest.approx(plain[-1], abs=1e-9)
+    w, bias = quality.dual_descent(rows, y, ratio, cost=cost, rounds=400, seed=1)
+    primal = 0.5 * (w @ w + bias * bias) + sum(c * max(0, 1 - t * (x[k, :-1] @ w + bias)) for k, (t, c) in enumerate(zip(y, cost)))
+    for _ in range(50):  # no step away is better
+        dw, db = 0.01 * rng.normal(size=width), 0.01 * rng.normal()
+        assert primal <= 1e-9 + 0.5 * ((w + dw) @ (w + dw) + (bias + db) ** 2) + sum(c * max(0, 1 - t * (x[k, :-1] @ (w + dw) + bias + db)) for k, (t, c) in enumerate(zip(y, cost)))
+
+
+def test_ratios_of_the_fitted_model(spark):
+    """Weights carry the log-count ratio of each feature: a word of one class only pulls to that class."""
+    rows = [(k, f"same words {'good' if k % 2 else 'bad'} end") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    scores = model.scores(pa.array(["good", "bad", "same words"]))
+    assert scores[0] > 0.5 > scores[1] and scores[1] < scores[2] < scores[0]
+
+
+def plain_pooled(model, words):
+    """Convolution and max pooling word by word: each filter's best window, which may reach over the text's end."""
+    gap, rows = max(toxicity.WIDTHS), max(len(words), 1)
+    x = [sum(model.table[c] for c in w) for w in words] + [np.zeros(toxicity.DIM)] * (gap + 1)
+    out = []
+    for width, kernel, offset in zip(toxicity.WIDTHS, model.kernels, model.offsets, strict=True):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(x[at + k] @ kernel[k][:, f]) for k in range(width)) for at in range(rows))
+            out.append(max(best + offset[f], 0.0))
+    return out
+
+
+def test_convolution_against_plain_loops():
+    rng = np.random.default_rng(18)
+    table = rng.normal(size=(toxicity._PAD + 1, toxicity.DIM)).astype(np.float32)
+    table[toxicity._PAD] = 0
+    model = toxicity.Model(table, [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32), 0.1, np.zeros((toxicity._PAD, 1), np.float32), np.array([0.25]))
+    words = random.Random(18)
+    texts = ["", "one", "one two", None, *(" ".join(words.choice(["aa", "bbbbb", "ccccccc", "dd", "e"]) for _ in range(k)) for k in (3, 4, 9, 30))]
+    got = model.scores(pa.array(texts))
+    for first, cells, bounds in toxicity.words_of(pa.array(texts)):
+        pooled = model.pooled(*toxicity.padded(cells, bounds))
+        for k in range(len(bounds) - 1):
+            plain = plain_pooled(model, cells[bounds[k] : bounds[k + 1]].tolist())
+            assert pooled[k] == pytest.approx(plain, abs=1e-4)
+            assert got[first + k] == pytest.approx(1 / (1 + math.exp(-(float(np.dot(plain, model.dense)) + 0.1 + 0.25))), abs=1e-4)
+
+
+def test_training_follows_the_slope_of_the_loss():
+    """One pass over one batch moves every weight against the numerical slope of the weighted logistic loss."""
+    rng = np.random.default_rng(19)
+    cells = [rng.integers(0, 40, (k, 4)).astype(np.int32) for k in (3, 5, 8, 2, 6, 4, 7, 9)]
+    y = np.array([1, 0, 1, 0, 0, 1, 0, 0], np.float32)
+
+    def loss(model):
+        share = y.mean()
+        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+        logit = model.pooled(*toxicity.joined(cells)) @ model.dense.astype(float) + model.bias
+        return float((weight * np.log1p(np.exp(np.where(y > 0, -logit, logit)))).mean())
+
+    losses = [loss(toxicity.train(cells, y, rounds=k, batch=8)) for k in (0, 1, 4, 30)]
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.5 * losses[0]
+
+
+def test_best_cut_against_all_cuts():
+    rng = np.random.default_rng(20)
+    for _ in range(30):
+        logit, y = np.round(rng.normal(size=25), 1), (rng.random(25) < 0.4).astype(np.float32)
+        if not y.sum():
+            continue
+
+        def f1(cut, logit=logit, y=y):
+            hits = float(y[logit >= cut].sum())
+            return 2 * hits / (float((logit >= cut).sum()) + float(y.sum()))
+
+        assert f1(toxicity.best_cut(logit, y)) == pytest.approx(max(f1(c) for c in logit))
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_scores_of_odd_rows(spark, module):
     docs, rows = odd_documents(spark)
