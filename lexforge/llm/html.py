@@ -1,20 +1,24 @@
 """Operator 10: main text of HTML pages by text-to-tag ratios.
 
 The standard library's parser gives events; block elements cut the page into lines, each with its text, its number of
-tags and the regions (article, main, section, div, ...) around it.  Menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles are left out as their elements pass.  The ratio of text to tags is
-smoothed over the lines with a Gaussian and clustered by a threshold into content and the rest.  The regions that hold
-the content's lines are selected, and all their lines are kept, however short.
+tags and the region (article, main, section, div, list, ...) it stands in; regions form a tree.  Scripts, styles, menus,
+footers, asides, forms and the like are left out as their elements pass.  The ratio of text to tags is smoothed over the
+lines with a Gaussian and clustered by a threshold into content and the rest.  The regions that hold the content's lines
+are selected, and all their lines are kept, however short, but for regions of links of which no line reaches the
+threshold by its own ratio.  Names of elements are hints: one that can only mean an advert, a sidebar or readers' comments drops
+an element, others that may mean boilerplate make a region answer for itself with its characters a tag.
 
 Null or empty html gives empty text and 0 characters; so does a page with nothing but boilerplate.  Every row gives a
-row; other columns are not read.
+row; other columns are not read.  An empty table gives an empty table.  Time grows with the page's length, however deep
+its elements are nested.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -32,6 +36,7 @@ _WORDS = frozenset  # element names of HTML, by role
 BLOCK = _WORDS("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = _WORDS("area base br col embed hr img input link meta param source track wbr".split())
 REGION = _WORDS("article body div main section td".split())
+LIST = _WORDS("dl ol table ul".split())
 DROPPED = _WORDS("aside button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
 CLOSED_BY_BLOCK = _WORDS("p h1 h2 h3 h4 h5 h6 li dt dd td th tr option".split())
 MARKS = re.compile(
@@ -48,8 +53,11 @@ ROLES = _WORDS("navigation search complementary contentinfo menubar toolbar".spl
 NEUTRAL = re.compile(r"(?:\d+|container|wrap|wrapper|box|block|area|section|list|items?|inner|outer|main|site|top|bottom|left|right|primary|secondary|global|sticky|fixed|mobile|desktop|bar|row|col|column|panel|module|group|links?|posts|stories)\Z")
 OWNERS = re.compile(r"(?:post|article|entry|story|blog|user|reader|page|content)\Z")
 HEADINGS = _WORDS("h1 h2 h3 h4 h5 h6".split())
-#: A region with a doubtful name is boilerplate if it has fewer characters a tag than this and than the content's cut.
+#: A region with a doubtful name is boilerplate if it has fewer characters a tag than this and than the content's cut; so
+#: is one of links.
 FEW = 20
+#: The share of its characters that a region of links has in links.
+LINKED = 2 / 3
 #: Words of a class that say what the element has around it, not what it is.
 AROUND = frozenset(("has", "no", "with", "without", "layout"))
 _CUTS = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
@@ -57,25 +65,29 @@ _CUTS = re.compile(r"[\s_\-:.]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Line:
-    regions: tuple[int, ...]
+    region: int
     tags: int = 0
+    linked: int = 0
     parts: list[str] = field(default_factory=list)
     text: str = ""
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page outside of elements that are left out."""
+    """Collects the lines of a page outside of elements that are left out, and the tree of its regions: each has a
+    larger number than the region around it, and region 0 is the body."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.names = {0: "body"}
-        self.open: list[tuple[str, int]] = []  # blocks around, with the region's number or 0
-        self.regions: tuple[int, ...] = (0,)
-        self.line = Line(self.regions)
+        self.names, self.parent = ["body"], [0]
+        self.open: list[tuple[str, int]] = []  # blocks around, each with the region it stands in
+        self.counts: Counter[str] = Counter()  # how many of the open blocks have a name
+        self.region = 0
+        self.line = Line(0)
         self.drop, self.depth, self.remarks = "", 0, False
         self.main = False
         self.doubt = False
+        self.anchor = False
         self.doubtful: set[int] = set()
 
     def cut(self) -> None:
@@ -83,12 +95,12 @@ class Lines(HTMLParser):
             self.line.text = " ".join("".join(self.line.parts).split())
             if self.line.text:
                 self.lines.append(self.line)
-        self.line = Line(self.regions)
+        self.line = Line(self.region)
 
     def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
             return True
-        inside = any(t in ("article", "main") for t, _ in self.open)
+        inside = self.counts["article"] + self.counts["main"] > 0
         if tag == "header":
             return not inside
         if tag in ("html", "body", "main"):
@@ -119,12 +131,10 @@ class Lines(HTMLParser):
 
     def leave(self, tag: str) -> None:
         """Closes the innermost open element of the name and what is open in it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                gone = {r for _, r in self.open[k:] if r}
-                del self.open[k:]
-                if gone:
-                    self.regions = tuple(r for r in self.regions if r not in gone)
+        while self.counts[tag]:
+            name, self.region = self.open.pop()
+            self.counts[name] -= 1
+            if name == tag:
                 break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,17 +155,20 @@ class Lines(HTMLParser):
             if self.open and self.open[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or self.open and self.open[-1][0] == tag and tag in CLOSED_BY_BLOCK:
                 self.leave(self.open[-1][0])
             self.cut()
-            number = 0
-            if (tag in REGION or self.doubt) and tag not in VOID and tag != "body":
-                number = len(self.names)
-                self.names[number] = tag
+            around = self.region
+            if (tag in REGION or tag in LIST or self.doubt) and tag not in VOID and tag != "body":
+                self.region = len(self.names)
+                self.names.append(tag)
+                self.parent.append(around)
                 if self.doubt:
-                    self.doubtful.add(number)
-                self.regions += (number,)
+                    self.doubtful.add(self.region)
                 self.main |= tag in ("article", "main")
             if tag not in VOID and tag not in ("html", "body"):
-                self.open.append((tag, number))
-            self.line = Line(self.regions)
+                self.open.append((tag, around))
+                self.counts[tag] += 1
+            self.line = Line(self.region)
+        elif tag == "a":
+            self.anchor = True
         elif tag == "br":
             self.line.parts.append(" ")
         self.line.tags += 1
@@ -173,7 +186,7 @@ class Lines(HTMLParser):
                 self.depth -= 1
                 if not self.depth:
                     self.drop = ""
-            elif tag in ("body", "html") or self.drop in CLOSED_BY_BLOCK and tag in BLOCK and any(t == tag for t, _ in self.open):
+            elif tag in ("body", "html") or self.drop in CLOSED_BY_BLOCK and tag in BLOCK and self.counts[tag]:
                 self.drop = ""
                 self.handle_endtag(tag)
             return
@@ -181,12 +194,16 @@ class Lines(HTMLParser):
             self.cut()
             if tag not in ("html", "body"):
                 self.leave(tag)
-            self.line = Line(self.regions)
+            self.line = Line(self.region)
+        elif tag == "a":
+            self.anchor = False
         self.line.tags += 1
 
     def handle_data(self, data: str) -> None:
         if not self.drop:
             self.line.parts.append(data)
+            if self.anchor:
+                self.line.linked += len(data.strip())
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -208,41 +225,96 @@ def cut_of(flat: list[float]) -> float:
     return max(CUT * spread, 0.25 * mean)
 
 
-def undoubted(lines: list[Line], doubtful: set[int]) -> list[Line]:
+@dataclass
+class Tree:
+    """The regions of a page: their names, the region around each (a smaller number), and those of doubtful name."""
+
+    names: list[str]
+    parent: list[int]
+    doubtful: set[int]
+
+    def sums(self, lines: list[Line], value: Callable[[Line], float]) -> list[float]:
+        """The sum of a value over the lines of each region and those in it."""
+        out = [0.0] * len(self.parent)
+        for x in lines:
+            out[x.region] += value(x)
+        for r in range(len(out) - 1, 0, -1):
+            out[self.parent[r]] += out[r]
+        return out
+
+    def within(self, marked: Callable[[int], bool]) -> list[bool]:
+        """Whether each region, or one around it, is marked."""
+        out = [False] * len(self.parent)
+        for r in range(len(out)):
+            out[r] = marked(r) or r > 0 and out[self.parent[r]]
+        return out
+
+
+def ratios(lines: list[Line]) -> list[float]:
+    """The text-to-tag ratio of each line."""
+    return [len(x.text) / max(1, x.tags) for x in lines]
+
+
+def undoubted(lines: list[Line], tree: Tree) -> list[Line]:
     """The lines without the regions of doubtful name that have few characters a tag."""
-    sizes = {r: [0, 0] for r in doubtful}
-    for x in lines:
-        for r in doubtful.intersection(x.regions):
-            sizes[r][0] += len(x.text)
-            sizes[r][1] += x.tags
-    least = min(FEW, cut_of(smoothed([len(x.text) / max(1, x.tags) for x in lines])))
-    gone = {r for r, (size, tags) in sizes.items() if size < least * max(1, tags)}
-    return [x for x in lines if gone.isdisjoint(x.regions)]
+    size, tags = tree.sums(lines, lambda x: len(x.text)), tree.sums(lines, lambda x: x.tags)
+    least = min(FEW, cut_of(smoothed(ratios(lines))))
+    gone = tree.within(lambda r: r in tree.doubtful and size[r] < least * max(1, tags[r]))
+    return [x for x in lines if not gone[x.region]]
 
 
-def content(lines: list[Line], names: dict[int, str], doubtful: set[int]) -> list[Line]:
+def content(lines: list[Line], tree: Tree) -> list[Line]:
     """The lines of the regions that hold the content."""
-    if lines and doubtful:
-        lines = undoubted(lines, doubtful)
+    if lines and tree.doubtful:
+        lines = undoubted(lines, tree)
     if not lines:
         return []
-    flat = smoothed([len(x.text) / max(1, x.tags) for x in lines])
+    flat = smoothed(ratios(lines))
     cut = cut_of(flat)
     chosen = [v >= cut for v in flat]
-    holding = {r for x, good in zip(lines, chosen, strict=True) if good for r in x.regions}
-    articles = {r for x in lines for r in x.regions if names[r] == "article"}
-    mains = {r for x in lines for r in x.regions if names[r] == "main"}
-    marked = articles | mains
-    if marked and (marked & holding or not holding):
+    selected = regions_of(lines, chosen, tree)
+    if not any(chosen):
+        return selected
+    # regions of links of which no line reaches the cut by itself
+    own = [x for x, v in zip(lines, ratios(lines), strict=True) if v >= cut]
+    holding, size = tree.sums(own, lambda x: 1), tree.sums(lines, lambda x: len(x.text))
+    tags, linked = tree.sums(lines, lambda x: x.tags), tree.sums(lines, lambda x: x.linked)
+    gone = tree.within(lambda r: r > 0 and not holding[r] and size[r] < FEW * tags[r] and linked[r] >= LINKED * size[r] > 0)
+    return [x for x in selected if not gone[x.region]]
+
+
+def regions_of(lines: list[Line], chosen: list[bool], tree: Tree) -> list[Line]:
+    """The lines of the regions that the chosen lines select."""
+    good = [x for x, c in zip(lines, chosen, strict=True) if c]
+    names, holding = tree.names, tree.sums(good, lambda x: 1)
+    in_article, in_main = tree.within(lambda r: names[r] == "article"), tree.within(lambda r: names[r] == "main")
+    marked = [a or m for a, m in zip(in_article, in_main, strict=True)]
+    plain = list(range(len(names)))  # the innermost region that is no list
+    for r in range(1, len(names)):
+        if names[r] in LIST and r not in tree.doubtful:
+            plain[r] = plain[tree.parent[r]]
+    if any(marked[x.region] for x in lines) and (not good or any(marked[x.region] for x in good)):
         # all of the articles; of a main around articles its own lines and those of its regions with content, or else all
-        around = {r for x in lines if not articles.isdisjoint(x.regions) for r in x.regions if r in mains}
-        return [x for x in lines if not articles.isdisjoint(x.regions) or any(r in mains and (r not in around or x.regions[-1] == r or x.regions[-1] in holding) for r in x.regions)]
+        articles = tree.sums([x for x in lines if in_article[x.region]], lambda x: 1)
+        alone = tree.within(lambda r: names[r] == "main" and not articles[r])
+
+        def kept(r: int) -> bool:
+            own = plain[r]
+            return in_article[r] or alone[r] or in_main[r] and (names[own] == "main" or holding[own] > 0)
+
+        return [x for x in lines if kept(x.region)]
     # the innermost region with all content lines and what is marked
-    chosen = [good or not marked.isdisjoint(x.regions) for x, good in zip(lines, chosen, strict=True)]
-    best = max(set.intersection(*(set(x.regions) for x, good in zip(lines, chosen, strict=True) if good)), default=0) if any(chosen) else 0
-    held = [k for k, x in enumerate(lines) if best in x.regions]
-    good = [k for k in held if chosen[k]]
-    return [lines[k] for k in held if good and good[0] <= k <= good[-1]] if best == 0 else [lines[k] for k in held]
+    wanted = [c or marked[x.region] for x, c in zip(lines, chosen, strict=True)]
+    if not any(wanted):
+        return []
+    all_of = tree.sums([x for x, w in zip(lines, wanted, strict=True) if w], lambda x: 1)
+    best = max(r for r in range(len(names)) if all_of[r] == all_of[0] and plain[r] == r)
+    inside = tree.within(lambda r: r == best)
+    held = [k for k, x in enumerate(lines) if inside[x.region]]
+    if best:
+        return [lines[k] for k in held]
+    ends = [k for k in held if wanted[k]]
+    return [lines[k] for k in held if ends[0] <= k <= ends[-1]]
 
 
 def main_text(html: str | None) -> str:
@@ -258,7 +330,7 @@ def main_text(html: str | None) -> str:
         parser.feed(html.replace("<![", "&lt;!["))
         parser.close()
     parser.cut()
-    return "\n\n".join(x.text for x in content(parser.lines, parser.names, parser.doubtful))
+    return "\n\n".join(x.text for x in content(parser.lines, Tree(parser.names, parser.parent, parser.doubtful)))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

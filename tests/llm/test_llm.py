@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -772,6 +773,75 @@ def test_content_outside_of_articles():
     assert html.main_text(f"<body>{body}{teaser}</body>").count(LONG.strip()) == 3
 
 
+def plain_main(divs):
+    """The method on pages of divs of lines (text, whether it is a link), by the formulas: the ratio of each line, the
+    Gaussian mean of its neighbours, the cut, the div or the run of lines that holds all content, and no lists of links."""
+    lines = [(k, text, 3 if link else 1, link) for k, div in enumerate(divs) for text, link in div]
+    ratio = [len(text) / tags for _, text, tags, _ in lines]
+    flat = []
+    for i in range(len(lines)):
+        near = [j for j in range(len(lines)) if abs(i - j) <= 3]
+        weights = [math.exp(-((i - j) ** 2) / 2) for j in near]
+        flat.append(sum(w * ratio[j] for w, j in zip(weights, near)) / sum(weights))
+    mean = sum(flat) / len(flat)
+    cut = max(0.5 * math.sqrt(sum((v - mean) ** 2 for v in flat) / len(flat)), 0.25 * mean)
+    good = [i for i, v in enumerate(flat) if v >= cut]
+    holding = {lines[i][0] for i in good}
+    kept = [i for i, x in enumerate(lines) if x[0] in holding] if len(holding) == 1 else range(good[0], good[-1] + 1)
+
+    def links(k):
+        own = [x for x in lines if x[0] == k]
+        size = sum(len(x[1]) for x in own)
+        return max(len(x[1]) / x[2] for x in own) < cut and size < 20 * sum(x[2] for x in own) and 3 * sum(len(x[1]) for x in own if x[3]) >= 2 * size
+
+    return "\n\n".join(lines[i][1] for i in kept if not links(lines[i][0]))
+
+
+def test_pages_without_articles_against_the_formulas(monkeypatch):
+    rng = random.Random(21)
+
+    def line(low, high):
+        return " ".join("w" * rng.randint(2, 9) for _ in range(rng.randint(low, high)))
+
+    pages = []
+    for _ in range(200):
+        divs = [[(line(1, 2), True) for _ in range(rng.randint(3, 9))]]
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "text", "menu", "short"])
+            divs.append([(line(1, 3), True) if kind == "menu" else (line(1, 4) if kind == "short" else line(2, 60), False) for _ in range(rng.randint(1, 8))])
+        pages.append(divs)
+    html_of = ["".join("<div>" + "".join(f"<p><a href=x>{x}</a></p>" if link else f"<p>{x}</p>" for x, link in div) + "</div>" for div in divs) for divs in pages]
+    got = [html.main_text(f"<body>{p}</body>") for p in html_of]
+    assert got == [plain_main(d) for d in pages]
+    monkeypatch.setattr(html, "smoothed", lambda values, sigma=1.0: [1.0] * len(values))  # the ratio decides
+    assert sum(html.main_text(f"<body>{p}</body>") != x for p, x in zip(html_of, got)) > 150
+
+
+def test_lists_of_links_in_articles(monkeypatch):
+    """Inside an article, too, the ratio decides on a region of links; lists of text and links in text stay."""
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Story {k}</a></li>" for k in range(6)) + "</ul>"
+    short = "<ul><li>Nausea</li><li>Fever</li></ul>"
+    page = f"<article><p>{LONG}</p>{short}<p>{LONG} <a href=x>see</a></p><p><a href=y>One more link</a></p><div>{links}</div><p>{LONG}</p></article>"
+    kept = "\n\n".join([LONG.strip(), "Nausea", "Fever", f"{LONG.strip()} see", "One more link", LONG.strip()])
+    assert html.main_text(page) == kept
+    monkeypatch.setattr(html, "smoothed", lambda values, sigma=1.0: [1.0] * len(values))
+    assert html.main_text(page) != kept
+
+
+@pytest.mark.parametrize("inner", ["<div class='review-body'><p>The book reads well from start to end, and more.</p></div>", "<div class='search-results alert'><p>Doctors warn of the new strain in the north.</p></div>"])
+def test_named_paragraphs_stay(inner):
+    """In an article; outside of one an element that is named alert and nothing else is a notice."""
+    for page in (f"<article><p>{LONG}</p>{inner}</article>", f"<body><div><p>{LONG}</p>{inner.replace(' alert', '')}<p>{LONG}</p></div></body>"):
+        assert re.sub("<[^>]+>", "", inner) in html.main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 8000, "<section>" * 20_000 + "x" + "</section>" * 20_000, "<ul><li>" * 5000 + "</b></div>" * 5000, "<article>y" * 4000, "<p>" * 20_000 + "z", "<div class=menu>" * 5000 + "q"])
+def test_deep_pages_take_time_by_length(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 2
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (1, None, None, "t"), (None, "v", "<p>é", "t")], "page_id long, url string, html string, text string")
     assert Counter(tuple(r) for r in html.extract(pages).collect()) == Counter([(1, "u", "a b", 3), (1, None, "", 0), (None, "v", "é", 1)])
