@@ -628,15 +628,35 @@ def test_top_products(spark):
     assert top_products.top_products(empty(spark, VECTORS)).count() == 0
 
 
+def plain_top(rows, every, k=5):
+    """Each query row's ranking by brute force."""
+    live = [(n, i, np.floor(256 * np.array(v, float))) for n, (i, v) in enumerate(rows) if i is not None and usable(v)]
+    out = Counter()
+    for n, i, v in live:
+        if i % every == 0:
+            best = sorted((-int(v @ w), j) for m, j, w in live if m != n and len(w) == len(v))[:k]
+            out.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
+    return out
+
+
 def test_top_products_in_many_blocks(spark, monkeypatch):
     table, rows = odd_vectors(spark, 400)
-    for name, value in (("STRIPE", 64), ("QUERIES", 8), ("STEP", 16)):
+    for name, value in (("STRIPE", 64), ("QUERIES", 8), ("STEP", 16), ("TURNS", 2), ("LEAST", 50)):
         monkeypatch.setattr(top_products, name, value)
-    live = [(i, np.floor(256 * np.array(v, float))) for i, v, _ in rows if usable(v) and len(v) == 8]
-    got = {(r.query_id, r["rank"]): r.score for r in top_products.top_products(table, every=5).collect()}
-    for q, v in live:
-        if q % 5 == 0:
-            assert [got[q, k] for k in range(1, 6)] == sorted((int(v @ w) for j, w in live if j != q), reverse=True)[:5]
+    assert Counter(tuple(r) for r in top_products.top_products(table, every=5).collect()) == plain_top([(i, v) for i, v, _ in rows], 5)
+
+
+def test_top_products_of_repeated_ids_and_ties(spark, monkeypatch):
+    """Rows are told apart by themselves: repeated ids, repeated vectors and equal scores, in one block and in many."""
+    rng = np.random.default_rng(22)
+    rows = [(int(rng.integers(0, 30)) if k % 9 else None, [float(x) for x in rng.integers(-2, 3, 6)]) for k in range(150)]
+    rows += [(50, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0])] * 3 + [(50, [0.5] * 6), (100, [0.0] * 6), (7, [1.0, 2.0])]
+    table = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "vec_id long, embedding array<double>, block string, row int, length double").repartition(5)
+    expected = plain_top(rows, 10)
+    assert Counter(tuple(r) for r in top_products.top_products(table, every=10).collect()) == expected
+    for name, value in (("STRIPE", 20), ("QUERIES", 3), ("STEP", 4), ("TURNS", 2)):
+        monkeypatch.setattr(top_products, name, value)
+    assert Counter(tuple(r) for r in top_products.top_products(table, every=10).collect()) == expected
 
 
 # --- 9: mixing ---------------------------------------------------------------------------------------------------------
