@@ -37,7 +37,7 @@ LONGEST = 8_192
 #: Cells of all dense tables together, at most.
 CELLS = 16_000_000
 #: Bytes of text that are parsed together; longer texts are read piece by piece.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Characters that all texts advance before those at their end are left out, and texts for which that is worth while.
 BLOCK = 256
 LANES = 48
@@ -192,16 +192,17 @@ class Model:
         ahead = np.zeros(len(raw) + 1, np.int32)
         np.cumsum((raw & 0xC0) != 0x80, out=ahead[1:])
         at = ahead[offs]
+        del text, ahead
         known = self.classes[points]
-        drop = np.zeros(len(points), bool)
-        drop[1:] = (known[1:] == 0) & (known[:-1] == 0)
-        inner = at[:-1][at[:-1] < len(points)]
-        drop[inner] = False
-        kept = np.zeros(len(points) + 1, np.int32)
-        np.cumsum(~drop, out=kept[1:])
-        letters = np.zeros(len(points) + 1, np.int32)
-        np.cumsum(letter[points], out=letters[1:])
-        return known[~drop], kept[at].astype(np.int64), letters[at[1:]] - letters[at[:-1]]
+        total = np.zeros(len(points) + 1, np.int32)
+        np.cumsum(letter[points], out=total[1:])
+        letters = total[at[1:]] - total[at[:-1]]
+        del points
+        keep = np.ones(len(known), bool)
+        keep[1:] = (known[1:] != 0) | (known[:-1] != 0)
+        keep[at[:-1][at[:-1] < len(known)]] = True
+        np.cumsum(keep, out=total[1:])
+        return known[keep], total[at].astype(np.int64), letters
 
     def phrases(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases of each document (rows) in each language (columns)."""
@@ -357,7 +358,9 @@ def drop_unknown(docs: DataFrame, model: Model, *, text_col: str = "text") -> Da
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.predict(batch.column(at))[0] >= 0))
+            good = pa.array(sent.value.predict(batch.column(at))[0] >= 0)
+            for k in range(0, batch.num_rows, 1024):  # in parts, which do not copy the whole batch at a time
+                yield batch.slice(k, 1024).filter(good.slice(k, 1024))
 
     return docs.mapInArrow(tidied(known), docs.schema)
 

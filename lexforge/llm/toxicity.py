@@ -271,7 +271,9 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.scores(batch.column(at)) < threshold))
+            good = pa.array(sent.value.scores(batch.column(at)) < threshold)
+            for k in range(0, batch.num_rows, 1024):  # in parts, which do not copy the whole batch at a time
+                yield batch.slice(k, 1024).filter(good.slice(k, 1024))
 
     return docs.mapInArrow(tidied(clean), docs.schema)
 
