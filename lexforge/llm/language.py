@@ -36,7 +36,7 @@ ROWS = 16
 LONGEST = 8_192
 #: Cells of all dense tables together, at most.
 CELLS = 16_000_000
-#: Bytes of text that are parsed together; longer texts are read piece by piece.
+#: Bytes of text whose letters are looked up together; longer texts are read piece by piece.
 PIECE = 1 << 20
 #: Characters that all texts advance before those at their end are left out, and texts for which that is worth while.
 BLOCK = 256
@@ -110,7 +110,7 @@ class Dense:
     def advance(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Moves the states on by a class each; -1 where a phrase begins, else 0."""
         state += c
-        np.take(self.table, state, out=state, mode="clip")
+        self.table.take(state, out=state, mode="clip")
         begun = state >> 31
         state ^= begun
         return begun
@@ -212,12 +212,11 @@ class Model:
         out = np.zeros((len(sizes), len(self.tables)))
         side_by_side = int(length[LANES - 1]) // BLOCK * BLOCK if len(length) >= LANES else 0
         for k, table in enumerate(self.tables):
-            own = self.local[k][chars]
+            own = self.local[k]
             state, count = np.zeros(len(start), table.kind), np.zeros(len(start), np.int64)
             for at in range(0, side_by_side, BLOCK):
                 m = int(np.searchsorted(-length, -(at + BLOCK), side="right"))  # those with a whole block left
-                grid = own[start[:m, None] + np.arange(at, at + BLOCK)].T.copy()
-                for c in grid:
+                for c in own[chars[start[:m, None] + np.arange(at, at + BLOCK)].T]:
                     count[:m] -= table.advance(state[:m], c)
             # what is left of each: for most less than a block, side by side again
             done = np.minimum(length // BLOCK * BLOCK, side_by_side)
@@ -225,14 +224,13 @@ class Model:
             turn = np.argsort(-rest, kind="stable")
             alone = int(np.searchsorted(-rest[turn], -BLOCK, side="right")) if side_by_side or len(turn) >= LANES else len(turn)
             for j in turn[:alone]:
-                more, _ = table.run(own[start[j] + done[j] : start[j] + length[j]], int(state[j]))
+                more, _ = table.run(own[chars[start[j] + done[j] : start[j] + length[j]]], int(state[j]))
                 count[j] += more
             turn = turn[alone:]
             if len(turn):
                 begin, left, now = start[turn] + done[turn], rest[turn], state[turn]
-                found, padded = np.zeros(len(turn), np.int64), np.append(own, np.zeros(BLOCK, own.dtype))
-                grid = padded[begin[:, None] + np.arange(int(left[0]))].T.copy()
-                for t, c in enumerate(grid):
+                found, last = np.zeros(len(turn), np.int64), max(len(chars) - 1, 0)
+                for t, c in enumerate(own[chars[np.minimum(begin[:, None] + np.arange(int(left[0])), last)].T]):
                     m = int(np.searchsorted(-left, -t, side="left"))
                     found[:m] -= table.advance(now[:m], c[:m])
                 count[turn] += found
@@ -263,25 +261,29 @@ class Model:
         """Number of the language (-1 for none) and score of each text."""
         raw, offs = text_buffer(column)
         n = len(offs) - 1
-        best, score = np.full(n, -1, np.int64), np.zeros(n)
-        if not self.tables:
-            return best, score
-        at = 0
+        if not self.tables or not n:
+            return np.full(n, -1, np.int64), np.zeros(n)
+        counts, sizes, letters = np.zeros((n, len(self.tables))), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        # the classes of all texts, in as few bytes as they need, are made piece by piece and parsed together
+        chars = np.zeros(int(offs[-1]) if n else 0, np.uint8 if self.width <= 1 << 8 else np.uint16 if self.width <= 1 << 16 else np.int32)
+        at = end = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + PIECE, side="right")) - 1)
             if offs[to] - offs[at] > PIECE:
-                count, size, letters = (np.array([x]) for x in self.piecewise(raw[offs[at] : offs[to]]))
+                counts[at], sizes[at], letters[at] = self.piecewise(raw[offs[at] : offs[to]])
             else:
-                chars, bounds, letters = self.normal(raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
-                count, size = self.phrases(chars, bounds), np.diff(bounds)
-            rate = count * self.bits[None, :] / np.maximum(size, 1)[:, None]
-            least = rate.min(axis=1, keepdims=True)
-            share = 1 / np.exp(-8 * (rate - least) / np.maximum(least, 1e-9)).sum(axis=1)
-            read = letters > 0
-            best[at:to] = np.where(read, rate.argmin(axis=1), -1)
-            score[at:to] = np.where(read, share, 0.0)
+                found, bounds, letters[at:to] = self.normal(raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
+                sizes[at:to] = np.diff(bounds)
+                chars[end : end + len(found)] = found
+                end += len(found)
             at = to
-        return best, score
+        short = np.diff(offs) <= PIECE
+        counts[short] = self.phrases(chars[:end], np.append(0, np.cumsum(sizes[short])))
+        rate = counts * self.bits[None, :] / np.maximum(sizes, 1)[:, None]
+        least = rate.min(axis=1, keepdims=True)
+        share = 1 / np.exp(-8 * (rate - least) / np.maximum(least, 1e-9)).sum(axis=1)
+        read = letters > 0
+        return np.where(read, rate.argmin(axis=1), -1), np.where(read, share, 0.0)
 
 
 def build(texts: dict[str, str]) -> Model:
