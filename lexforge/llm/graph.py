@@ -49,3 +49,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 60
             raise RuntimeError("components did not settle")
     tops = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows with the columns of the table (one row for each key, with how many of all rows have it), but for the weight.
+    Keys that a thousandth of the rows or more have, a thousand at most, are sent to all tasks, so that none gets all rows
+    of such a key; the others are joined by shuffle.  Rows without a match go."""
+    heavy = F.col(weight) * 1000 >= total
+    often, seldom = table.filter(heavy).drop(weight), table.filter(~heavy).drop(weight)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(rest.join(seldom, key))

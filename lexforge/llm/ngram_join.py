@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from .graph import components, look_up
 from .textops import forget, free_name, mix, tidied, tidy, word_hashes, written
 
 WORDS = 5
@@ -47,6 +47,8 @@ POSTINGS = 200_000
 FLUSH = 250_000
 #: A list is long if its counter holds so many postings more than most counters do.
 LONG = 16
+#: Long lists in which a node meets the hub: so many at most, those with the least keys, which copies have in common.
+HUBS = 8
 #: Nodes of a part of a long list; two parts meet in one task.
 PART = 2_048
 #: What one other entry of a list costs to scan, in keys that are enumerated: about a third of the entries have a
@@ -366,7 +368,8 @@ def postings(nodes: DataFrame, small: int, long: Broadcast, buckets: int) -> Dat
 
 
 def long_postings(nodes: DataFrame, small: int, long: Broadcast) -> DataFrame:
-    """(key, node, n, shared, place, b1, b2) of the postings in lists that may be long, one row each."""
+    """(key, node, n, shared, place, b1, b2, meets) of the postings in lists that may be long, one row each; meets is
+    true for those in which the node meets the hub."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,9 +381,10 @@ def long_postings(nodes: DataFrame, small: int, long: Broadcast) -> DataFrame:
                 if not len(owner):
                     continue
                 key, place, before = (np.concatenate([getattr(k, name) for k in found]) for name in ("key", "place", "before"))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(k).take(owner) for k in range(3)), pa.array(place.astype(np.int64)), *(pa.array(before[:, k].copy().view(np.int64)) for k in (0, 1))], names=["key", "node", "n", "shared", "place", "b1", "b2"])
+                meets = np.concatenate([k.key <= np.partition(k.key, HUBS - 1)[HUBS - 1] if len(k.key) > HUBS else np.ones(len(k.key), bool) for k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(k).take(owner) for k in range(3)), pa.array(place.astype(np.int64)), *(pa.array(before[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(meets)], names=["key", "node", "n", "shared", "place", "b1", "b2", "meets"])
 
-    return nodes.select("node", "n", "shared", "prefix").mapInArrow(tidied(listed), "key long, node long, n long, shared double, place long, b1 long, b2 long")
+    return nodes.select("node", "n", "shared", "prefix").mapInArrow(tidied(listed), "key long, node long, n long, shared double, place long, b1 long, b2 long, meets boolean")
 
 
 FORM = "bucket long, nodes binary, sizes binary, keys binary, owners binary, places binary, befores binary"
@@ -469,7 +473,7 @@ def stars(listed: DataFrame) -> DataFrame:
     hubs are found by partial aggregation.  The hub is the node whose shingles most others have, as the text has from
     which the others were made."""
     classes = F.array(*[F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + shift) * 2 + k for k, shift in enumerate((0.0, 0.5))])
-    keyed = listed.select("key", "node", "n", "shared", F.explode(classes).alias("size"))
+    keyed = listed.filter("meets").select("key", "node", "n", "shared", F.explode(classes).alias("size"))
     hubs = keyed.groupBy("key", "size").agg(F.min(F.struct((-F.col("shared")).alias("order"), "node", "n")).alias("hub"))
     pairs = keyed.join(hubs, ["key", "size"]).filter(F.col("node") != F.col("hub.node"))
     return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
@@ -478,7 +482,7 @@ def stars(listed: DataFrame) -> DataFrame:
 def crossings(listed: DataFrame, clusters: DataFrame) -> DataFrame:
     """Candidates between nodes of different clusters in long lists.  Lists of one cluster go; the others are dealt into
     parts, and each pair of parts is a block of its own."""
-    labelled = listed.drop("shared").join(clusters, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = listed.drop("shared", "meets").join(clusters, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     spans = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / PART).alias("parts")).filter("low < high").select("key", "parts")
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     dealt = labelled.join(spans, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -571,7 +575,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     level = frequent(sketch)
     base = written(profiles(docs, sketch, level, id_col, text_col), "profiles")
     # one row for each distinct set, shown by the smallest id that has it
-    shown = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "shared")])
+    shown = base.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "shared")])
     nodes = written(shown, "nodes")
     wide, base = base, written(base.select("doc_id", "n", "node"), "documents")
     forget(wide)
@@ -585,17 +589,24 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     first = links(short.unionByName(stars(listed)), nodes, docs, id_col, text_col)
     clusters = written(components(first), "clusters")
     second = links(crossings(listed, clusters), nodes, docs, id_col, text_col)
+    owners = written(nodes.select("node", "doc_id", "copies"), "owners")
     forget(nodes), forget(listed), forget(first)
-    # an id with several rows joins their sets
-    shared = base.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
-    twice = base.filter("n > 0").join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    # an id with several rows joins their sets, and a row without a set belongs to those that its id has besides
+    own = F.when(F.col("n") > 0, F.col("node"))
+    ids = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b"), F.min("n").alias("least"))
+    shared = written(ids.filter("a < b or least = 0 and a is not null").select("doc_id", "a", "b"), "shared")
+    twice = base.filter("n > 0").join(shared.filter("a < b").select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
     more = written(second.unionByName(twice), "more")
     found = clusters if more.isEmpty() else components(clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    member = base.filter("n > 0 and doc_id is not null").select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
-    least = member.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(least, "group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = owners.join(found, "node", "left").select("node", "copies", "doc_id", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("weight"))
+    named = written(look_up(grouped.drop("doc_id"), least, "group", "weight", owners.count()).drop("group"), "named")
+    empty = base.filter("n = 0 and doc_id is not null").join(shared.select("doc_id", "a"), "doc_id", "left").select("doc_id", "n", F.col("a").alias("node"))
+    linked = base.filter("n > 0 and doc_id is not null").unionByName(empty.filter("node is not null"))
+    out = look_up(linked, named, "node", "copies", base.count()).select("doc_id", "n", "component_id")
+    alone = empty.filter("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    nameless = base.filter("doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).unionByName(nameless).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
