@@ -2,14 +2,15 @@
 
 Centroids are fitted on a bounded sample; every vector is indexed.  A vector lives in the cell of its nearest centroid
 and visits every other cell that the angle between its vector and the plane halfway to that cell's centroid cannot
-exclude, so no pair is lost; of two cells one visits the other.  Each cell compares its visitors with its residents,
-block against block, in double precision.  Equal vectors are one node with a count first, so a vector that
-a third of all rows share costs one comparison.  Groups are joined through a spanning forest of each block, not
-through all their pairs, and the smallest id of a group is kept.
+exclude, so no pair is lost, whatever the number of cells; of two cells one visits the other.  Each cell compares its
+visitors with its residents, block against block, in double precision.  Equal vectors are one node with a count first, so
+a vector that a third of all rows share costs one comparison.  Groups are joined through a spanning forest of each block,
+not through all their pairs, and the smallest id of a group is kept.
 
 Vectors that are null, empty, zero or not finite link with nothing, and so do vectors of different lengths with one
-another.  Repeated ids with one vector count as one vector each row; a null id is a row with null component that links
-with nothing.  An empty table gives an empty table.
+another.  Each row is a vector of its own; rows that share an id are named by it, with the most links that one of them
+has and the smallest component.  A null id is a row with null component that links with nothing.  An empty table gives an
+empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
-from .textops import mix, tidied, written
+from .graph import components, look_up
+from .textops import forget, free_name, mix, tidied, written
 from .vectors import bounded_sample, matrix, usable
 
 THRESHOLD = 0.9
@@ -120,10 +121,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     # -0.0 and 0.0 are one value
     plain = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
     sent = live.select("id", plain.alias("v"))
-    # equal vectors are one node, named by their smallest id
-    nodes = written(sent.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
+    # equal vectors are one node with a number of its own, named by their smallest id
+    equal = sent.groupBy("v").agg(F.min("id").alias("name"), F.count("*").alias("copies"))
+    nodes = written(equal.withColumn("node", F.monotonically_increasing_id()), "vectors")
     count = nodes.count()
-    sample = bounded_sample(nodes, "node", "v", SAMPLE)
+    sample = bounded_sample(nodes, "name", "v", SAMPLE)
     k = cells or int(min(MOST_CELLS, max(1, round(count / CELL))))
     if len(sample):
         unit = sample / np.linalg.norm(sample, axis=1)[:, None]
@@ -191,9 +193,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     met = written(residents.unionByName(visitors).groupBy("cell", "rb", "gb").applyInArrow(compared, "a long, b long, links long"), "met")
     degree = met.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    groups = components(met.filter("b is not null"))
-    known = nodes.join(degree, "node", "left").join(groups, "node", "left").select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    named = sent.join(known, "v").select(F.col("id").alias("kid"), "n_links", "component_id").groupBy("kid").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    known = written(nodes.join(degree, "node", "left").select("v", "copies", "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "known")
+    vector_of = written(look_up(sent, known, "v", "copies", total).select("id", "node", "n_links"), "owners")
+    # an id with several vectors joins them
+    several = vector_of.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("id", "a")
+    twice = vector_of.join(several, "id").select("a", F.col("node").alias("b"))
+    groups = components(met.filter("b is not null").select("a", "b").unionByName(twice))
+    grouped = nodes.join(groups, "node", "left").select("node", "copies", "name", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("name").alias("component_id"), F.count("*").alias("weight"))
+    placed_in = written(look_up(grouped.drop("name"), least, "group", "weight", nodes.count()).drop("group"), "groups")
+    forget(cellular), forget(met), forget(known)
+    named = look_up(vector_of, placed_in, "node", "copies", total).groupBy(F.col("id").alias("kid")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("id").join(named, F.col("id") == F.col("kid"), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -201,8 +212,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
 def keep_representatives(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The rows of vectors that near_duplicates() keeps, with all their columns."""
-    gone = near_duplicates(vectors, id_col=id_col, vector_col=vector_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return vectors.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name(vectors.columns, "_gone")
+    gone = near_duplicates(vectors, id_col=id_col, vector_col=vector_col).filter("not kept").select(F.col(id_col).alias(name)).distinct()
+    return vectors.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,16 @@ def test_keep_one(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 9, 10, 11, 13, 14, None, None])
 
 
+def test_look_up(spark):
+    rng = random.Random(24)
+    rows = [(k, rng.choice([1, 1, 1, 2, 3, 4, 5, None])) for k in range(4000)]
+    weights = Counter(x for _, x in rows)
+    table = spark.createDataFrame([(x, f"t{x}", weights[x]) for x in (1, 2, 3, 4, 9)], "k long, t string, w long")
+    got = graph.look_up(spark.createDataFrame(rows, "i long, k long"), table, "k", "w", 4_000_000)
+    assert Counter((r.i, r.t) for r in got.collect()) == Counter((i, f"t{x}") for i, x in rows if x in (1, 2, 3, 4))
+    assert got.columns == ["k", "i", "t"] and graph.look_up(spark.createDataFrame(rows, "i long, k long"), table, "k", "w", 4000).count() == got.count()
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)] + [(7, 7)]
@@ -589,6 +599,37 @@ def test_near_vectors(spark, cells):
     assert near_vectors.keep_representatives(table).schema == table.schema
 
 
+def test_near_vectors_of_repeated_ids_and_odd_columns(spark):
+    """Rows that share an id have the most links of any of them and the smallest component; many equal vectors; clashes."""
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(6, 8))
+    rows = [(int(rng.integers(0, 40)), [float(x) for x in base[rng.integers(0, 6)] + 0.02 * rng.normal(size=8)]) for _ in range(120)]
+    rows += [(100 + k, [1.0] * 8) for k in range(60)] + [(7, [float(x) for x in rng.normal(size=8)]), (7, None), (None, [1.0] * 8), (200, [0.0] * 8), (201, [-0.0, 1.0]), (202, [0.0, 2.0])]
+    live = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and any(v)]
+    count, joined = Counter(), {i: i for i, _ in rows if i is not None}
+
+    def root(x):
+        while joined[x] != x:
+            x = joined[x]
+        return x
+
+    for a, (i, v) in enumerate(live):
+        links = [j for b, (j, w) in enumerate(live) if a != b and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.9]
+        count[i] = max(count[i], len(links))
+        for j in links:
+            x, y = root(i), root(j)
+            joined[max(x, y)] = min(x, y)
+    table = spark.createDataFrame([(*r, "x", 1, True, 2.0) for r in rows], "vec_id long, embedding array<double>, node string, _gone int, kept boolean, v double").repartition(4)
+    for cells in (1, 5):
+        got = near_vectors.near_duplicates(table, cells=cells).collect()
+        assert Counter(r.vec_id for r in got) == Counter(i for i, _ in rows)
+        for r in got:
+            i = r.vec_id
+            assert (r.n_links, r.component_id, r.kept) == ((0, None, True) if i is None else (count[i], root(i), root(i) == i))
+    kept = near_vectors.keep_representatives(table)
+    assert kept.schema == table.schema and {r.vec_id for r in kept.collect()} == {i for i, _ in rows if i is None or root(i) == i}
+
+
 def test_cells_visited_lose_no_link():
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=(2, 20_000, 64))
