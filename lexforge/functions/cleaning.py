@@ -35,8 +35,30 @@ def empty_or_deleted(text: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def unescape_html(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else html.unescape(x))
+
+
+def unescape_html(text: Column | str) -> Column:
+    """Character references become characters; texts without an & stay in the JVM."""
+    t = column(text)
+    some = F.contains(t, F.lit("&"))
+    return F.when(some, _unescaped(F.when(some, t))).otherwise(t)
+
+
+# What the bytes of UTF-8 quotes, dashes and dots look like when they are read as Windows-1252, and ligatures.
+MISREAD = {"â€™": "’", "â€˜": "‘", "â€œ": "“", "â€\x9d": "”", "â€“": "–", "â€”": "—", "â€¦": "…", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Ã±": "ñ", "Â\xa0": " "}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"'}
+
+
+def repair_plainly(text: Column | str) -> Column:
+    """A repair for clean_text(repair=...) where no library for encodings is at hand: common misread sequences, then
+    ligatures and curly quotes, become what they stand for."""
+    out = column(text)
+    for wrong, right in (MISREAD | LIGATURES).items():
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return F.translate(out, "".join(QUOTES), "".join(QUOTES.values()))
 
 
 @F.pandas_udf(T.StringType())
@@ -82,10 +104,11 @@ def drop_hash_signs(text: Column | str) -> Column:
 
 def expand_abbreviations(text: Column | str, slang: dict[str, str] | None = None, acronyms: dict[str, str] | None = None) -> Column:
     """Words that are abbreviations but for outer punctuation become what they stand for, slang before acronyms."""
-    table = literal_map((acronyms if acronyms is not None else lexicons.ACRONYMS) | (slang if slang is not None else lexicons.SLANG))
+    pairs = (acronyms if acronyms is not None else lexicons.ACRONYMS) | (slang if slang is not None else lexicons.SLANG)
 
     def expanded(token: Column) -> Column:
-        return F.coalesce(F.try_element_at(table, F.regexp_replace(F.lower(token), r"^[.,!?;:()]+|[.,!?;:()]+$", "")), token)
+        # a map is searched from end to end, so only words that are in it are looked up
+        return F.get(F.transform(F.array(F.btrim(F.lower(token), F.lit(".,!?;:()"))), lambda w: F.when(w.isin(*pairs), F.try_element_at(literal_map(pairs), w)).otherwise(token)), F.lit(0))
 
     return F.array_join(F.transform(words(text), expanded), " ")
 
@@ -109,16 +132,12 @@ def squeeze_punctuation(text: Column | str) -> Column:
 
 def unique_sentences(text: Column | str) -> Column:
     """Each sentence once, by its text without case and outer white space; joined by single spaces."""
-    # the lambdas see their arguments only, so that the text may come from an Arrow function
-    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("kept"))
-
-    def add(state: Column, sentence: Column) -> Column:
-        key = F.lower(strip(sentence))
-        new = ~F.array_contains(state["keys"], key)
-        grown = F.struct(F.array_append(state["keys"], key).alias("keys"), F.array_append(state["kept"], sentence).alias("kept"))
-        return F.when(new, grown).otherwise(state)
-
-    return F.aggregate(F.split(column(text), r"(?U)(?<=[.!?])\s+"), start, add, lambda state: F.array_join(state["kept"], " "))
+    # sorted by key and place, the first of each run of equal keys stays; the lambdas see their arguments only, so that
+    # the text may come from an Arrow function
+    parts = F.split(column(text), r"(?U)(?<=[.!?])\s+")
+    keyed = F.array_sort(F.transform(parts, lambda s, i: F.struct(F.lower(strip(s)).alias("key"), i.alias("at"), s.alias("sentence"))))
+    firsts = F.get(F.transform(F.array(keyed), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["key"] != x["key"]))), F.lit(0))
+    return F.array_join(F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["sentence"].alias("sentence")))), lambda x: x["sentence"]), " ")
 
 
 def squeeze_repeats(text: Column | str) -> Column:

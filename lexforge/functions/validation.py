@@ -46,12 +46,22 @@ def _object(raw: str | None) -> tuple[str | None, str | None]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())]))
-def parse_object(raw: pd.Series) -> pd.DataFrame:
-    """The object of a model's output as JSON: of a fenced block, of the whole text, or the first without inner braces;
-    else null and a message."""
+def _parsed(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_object(x) for x in raw], columns=["json", "error"])
 
 
+def parse_object(raw: Column | str) -> Column:
+    """The object of a model's output as JSON: of a fenced block, of the whole text, or the first without inner braces;
+    else null and a message.  What is one plain object stays as it is, in the JVM."""
+    text = strip(raw)
+    # in brackets, so that what follows an object is no end of the text
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.schema_of_variant(F.try_variant_get(whole, "$[0]", "variant")).startswith("OBJECT") & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    plain = F.coalesce(text.startswith("{") & text.endswith("}") & ~F.contains(text, F.lit("```")) & single, F.lit(False))
+    rest = _parsed(F.when(~plain, F.coalesce(column(raw), F.lit(""))))
+    return F.struct(F.when(plain, text).otherwise(rest["json"]).alias("json"), F.when(~plain, rest["error"]).alias("error"))
+
+
 def error(kind: str, field: str, message: Column | str) -> Column:
     return F.struct(F.lit(kind).alias("error_type"), F.lit(field).alias("field"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
 from ..functions.strings import any_of, blank, text_key, token_set
-from ..session import cut_lineage
+from ..session import cut_lineage, unused
 
 
 def source_filter(rows: DataFrame, names: list[str], col: str = "source") -> DataFrame:
@@ -37,36 +37,51 @@ def keyword_filter(rows: DataFrame, keywords: list[str] | None = None, *, least:
 def without_known(rows: DataFrame, known: DataFrame, *, text: str = "text", known_text: str = "text") -> DataFrame:
     """rows whose text, without case and outer white space, is none of the known ones.  The join is planned from the
     sizes of both sides, so a large known side is shuffled."""
-    keys = known.select(text_key(known_text).alias("_known")).distinct()
-    return rows.withColumn("_key", text_key(text)).join(keys, F.col("_key") == F.col("_known"), "left_anti").drop("_key")
+    return without_processed(rows, known.select(text_key(known_text).alias("key")), text_key(text))
 
 
 def without_processed(rows: DataFrame, state: DataFrame, key: Column, state_key: str = "key") -> DataFrame:
-    return rows.withColumn("_key", key).join(state.select(F.col(state_key).alias("_done")).distinct(), F.col("_key") == F.col("_done"), "left_anti").drop("_key")
+    own, done = unused(rows, "_key", "_done")
+    return rows.withColumn(own, key).join(state.select(F.col(state_key).alias(done)).distinct(), F.col(own) == F.col(done), "left_anti").drop(own)
 
 
 def first_of(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row, in order, of each key.  The order's minimum is taken by partial aggregation and joined back, so
     that no task sorts all rows of a frequent key; the order column must be unique."""
-    least = rows.groupBy(key.alias("_k")).agg(F.min(order).alias("_first")).select("_first")
-    return rows.join(least, F.col(order) == F.col("_first"), "left_semi")
+    own, first = unused(rows, "_k", "_first")
+    least = rows.groupBy(key.alias(own)).agg(F.min(order).alias(first)).select(first)
+    return rows.join(least, F.col(order) == F.col(first), "left_semi")
 
 
 def exact_dedup(rows: DataFrame, *, text: str = "text", order: str = "doc_id") -> DataFrame:
     return first_of(rows, text_key(text), order)
 
 
-def token_set_dedup(rows: DataFrame, *, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first row of each set of lower-cased words: fuzzy duplicates at threshold 1."""
-    return first_of(rows, token_set(text), order)
+def set_key(text: Column | str) -> Column:
+    """One value for a set of lower-cased words, which hold no spaces."""
+    return F.sha2(F.array_join(token_set(text), " "), 256)
 
 
-def min_hashes(tokens: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least hash of the tokens under each multiply-shift function."""
-    if not len(tokens):
-        return np.full(len(a), -1, np.int64)
-    h = pd.util.hash_array(np.array(tokens, dtype=object), categorize=False).astype(np.uint64)
-    return np.min((h[:, None] * a[None, :] + b[None, :]) >> np.uint64(31), axis=0).astype(np.int64)
+def token_set_dedup(rows: DataFrame, *, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """The first row of each set of lower-cased words: fuzzy duplicates at threshold 1."""
+    return first_of(rows, set_key(text), order)
+
+
+def signatures(tokens: pa.ListArray | pa.LargeListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each set of hashed tokens, the least value under each multiply-shift function; all ones for an empty set."""
+    out = np.full((len(tokens), len(a)), np.iinfo(np.uint64).max, np.uint64)
+    ends = tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py()
+    hashes = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    some = np.flatnonzero(np.diff(ends) > 0)
+    at = 0
+    while at < len(some):  # some tens of thousands of tokens at a time, to bound memory
+        to = max(at + 1, int(np.searchsorted(ends[some + 1], ends[some[at]] + 20_000, side="right")))
+        first, last = ends[some[at]], ends[some[to - 1] + 1]
+        part = hashes[first:last]
+        for k in range(len(a)):
+            out[some[at:to], k] = np.minimum.reduceat((part * a[k] + b[k]) >> np.uint64(31), ends[some[at:to]] - first)
+        at = to
+    return out
 
 
 def lsh_bands(threshold: float, permutations: int) -> tuple[int, int]:
@@ -81,25 +96,48 @@ def lsh_bands(threshold: float, permutations: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def minhash_candidates(rows: DataFrame, threshold: float, *, text: str = "text", order: str = "doc_id", permutations: int = 128, seed: int = 1) -> DataFrame:
-    """(earlier, later) of rows that share a band of their signatures; equal sets are linked to their first row only."""
+def minhash_buckets(rows: DataFrame, threshold: float, *, text: str = "text", order: str = "doc_id", permutations: int = 128, seed: int = 1) -> DataFrame:
+    """(idx, bucket): rows that share a bucket have a band of their signatures in common.  Equal sets of words have one
+    signature, made for the first row, and one bucket more, which all of them share."""
     bands, size = lsh_bands(threshold, permutations)
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, permutations).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, permutations).astype(np.uint64)
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signatures = [min_hashes(list(t), a, b) for t in batch["tokens"]]
-            keys = [[f"{k}:{s[k * size : (k + 1) * size].tobytes().hex()}" for k in range(bands)] for s in signatures]
-            yield pd.DataFrame({"idx": batch["idx"], "keys": keys})
-
-    sets = rows.select(F.col(order).cast("long").alias("idx"), token_set(text).alias("tokens"))
-    leaders = sets.groupBy("tokens").agg(F.min("idx").alias("idx"))
-    keyed = leaders.select("idx", "tokens").mapInPandas(signed, "idx long, keys array<string>").select("idx", F.explode("keys").alias("k"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.idx") < F.col("y.idx"))).select(F.col("x.idx").alias("earlier"), F.col("y.idx").alias("later"))
-    copies = sets.join(leaders.select("tokens", F.col("idx").alias("first")), "tokens").filter("idx > first").select(F.col("first").alias("earlier"), F.col("idx").alias("later"))
-    return pairs.unionByName(copies).distinct()
+            found = signatures(batch.column(1), a, b)
+            keys = np.empty((len(found), bands), np.uint64)
+            for k in range(bands):
+                key = np.full(len(found), k + 1, np.uint64)
+                for x in found[:, k * size : (k + 1) * size].T:
+                    key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                keys[:, k] = key
+            owner = pa.array(np.repeat(np.arange(len(found)), bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(keys.ravel().view(np.int64))], names=["idx", "bucket"])
+
+    kind = rows.schema[order].dataType.simpleString()
+    sets = rows.select(F.col(order).alias("idx"), set_key(text).alias("same"), F.transform(token_set(text), lambda w: F.xxhash64(w)).alias("tokens"))
+    leaders = sets.groupBy("same").agg(F.min(F.struct("idx", "tokens")).alias("m")).select("m.idx", "m.tokens")
+    equal = sets.select("idx", F.xxhash64("same").alias("bucket"))
+    return leaders.mapInArrow(banded, f"idx {kind}, bucket long").unionByName(equal)
+
+
+def keep_first_of_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows (one column idx) that a pass in order keeps: a row goes if, and only if, an earlier row that is kept
+    shares a bucket with it.  A row is kept once it is the first undecided one of all its buckets, and then the others in
+    these go.  No pairs are made, so a bucket costs its size; rounds follow until every row is decided."""
+    todo, kept = cut_lineage(buckets.select("idx", "bucket").distinct()), None
+    while not todo.isEmpty():
+        firsts = todo.groupBy("bucket").agg(F.min("idx").alias("first"))
+        stands = todo.join(firsts, "bucket").groupBy("idx").agg(F.bool_and(F.col("idx") == F.col("first")).alias("good")).filter("good").select("idx")
+        stands = cut_lineage(stands)
+        kept = stands if kept is None else cut_lineage(kept.unionByName(stands))
+        taken = todo.join(stands, "idx", "left_semi").select("bucket").distinct()
+        gone = todo.join(taken, "bucket", "left_semi").select("idx").distinct()
+        todo = cut_lineage(todo.join(gone, "idx", "left_anti"))
+    return buckets.select("idx").distinct() if kept is None else kept
 
 
 def keep_first_independent(ids: DataFrame, edges: DataFrame, *, rounds: int | None = None) -> DataFrame:
@@ -127,25 +165,36 @@ def fuzzy_dedup(rows: DataFrame, threshold: float = 1.0, *, text: str = "text",
     """Greedy in order: a row stays unless an earlier row that stayed is alike; at 1 that is equality of word sets."""
     if threshold >= 1:
         return token_set_dedup(rows, text=text, order=order)
-    edges = minhash_candidates(rows, threshold, text=text, order=order, permutations=permutations)
-    kept = keep_first_independent(rows.select(F.col(order).cast("long").alias("idx")), edges)
-    return rows.join(kept.withColumnRenamed("idx", "_kept"), F.col(order) == F.col("_kept"), "left_semi")
+    buckets = minhash_buckets(rows, threshold, text=text, order=order, permutations=permutations)
+    (name,) = unused(rows, "_kept")
+    return rows.join(keep_first_of_buckets(buckets).withColumnRenamed("idx", name), F.col(order) == F.col(name), "left_semi")
+
+
+#: Rows that ratio_dedup() compares without a block, at most, and tasks that a block's rows are dealt to.
+UNBLOCKED = 20_000
+SPREAD = 16
 
 
 def ratio_dedup(rows: DataFrame, *, least: float = 85.0, text: str = "text", order: str = "doc_id", block: Column | None = None) -> DataFrame:
     """Greedy in order by the indel ratio of lower-cased texts.  Pairs are looked for within blocks and neighbouring
-    length classes: a ratio of 85 needs lengths within a factor of (200 - 85) / 85."""
+    length classes: a ratio of 85 needs lengths within a factor of (200 - 85) / 85.  It is meant for final data, which
+    quotas bound; more than UNBLOCKED rows need a block."""
     from ..functions.similarity import ratio
 
+    if block is None and rows.count() > UNBLOCKED:
+        raise ValueError(f"more than {UNBLOCKED} rows need a block, so that not all pairs are compared")
     step = float(np.log((200 - least) / least))
-    texts = rows.select(F.col(order).cast("long").alias("idx"), F.lower(text).alias("t"), (block if block is not None else F.lit(0)).alias("b"))
+    texts = rows.select(F.col(order).alias("idx"), F.lower(text).alias("t"), (block if block is not None else F.lit(0)).alias("b"))
     texts = texts.withColumn("c", F.floor(F.log(F.greatest(F.char_length("t"), F.lit(1)).cast("double")) / step))
-    near = texts.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    pairs = texts.alias("x").join(near.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.idx") < F.col("y.idx")))
+    # a row meets the rows of its length class and the two beside it, in the part of them that falls to each task
+    own = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    near = texts.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).withColumn("part", F.pmod(F.xxhash64("idx"), F.lit(SPREAD)).cast("int"))
+    pairs = own.alias("x").join(near.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.c") == F.col("y.c")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.idx") < F.col("y.idx")))
     pairs = pairs.filter(F.least(F.char_length("x.t"), F.char_length("y.t")) * 200 >= least * (F.char_length("x.t") + F.char_length("y.t")))
     edges = pairs.filter(ratio(F.col("x.t"), F.col("y.t")) >= least).select(F.col("x.idx").alias("earlier"), F.col("y.idx").alias("later"))
     kept = keep_first_independent(texts.select("idx"), edges)
-    return rows.join(kept.withColumnRenamed("idx", "_kept"), F.col(order) == F.col("_kept"), "left_semi")
+    (name,) = unused(rows, "_kept")
+    return rows.join(kept.withColumnRenamed("idx", name), F.col(order) == F.col(name), "left_semi")
 
 
 def unit_hash(key: Column, seed: int = 42) -> Column:
@@ -156,17 +205,21 @@ def unit_hash(key: Column, seed: int = 42) -> Column:
 def balanced_sample(rows: DataFrame, *, label: str, per_class: int, weight: Column, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """At most per_class rows of each label, without replacement, by weight: the smallest -ln(u) / weight.  The rank
     limit is applied before the shuffle as well, so a frequent label sends per_class rows from each task."""
+    points, rank = unused(rows, "_score", "_rank")
     score = -F.log(unit_hash(F.col(key), seed)) / weight
-    order = Window.partitionBy(label).orderBy("_score", key)
-    return rows.withColumn("_score", score).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_score", "_rank")
+    order = Window.partitionBy(label).orderBy(points, key)
+    return rows.withColumn(points, score).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= per_class).drop(points, rank)
 
 
 def few_shot(rows: DataFrame, *, label: str, labels: list[str], n: int = 3, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """One row for each label, then others, n in all, in the order of a seeded hash."""
-    scored = rows.withColumn("_u", unit_hash(F.col(key), seed)).withColumn("_known", F.lower(F.trim(F.col(label))).isin([x.lower() for x in labels]))
-    firsts = scored.filter("_known").withColumn("_rank", F.row_number().over(Window.partitionBy(F.lower(F.trim(F.col(label)))).orderBy("_u", key))).filter("_rank = 1").withColumn("_late", F.lit(0)).drop("_rank")
-    others = scored.join(firsts.select(F.col(key).alias("_taken")), F.col(key) == F.col("_taken"), "left_anti").orderBy("_u", key).limit(n).withColumn("_late", F.lit(1))
-    return firsts.unionByName(others).orderBy("_late", "_u", key).limit(n).drop("_u", "_known", "_late")
+    u, rank, late, taken = unused(rows, "_u", "_rank", "_late", "_taken")
+    name = F.lower(F.trim(F.col(label)))
+    scored = rows.withColumn(u, unit_hash(F.col(key), seed))
+    known = scored.filter(name.isin([x.lower() for x in labels]))
+    firsts = known.withColumn(rank, F.row_number().over(Window.partitionBy(name).orderBy(u, key))).filter(F.col(rank) == 1).withColumn(late, F.lit(0)).drop(rank)
+    others = scored.join(firsts.select(F.col(key).alias(taken)), F.col(key) == F.col(taken), "left_anti").orderBy(u, key).limit(n).withColumn(late, F.lit(1))
+    return firsts.unionByName(others).orderBy(late, u, key).limit(n).drop(u, late)
 
 
 def distribution(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -194,14 +247,23 @@ def gate_counts(rows: DataFrame, required: list[str], *, category: str = "aspect
     return rows.agg(F.count("*").alias("rows"), F.count_if(full).alias("complete"), F.count_if(placed).alias("in_category"), F.count_if(good).alias("in_stance"))
 
 
-def running_total(rows: DataFrame, value: Column, order: str, out: str = "running", *, span: int = 100_000) -> DataFrame:
-    """rows with the sum of value up to and including the row, by an integer order column.  Sums run within spans of
-    the order and over the spans' totals, so no task sorts all rows."""
-    cut = rows.withColumn("_v", value).withColumn("_s", F.floor(F.col(order) / span))
-    spans = cut.groupBy("_s").agg(F.sum("_v").alias("_t"))
-    before = spans.select(F.col("_s").alias("_p"), F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("_in", F.sum("_v").over(inside)).join(before, F.col("_s") == F.col("_p")).withColumn(out, F.col("_before") + F.col("_in")).drop("_v", "_s", "_p", "_in", "_before")
+def running_total(rows: DataFrame, value: Column, order: str, out: str = "running", *, by: str | None = None) -> DataFrame:
+    """rows with the sum of value up to and including the row, in order, of all rows or of those with the same value of a
+    column.  The rows are dealt to tasks by ranges of the order, whatever its values; sums run within the ranges and over
+    the ranges' totals, so no task sorts all rows, nor all of one label."""
+    v, span, inside, before, other, label = unused(rows, "_v", "_span", "_inside", "_before", "_other", "_label")
+    placed = rows.withColumn(v, value).repartitionByRange(F.col(order)).withColumn(span, F.spark_partition_id())
+    placed = cut_lineage(placed)  # ranges must not change between the two uses
+    keys = [by] if by else []
+    along = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(span, *keys).agg(F.sum(v).alias(inside)).withColumn(before, F.coalesce(F.sum(inside).over(along), F.lit(0)))
+    totals = totals.select(F.col(span).alias(other), *[F.col(c).alias(label) for c in keys], before)
+    match = F.col(span) == F.col(other)
+    if by:
+        match &= F.col(by).eqNullSafe(F.col(label))
+    upto = Window.partitionBy(span, *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumn(inside, F.sum(v).over(upto)).join(totals, match)
+    return counted.withColumn(out, F.col(before) + F.col(inside)).drop(v, span, inside, before, other, label)
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: float = 0.0004, price_out: float = 0.0016, unit: float = 1000.0) -> Column:

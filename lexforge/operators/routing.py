@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import blank, column
-from ..session import cut_lineage
+from ..session import cut_lineage, unused
 from .relational import distribution, quality_gate, running_total
 
 # The columns of results and of the final data.
@@ -24,7 +24,7 @@ def status_of(first_attempts: Column | str, second_attempts: Column | str, first
 
 def running_counts(rows: DataFrame, label: str, order: str, out: str = "so_far") -> DataFrame:
     """rows with how many rows of their label have come so far, in order."""
-    return rows.withColumn(out, F.count("*").over(Window.partitionBy(label).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_total(rows, F.lit(1).cast("long"), order, out, by=label)
 
 
 def quota_route(rows: DataFrame, *, order: str, status: str, label: str, key: str, cost: str, quotas: dict[str, int], budget: float) -> DataFrame:
@@ -84,13 +84,15 @@ def review(queue: DataFrame, decisions: DataFrame, *, key: str = "sample_id", or
     """
     order = order or key
     fields = [c for c in REQUIRED if c in decisions.columns]
-    d = decisions.select(F.col(key).alias("_key"), F.lower(F.substring("action", 1, 1)).alias("_action"), *[F.col(c).alias(f"_new_{c}") for c in fields])
-    joined = queue.join(d, F.col(key) == F.col("_key")).drop("_key")
-    quits = joined.filter("_action = 'q'").agg(F.min(order).alias("_quit")).withColumn("_one", F.lit(1))
-    kept = joined.filter(F.col("_action").isin("a", "e")).withColumn("_one", F.lit(1)).join(quits, "_one").filter(F.col("_quit").isNull() | (F.col(order) < F.col("_quit")))
-    for c in fields:
-        kept = kept.withColumn(c, F.when((F.col("_action") == "e") & ~blank(f"_new_{c}"), F.col(f"_new_{c}")).otherwise(F.col(c)))
-    done = F.when(F.col("_action") == "e", "reviewed_edited").otherwise("reviewed_accepted")
+    own, action, first_quit, one, *new = unused(queue, "_key", "_action", "_quit", "_one", *(f"_new_{c}" for c in fields))
+    given = dict(zip(fields, new, strict=True))
+    d = decisions.select(F.col(key).alias(own), F.lower(F.substring("action", 1, 1)).alias(action), *[F.col(c).alias(n) for c, n in given.items()])
+    joined = queue.join(d, F.col(key) == F.col(own)).drop(own)
+    quits = joined.filter(F.col(action) == "q").agg(F.min(order).alias(first_quit)).withColumn(one, F.lit(1))
+    kept = joined.filter(F.col(action).isin("a", "e")).withColumn(one, F.lit(1)).join(quits, one).filter(F.col(first_quit).isNull() | (F.col(order) < F.col(first_quit)))
+    for c, n in given.items():
+        kept = kept.withColumn(c, F.when((F.col(action) == "e") & ~blank(n), F.col(n)).otherwise(F.col(c)))
+    done = F.when(F.col(action) == "e", "reviewed_edited").otherwise("reviewed_accepted")
     return kept.withColumn("status", done).withColumn("errors", F.lit("")).select(*queue.columns)
 
 
@@ -99,7 +101,8 @@ def merge(parts: list[DataFrame], *, order: str = "sample_id", least_ratio: floa
     quality, numbered from 1.  least_ratio also drops near copies of earlier rows."""
     from functools import reduce
 
-    ranked = [p.withColumn("_rank", F.lit(k)) for k, p in enumerate(parts)]
+    shown = [c for c in (*REQUIRED, "cleaned_text", "original_text", order) if any(c in p.columns for p in parts)]
+    ranked = [p.select(*dict.fromkeys(c for c in shown if c in p.columns), F.lit(k).alias("_rank")) for k, p in enumerate(parts)]
     rows = quality_gate(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked), REQUIRED)
     text = F.col("cleaned_text") if "cleaned_text" in rows.columns else F.col("original_text")
     numbered = number(rows, ["_rank", order], "_n")
@@ -115,11 +118,12 @@ def merge(parts: list[DataFrame], *, order: str = "sample_id", least_ratio: floa
 def number(rows: DataFrame, order: list[str], out: str) -> DataFrame:
     """rows numbered from 1 in an order, by sorted partitions and the counts of those before: the rows are sorted
     across all tasks, only one count for each partition is put in order."""
-    placed = rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    part, at, low, count, other, before = unused(rows, "_p", "_m", "_lo", "_c", "_q", "_before")
+    placed = rows.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id())
     placed = cut_lineage(placed)  # partition numbers must not change between the two uses
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_lo"))
-    before = counts.select(F.col("_p").alias("_q"), "_lo", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(out, F.col("_m") - F.col("_lo") + F.col("_before") + 1).drop("_p", "_q", "_m", "_lo", "_before")
+    counts = placed.groupBy(part).agg(F.count("*").alias(count), F.min(at).alias(low))
+    sums = counts.select(F.col(part).alias(other), low, F.coalesce(F.sum(count).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return placed.join(F.broadcast(sums), F.col(part) == F.col(other)).withColumn(out, F.col(at) - F.col(low) + F.col(before) + 1).drop(part, other, at, low, before)
 
 
 def summary(final: DataFrame, columns: tuple[str, ...] = ("stance", "aspect_category")) -> DataFrame:

@@ -15,10 +15,30 @@ def session(master: str = "local[*]", *, partitions: int = 8, **options: str) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one is made only where it is unset and all runs on one machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lexforge_folder", None)
+    if not given:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        given = spark._lexforge_folder = tempfile.mkdtemp(prefix="lexforge-")
+    return given.rstrip("/")
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
-    """rows from a reliable checkpoint, in the folder that spark.checkpoint.dir names; a folder is made only where
-    none is named, as in tests."""
+    """rows from a reliable checkpoint in the shared folder."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def unused(rows: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until no column of rows has it."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

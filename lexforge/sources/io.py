@@ -18,9 +18,10 @@ def all_text(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with a header as text columns; null becomes empty.  Quoted fields may hold line ends."""
-    return spark.read.schema(all_text(columns)).option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
+def read_csv(spark: SparkSession, path: str, columns: list[str], *, line_ends: bool = True) -> DataFrame:
+    """A CSV file with a header as text columns; null becomes empty.  Quoted fields may hold line ends; where they do not,
+    line_ends=False lets large files be split between tasks, else a file is one task."""
+    return spark.read.schema(all_text(columns)).option("header", True).option("multiLine", line_ends).option("escape", '"').csv(path).na.fill("")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -34,12 +35,12 @@ def read_results(spark: SparkSession, path: str, columns: list[str] | None = Non
     return read_csv(spark, path, columns) if exists(spark, path) else spark.createDataFrame([], all_text(columns))
 
 
-def read_predictions_input(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file that has a column text, which is read as text with null as empty; other types are inferred."""
-    rows = spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_predictions_input(spark: SparkSession, path: str, *, line_ends: bool = True) -> DataFrame:
+    """A CSV file that has a column text, null as empty; all columns are read as text, so the file is read once."""
+    rows = spark.read.option("header", True).option("multiLine", line_ends).option("escape", '"').csv(path)
     if "text" not in rows.columns:
         raise ValueError("the input has no column text")
-    return rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return rows.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

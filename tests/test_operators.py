@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -97,12 +98,76 @@ def test_distribution_and_gate(spark):
 
 
 def test_running_total(spark):
-    rows = spark.createDataFrame([(k, k % 7) for k in range(1000)], "o long, v long")
-    got = {r.o: r.t for r in relational.running_total(rows, F.col("v"), "o", "t", span=64).collect()}
-    total = 0
-    for k in range(1000):
-        total += k % 7
-        assert got[k] == total
+    """Dense and sparse orders, text as an order, labels, null labels, and columns whose names clash."""
+    rng = random.Random(5)
+    for order in (list(range(1000)), sorted({rng.randrange(-(2**62), 2**62) for _ in range(1000)})):
+        rows = [(o, o % 7, rng.choice(["a", "b", None]), "x") for o in order]
+        table = spark.createDataFrame(rows, "o long, v long, l string, _span string").repartition(7)
+        got = {r.o: (r.t, r._span) for r in relational.running_total(table, F.col("v"), "o", "t").collect()}
+        by = {r.o: r.t for r in relational.running_total(table, F.col("v"), "o", "t", by="l").collect()}
+        counts = {r.o: r.so_far for r in routing.running_counts(table, "l", "o").collect()}
+        total, each, many = 0, Counter(), Counter()
+        for o, v, label, _ in rows:
+            total += v
+            each[label] += v
+            many[label] += 1
+            assert got[o] == (total, "x") and by[o] == each[label] and counts[o] == many[label]
+    words = spark.createDataFrame([(w,) for w in "delta alpha charlie bravo".split()], "w string")
+    assert {r.w: r.t for r in relational.running_total(words, F.lit(1), "w", "t").collect()} == {"alpha": 1, "bravo": 2, "charlie": 3, "delta": 4}
+
+
+def test_names_of_the_caller_stay(spark):
+    """Operators make no column that the caller's rows have already, and drop none of theirs."""
+    names = "_k _first _key _done _known _kept _score _rank _u _late _taken _p _m _lo _c _q _before".split()
+    rows = spark.createDataFrame([(k, f"text {k % 3}", "ab"[k % 2], *[k] * len(names)) for k in range(12)], "doc_id long, text string, label string, " + ", ".join(f"{n} long" for n in names))
+    for made in (
+        relational.exact_dedup(rows), relational.token_set_dedup(rows), relational.fuzzy_dedup(rows, 0.8), relational.without_known(rows, rows.filter("doc_id = 1")), relational.ratio_dedup(rows, order="doc_id", least=99.0),
+        relational.without_processed(rows, rows.limit(0).select(F.col("text").alias("key")), F.col("text")), relational.balanced_sample(rows, label="label", per_class=3, weight=F.lit(1.0)), relational.few_shot(rows, label="label", labels=["a", "b"]),
+    ):
+        assert made.columns == rows.columns and made.count() > 0
+    assert routing.number(rows, ["doc_id"], "n").orderBy("n").select("doc_id", "n", "_p").collect()[5] == (5, 6, 5)
+
+
+def test_buckets_of_many_near_copies(spark):
+    """A group of near copies is one bucket, not all its pairs; text ids keep their order."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(f"d{k:04}", " ".join([*base[:58], f"x{k}", "y"])) for k in range(300)] + [(f"e{k:04}", " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(900)) for _ in range(40))) for k in range(40)]
+    kept = relational.fuzzy_dedup(spark.createDataFrame(rows, "doc_id string, text string"), 0.8)
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == ["d0000", *(f"e{k:04}" for k in range(40))]
+
+
+def test_buckets_against_a_pass_in_order(spark):
+    rng = random.Random(7)
+    for _ in range(3):
+        rows = [(k, rng.randrange(30)) for k in range(60) for _ in range(rng.randint(1, 3))]
+        taken, expected = set(), []
+        for k in range(60):
+            own = {b for i, b in rows if i == k}
+            if not own & taken:
+                taken |= own
+                expected.append(k)
+        assert ids(relational.keep_first_of_buckets(spark.createDataFrame(rows, "idx long, bucket long"))) == expected
+
+
+def test_signatures_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(0, 1 << 63, 9).astype(np.uint64) for _ in range(2))
+    sets = [rng.integers(-(2**62), 2**62, k).tolist() for k in (3, 0, 1, 50, 25_000, 2)]
+    got = relational.signatures(pa.array([[], *sets], pa.list_(pa.int64())).slice(1), a, b)
+    for row, s in zip(got, sets, strict=True):
+        assert row.tolist() == [min((((x % 2**64) * int(p) + int(q)) % 2**64 >> 31 for x in s), default=2**64 - 1) for p, q in zip(a, b, strict=True)]
+
+
+def test_ratio_dedup_needs_a_block(spark, monkeypatch):
+    monkeypatch.setattr(relational, "UNBLOCKED", 3)
+    rows = spark.createDataFrame([(k, f"the quick brown fox number {k}") for k in range(5)], "idx long, text string")
+    with pytest.raises(ValueError, match="block"):
+        relational.ratio_dedup(rows, order="idx")
+    assert ids(relational.ratio_dedup(rows, order="idx", block=F.col("idx") % 2)) == [0, 1]
 
 
 def folded(rows, quotas, budget):
