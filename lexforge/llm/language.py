@@ -208,7 +208,7 @@ class Model:
         """Phrases of each document (rows) in each language (columns)."""
         sizes = np.diff(bounds)
         order = np.argsort(-sizes, kind="stable")
-        start, length = bounds[:-1][order], sizes[order]
+        start, length = bounds[:-1][order].astype(np.int32), sizes[order].astype(np.int32)  # a batch has less than 2 GB
         out = np.zeros((len(sizes), len(self.tables)))
         side_by_side = int(length[LANES - 1]) // BLOCK * BLOCK if len(length) >= LANES else 0
         for k, table in enumerate(self.tables):
@@ -216,7 +216,7 @@ class Model:
             state, count = np.zeros(len(start), table.kind), np.zeros(len(start), np.int64)
             for at in range(0, side_by_side, BLOCK):
                 m = int(np.searchsorted(-length, -(at + BLOCK), side="right"))  # those with a whole block left
-                for c in own[chars[start[:m, None] + np.arange(at, at + BLOCK)].T]:
+                for c in own[chars[start[:m, None] + np.arange(at, at + BLOCK, dtype=np.int32)].T]:
                     count[:m] -= table.advance(state[:m], c)
             # what is left of each: for most less than a block, side by side again
             done = np.minimum(length // BLOCK * BLOCK, side_by_side)
@@ -230,7 +230,7 @@ class Model:
             if len(turn):
                 begin, left, now = start[turn] + done[turn], rest[turn], state[turn]
                 found, last = np.zeros(len(turn), np.int64), max(len(chars) - 1, 0)
-                for t, c in enumerate(own[chars[np.minimum(begin[:, None] + np.arange(int(left[0])), last)].T]):
+                for t, c in enumerate(own[chars[np.minimum(begin[:, None] + np.arange(int(left[0]), dtype=np.int32), np.int32(last))].T]):
                     m = int(np.searchsorted(-left, -t, side="left"))
                     found[:m] -= table.advance(now[:m], c[:m])
                 count[turn] += found
