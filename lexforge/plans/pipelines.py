@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,29 @@ class Selection:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a command line may set of a construction."""
+
+    per_class: int = 1000
+    budget: float = 50.0
+    log_level: str = "INFO"
+
+    @property
+    def quotas(self) -> dict[str, int]:
+        return dict.fromkeys(lexicons.STANCES, self.per_class)
+
+
+def settings(arguments: list[str] | None = None) -> Settings:
+    """Settings from a command line; what it leaves out keeps its default."""
+    parser = argparse.ArgumentParser(prog="lexforge")
+    parser.add_argument("--samples-per-class", type=int, default=Settings.per_class, help="rows of each class")
+    parser.add_argument("--budget", type=float, default=Settings.budget, help="what all rows may cost")
+    parser.add_argument("--log-level", default=Settings.log_level, choices=["DEBUG", "INFO", "WARNING", "ERROR"])
+    given = parser.parse_args(arguments)
+    return Settings(given.samples_per_class, given.budget, given.log_level)
+
+
 def candidates(rows: DataFrame, gold: DataFrame | None, chosen: Selection = Selection(), *, source: str = "dataset", text: str = "text", stance: str = "stance", order: str = "row_idx") -> DataFrame:  # noqa: B008
     """Sources, keywords, known texts out, duplicates out, and a balanced weighted sample by mapped stance; the cheap
     filters come first."""

@@ -160,16 +160,8 @@ _cleaned("clean_punctuation", cleaning.squeeze_punctuation, "regexp_replace(text
 _cleaned("clean_white_space", squeeze, "regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')")
 _cleaned("clean_abbreviations", lambda c: cleaning.expand_abbreviations(c, {"the": "that which", "und": "and"}, {"de": "of"}), "array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda t: CASE regexp_replace(lower(t), '^[.,!?;:()]+|[.,!?;:()]+$', '', 'g') WHEN 'the' THEN 'that which' WHEN 'und' THEN 'and' WHEN 'de' THEN 'of' ELSE t END), ' ')")
 _cleaned("unique_sentences", cleaning.unique_sentences, "(SELECT array_to_string(list_filter(p, lambda s, i: list_position(k, k[i]) = i), ' ') FROM (SELECT p, list_transform(p, lambda s: lower(regexp_replace(s, '^\\s+|\\s+$', '', 'g'))) AS k FROM (SELECT string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p)))")
-_cleaned("squeeze_chars", cleaning.squeeze_chars, None)
-_cleaned("squeeze_words", cleaning.squeeze_words, None)
-_cleaned("contractions", patterns.expand_contractions, None, "conversations", "conv_id")
-_cleaned("sorted_punctuation", patterns.sort_punctuation, None)
 
 
-@query()
-def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.cleaned_rows(table(spark, sf_dir, "documents")).select("doc_id", F.md5("cleaned_text").alias("digest"))
-
 
 @query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '^\\s*(\\[([dD][eE][lL][eE][tT][eE][dD]|[rR][eE][mM][oO][vV][eE][dD])\\]\\s*)?$') AND length(text) >= 20")
 def usable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,19 +180,7 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[patterns.entity_count("text", n).alias(n) for n in names])
 
 
-@query()
-def social_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(social.tokens("text")).alias("n"))
-
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query()
-def page_gists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", page_gist("html").alias("gist"))
 
 
 # --- n-grams ----------------------------------------------------------------------------------------------------------
@@ -260,10 +240,6 @@ def plain_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", validation.known_category(F.split("p_type", " ")[0], ["ECONOMY", "PROMO", "Standard"], {"none": "PROMO"}).alias("category"))
 
 
-@query()
-def fuzzy_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.normal_category(table(spark, sf_dir, "part"), "p_type", "category", ["STANDARD BRASS", "ECONOMY STEEL", "PROMO TIN"]).select("p_partkey", "category")
-
 
 @query("SELECT event_id, CASE WHEN upper(event_type) IN ('CLICK', 'VIEW') THEN upper(event_type) WHEN lower(event_type) = 'purchase' THEN 'CLICK' END AS label FROM events")
 def normal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,15 +361,6 @@ def judge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("vec_id", F.round(judgment.compare_means("p", "q"), 6).alias("lead"))
 
 
-@query()
-def judge_risk_and_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).select("vec_id", F.round(judgment.compare_risk_averse("p", "q"), 6).alias("risk"), F.round(judgment.compare_quantiles("p", "q"), 6).alias("quantiles"), judgment.compare_rounded_means("p", "q").alias("rounded"))
-
-
-@query()
-def judge_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = judgment.pairwise_predictions("p", "q")
-    return _judged(spark, sf_dir).select("vec_id", *[F.round(c, 6).alias(n) for n, c in made.items()])
 
 
 # --- plans --------------------------------------------------------------------------------------------------------------
@@ -416,4 +383,6 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(docs, gold, chosen, source="source", order="doc_id").select("doc_id", "mapped_stance")
 
 
+from . import examples  # noqa: E402, F401  registers its queries
+
 __all__ = ["QUERIES", "SQL", "Query", "query", "table", "text_key"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, which is deleted when the session's driver ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """rows from a reliable checkpoint in the shared folder."""
     context = rows.sparkSession.sparkContext

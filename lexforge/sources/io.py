@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import urllib.request
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,6 +132,38 @@ def page_gist(html: pd.Series) -> pd.Series:
     return html.map(gist)
 
 
+def get_url(url: str, *, seconds: float = 10.0, most: int = 1 << 20) -> str:
+    """The body of a page, at most so many bytes of it, as text."""
+    with urllib.request.urlopen(url, timeout=seconds) as answer:  # noqa: S310  the caller chooses the links
+        return answer.read(most).decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+
+def fetched(keys: DataFrame, key: str, out: str, get: Callable[[str], str] = get_url) -> DataFrame:
+    """key and out, what get() returns for each distinct key; null for what it fails on.  Pages come by their links with
+    get_url; profiles by their handles with a function that asks a service for a name."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for x in frame[key]:
+                try:
+                    found.append(get(x))
+                except Exception:  # noqa: BLE001  whatever goes wrong, the answer is missing
+                    found.append(None)
+            yield pd.DataFrame({key: frame[key], out: pd.Series(found, index=frame.index, dtype="object")})
+
+    return keys.select(F.col(key).cast("string").alias(key)).filter(F.col(key).isNotNull()).distinct().mapInPandas(run, f"`{key}` string, `{out}` string")
+
+
+def read_dictionary(spark: SparkSession, path: str, *, most: int = 100_000) -> dict[str, str]:
+    """A dictionary of tab-parted words and meanings, such as one of slang; lines without a meaning are left out."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") == 2).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words")
+    return {r["p"][0]: r["p"][1] for r in rows}
+
+
 def resolve_links(rows: DataFrame, pages: DataFrame, *, text: str = "text", key: str = "row_idx", least: float = 0.3, keywords: list[str] | None = None) -> DataFrame:
     """rows with important links replaced by the gist of their page in brackets, and all others deleted.
 
