@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import held_out, text_buffer, tidied
+from .textops import held_out, relieved, text_buffer, tidied
 
 #: Labelled documents learned for each language, at most.
 ROWS = 16
@@ -318,6 +318,7 @@ def build(texts: dict[str, str]) -> Model:
     return Model(names, classes, width, local, tables, np.array(bits))
 
 
+@relieved
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, longest: int = LONGEST) -> Model:
     """A model from a bounded sample of the documents that are not held out and name a language.
 

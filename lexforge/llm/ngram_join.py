@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, look_up
-from .textops import forget, free_name, mix, tidied, tidy, word_hashes, written
+from .textops import forget, free_name, mix, relieved, tidied, tidy, word_hashes, written
 
 WORDS = 5
 #: Counters of the sketch; its size does not depend on the input.
@@ -166,6 +166,7 @@ def _summed(parts: DataFrame, size: int) -> np.ndarray:
     return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size, np.int64)
 
 
+@relieved
 def profile(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """How often each counter of the sketch is hit, and documents by size_bin, over all documents."""
 
@@ -195,6 +196,7 @@ def prefix_size(n: int) -> int:
     return n - int(least_overlap(n)) + 1
 
 
+@relieved
 def list_lengths(nodes: DataFrame) -> np.ndarray:
     """How many postings each counter of the sketch stands for: the length of its shingles' inverted lists together."""
 
@@ -220,6 +222,7 @@ def long_lists(counts: np.ndarray) -> np.ndarray:
     return counts - middle > max(float(LONG), 5 * spread)
 
 
+@relieved
 def scan_costs(nodes: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each size below 256: sets, and other entries in the lists of their prefixes, as the counters tell them
     (without bias: what other shingles add to a counter on average is taken off).  In a long list a node meets the hub."""

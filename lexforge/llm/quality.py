@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample
-from .textops import held_out, mix, tidied, word_hashes
+from .textops import held_out, mix, relieved, tidied, word_hashes
 
 BITS = 18
 #: Most labelled rows that a model is fitted on.
@@ -103,6 +103,7 @@ def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(slope), 0.0), float(shift)
 
 
+@relieved
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the label from at most bound labelled rows that are not held out."""
 

@@ -11,7 +11,8 @@ import ctypes
 import ctypes.util
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,18 @@ def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
+def relieved(f: Callable[..., Any]) -> Callable[..., Any]:
+    """f for the driver, with tidy() after what it held is gone."""
+
+    @wraps(f)
+    def run(*given: Any, **named: Any) -> Any:
+        out = f(*given, **named)
+        tidy()
+        return out
+
+    return run
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """wanted, with underscores until no column has the name."""
     taken = {c.lower() for c in columns}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample
-from .textops import held_out, mix, tidied, word_hashes
+from .textops import held_out, mix, relieved, tidied, word_hashes
 
 BITS = 15
 DIM = 12
@@ -199,6 +199,7 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
+@relieved
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Model:
     """A model of the label from at most bound labelled rows that are not held out; languages serve to fit only."""
 
