@@ -148,15 +148,34 @@ def long_enough(text: Column | str, least: int = LEAST_LENGTH) -> Column:
     return F.char_length(column(text)) >= least
 
 
-def common_word_share(text: Column | str, common: tuple[str, ...] = ("the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "was", "with", "are", "be", "this", "a")) -> Column:
-    """The share of words that are among a language's most common ones; 0 without words."""
+#: Words that are common in one language and in none of the others here.
+COMMON = {
+    "en": ("the", "of", "and", "to", "is", "it", "that", "for", "on", "with", "are", "be", "this", "you", "not", "have", "they", "from", "we", "my"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "den", "mit", "auf", "für", "ich", "sie", "von", "dem", "auch", "wir", "sich"),
+    "fr": ("le", "les", "et", "est", "une", "dans", "pour", "pas", "sur", "avec", "qui", "ce", "au", "je", "vous", "nous", "mais", "sont", "il", "elle"),
+    "es": ("el", "los", "las", "y", "una", "por", "con", "para", "está", "pero", "como", "más", "muy", "lo", "del", "al", "sus", "yo", "ella", "hay"),
+    "it": ("il", "gli", "di", "che", "per", "sono", "della", "nel", "anche", "più", "questo", "ma", "alla", "dei", "ho", "è", "ci", "mi", "ti", "lei"),
+    "pt": ("o", "os", "um", "uma", "não", "em", "do", "da", "com", "mais", "mas", "ao", "isso", "ele", "ela", "eu", "você", "são", "também", "foi"),
+    "nl": ("het", "een", "van", "ik", "je", "niet", "dat", "zijn", "op", "te", "met", "voor", "ook", "maar", "wij", "hij", "zij", "naar", "bij", "wat"),
+}
+
+
+def common_words(text: Column | str, language: str) -> Column:
+    """How many words of a text are common ones of a language."""
     tokens = F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"(?U)^\W+|\W+$", ""))
-    return F.coalesce(F.try_divide(F.aggregate(tokens, F.lit(0), lambda n, w: n + F.when(w.isin(*common), 1).otherwise(0)), F.size(tokens)), F.lit(0.0))
+    return F.size(F.filter(tokens, lambda w: w.isin(*COMMON[language])))
 
 
-def in_common_words(least: float = 0.1) -> Callable[[Column], Column]:
-    """A test for clean_text(in_language=...): keeps texts with enough common words, and those too short to tell."""
-    return lambda text: (common_word_share(text) >= least) | (F.size(words(text)) < 4)
+def in_common_words(language: str = "en", share: float = 0.1) -> Callable[[Column], Column]:
+    """A test for clean_text(in_language=...): keeps texts with enough common words of the language, and no more of any
+    other, and those too short to tell."""
+
+    def test(text: Column) -> Column:
+        own = common_words(text, language)
+        others = [common_words(text, k) for k in COMMON if k != language]
+        return (F.size(words(text)) < 4) | (own >= share * F.size(words(text))) & (own >= F.greatest(*others))
+
+    return test
 
 
 def clean_text(text: Column | str, *, unescape: bool = True, emoji: bool = False, social: Callable[[Column], Column] | None = None, repair: Callable[[Column], Column] | None = None, numbers: bool = True, repeats: bool = True, abbreviations: bool = True, least: int = LEAST_LENGTH, in_language: Callable[[Column], Column] | None = None) -> Column:

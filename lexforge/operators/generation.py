@@ -1,13 +1,14 @@
 """Prompts, model backends, generation with validation, bounded repair, costs and prediction.
 
-A backend is any object with complete(messages) -> Reply; it is sent to the workers and used in batches there.  The
-local backend follows rules and needs no network.  Prompt wording is a parameter: the defaults are this library's own.
+A backend is any object with complete(messages) -> Reply; it is sent to the workers and used in batches there.  One
+asks a service, for generation or for repair; one follows rules and needs no network.  Prompt wording is a parameter: the defaults are this library's own.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -61,6 +62,26 @@ class RuleBackend:
         return Reply(text, sum(len(m["content"].split()) for m in messages), len(text.split()))
 
 
+@dataclass(frozen=True)
+class HttpBackend:
+    """A model behind a service that takes model and messages as JSON and answers with choices and usage, as many hosted
+    and local servers do; headers carry whatever the service wants to know of its caller."""
+
+    url: str
+    model: str
+    headers: tuple[tuple[str, str], ...] = ()
+    temperature: float = 0.0
+    seconds: float = 60.0
+
+    def complete(self, messages: list[dict[str, str]]) -> Reply:
+        body = json.dumps({"model": self.model, "messages": messages, "temperature": self.temperature}).encode()
+        asked = urllib.request.Request(self.url, body, {"Content-Type": "application/json", **dict(self.headers)})  # noqa: S310  the caller chooses the service
+        with urllib.request.urlopen(asked, timeout=self.seconds) as answer:  # noqa: S310
+            said = json.load(answer)
+        used = said.get("usage", {})
+        return Reply(said["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0))
+
+
 @dataclass(frozen=True)
 class Wording:
     first: str = "Annotate a social media post. Answer with one JSON object. Copy spans from the post."
@@ -288,4 +309,4 @@ def rewrite_batches(rows: DataFrame, backend: Backend, *, text: str = "cleaned_t
     return rows.mapInPandas(run, schema)
 
 
-__all__ = ["Backend", "Reply", "RuleBackend", "Wording", "annotate", "cost_summary", "error_messages", "generate", "inventory", "predict", "pretty", "process", "prompt", "read_answer", "repair_prompt", "rewrite_batches"]
+__all__ = ["Backend", "HttpBackend", "Reply", "RuleBackend", "Wording", "annotate", "cost_summary", "error_messages", "generate", "inventory", "predict", "pretty", "process", "prompt", "read_answer", "repair_prompt", "rewrite_batches"]

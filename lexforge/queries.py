@@ -305,19 +305,19 @@ def quota_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     full = rows.select(
-        F.col("doc_id").alias("sample_id"), F.col("text").alias("cleaned_text"), F.substring("text", 1, 10).alias("aspect_target"), F.lit("Public Space").alias("aspect_category"),
-        F.substring("text", 1, 30).alias("opinion_span"), F.when(F.col("toxic") == 1, "HATE").when(F.col("quality") == 1, "HOPEFUL").otherwise("Neutral").alias("stance"), F.substring("text", 1, 20).alias("explanation"), "lang",
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("cleaned_text"), F.col("text").alias("aspect_target"), F.lit("Public Space").alias("aspect_category"),
+        F.col("text").alias("opinion_span"), F.when(F.col("toxic") == 1, "HATE").when(F.col("quality") == 1, "HOPEFUL").otherwise("Neutral").alias("stance"), F.col("text").alias("explanation"), "lang",
     )
     return [full.filter("lang = 'en'").drop("lang"), full.filter("lang = 'de'").drop("lang"), full.filter("lang not in ('en', 'de')").drop("lang")]
 
 
 @query("""WITH r AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'HATE' WHEN quality = 1 THEN 'HOPEFUL' ELSE 'Neutral' END AS stance, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS part FROM documents JOIN labels USING (doc_id))
-  SELECT row_number() OVER (ORDER BY part, doc_id) AS sample_id, md5(text) AS digest, stance FROM r WHERE stance <> 'Neutral' AND regexp_matches(substr(text, 1, 10), '\\S')""")
+  SELECT row_number() OVER (ORDER BY part, doc_id) AS sample_id, md5(text) AS digest, stance FROM r WHERE stance <> 'Neutral' AND regexp_matches(text, '\\S')""")
 def merge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.merge(_results(spark, sf_dir)).select("sample_id", F.md5("text").alias("digest"), "stance")
 
 
-@query("""WITH r AS (SELECT CASE WHEN toxic = 1 THEN 'HATE' WHEN quality = 1 THEN 'HOPEFUL' ELSE 'Neutral' END AS stance FROM documents JOIN labels USING (doc_id) WHERE regexp_matches(substr(text, 1, 10), '\\S')), k AS (SELECT * FROM r WHERE stance <> 'Neutral'),
+@query("""WITH r AS (SELECT CASE WHEN toxic = 1 THEN 'HATE' WHEN quality = 1 THEN 'HOPEFUL' ELSE 'Neutral' END AS stance FROM documents JOIN labels USING (doc_id) WHERE regexp_matches(text, '\\S')), k AS (SELECT * FROM r WHERE stance <> 'Neutral'),
   c AS (SELECT 'stance' AS dimension, stance AS value, count(*) AS n FROM k GROUP BY stance UNION ALL SELECT 'aspect_category', 'Public Space', count(*) FROM k) SELECT dimension, value, n, round(100.0 * n / sum(n) OVER (PARTITION BY dimension), 6)::DOUBLE AS percent FROM c""")
 def merge_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.summary(routing.merge(_results(spark, sf_dir)))

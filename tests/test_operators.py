@@ -322,6 +322,51 @@ def test_generation(spark):
     assert {r.error for r in generation.predict(rows, Broken()).collect()} == {"stage1 failed"}
 
 
+def test_http_backend(spark):
+    """Stages through a service: its answers, its token counts, and its failures."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            post = asked["messages"][-1]["content"]
+            if "broken" in post or self.headers["X-Caller"] != "tests":
+                self.send_error(500)
+                return
+            said = {"choices": [{"message": {"content": generation.RuleBackend().complete(asked["messages"]).text}}], "usage": {"prompt_tokens": 1000, "completion_tokens": 500}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(said).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    backend = generation.HttpBackend(f"http://127.0.0.1:{server.server_port}/", "any", (("X-Caller", "tests"),), seconds=5.0)
+    rows = spark.createDataFrame([(1, "The city shelter needs support and more housing"), (2, "This line is broken and nobody answers it")], "row_idx long, text string")
+    got = {r.row_idx: r for r in generation.process(rows, backend).collect()}
+    server.shutdown()
+    assert got[1].status == "accepted" and got[1].cost_usd == "0.002400" and got[2].status == "failed"
+
+
+def test_fetching(spark):
+    keys = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "url string")
+    got = {r.url: r.html for r in io.fetched(keys, "url", "html", {"a": "<p>x"}.__getitem__).collect()}
+    assert got == {"a": "<p>x", "b": None}
+    assert {r.html for r in io.fetched(keys.filter("url = 'b'"), "url", "html").collect()} == {None}
+
+
+def test_settings():
+    from lexforge.plans.pipelines import settings
+
+    assert settings([]).quotas == {"HATE": 1000, "NEUTRAL": 1000, "HOPEFUL": 1000} and settings(["--budget", "2.5", "--samples-per-class", "3"]).budget == 2.5
+    with pytest.raises(SystemExit):
+        settings(["--log-level", "LOUD"])
+
+
 def test_prompts(spark):
     rows = spark.createDataFrame([("a post", "t", "c")], "text string, aspect_target string, aspect_category string")
     asked = rows.select(generation.prompt("text", stage=2, shots=[{"text": "s", "stance": "HATE", "explanation": "e"}], given={"aspect_target": "aspect_target"}).alias("m")).first().m
