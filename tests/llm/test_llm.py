@@ -940,3 +940,44 @@ def test_pipeline_against_its_stages(spark, reference_coder):
     out = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mixed.collect())
     assert all(r.n_tokens == len(reference_coder.encode_ordinary(texts[r.doc_id])) for r in out)
+
+
+def test_stages_on_odd_rows(spark, reference_coder):
+    """Null, empty, blank, very long and repeated texts, null and repeated ids, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    docs, rows = odd_documents(spark)
+    docs = docs.withColumns({"_all": F.lit(1), "_gone": F.lit("g"), "component_id": F.lit(2), "size": F.lit(None).cast("string"), "predicted": F.lit(0.5), "node": F.lit(True), "_tie": F.lit(3)})
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language"](spark, docs, SF)
+    letters = Counter(i for i, t in rows if t and any(c.isalpha() for c in t))
+    assert known.schema == docs.schema and Counter(r.doc_id for r in known.collect()) == letters
+    clean = stages["toxicity"](spark, docs, SF)
+    assert clean.schema == docs.schema and Counter(r.doc_id for r in clean.collect()) <= Counter(i for i, _ in rows)
+    single = stages["near duplicates"](spark, docs, SF)
+    least = {i: c for i, _, c in brute_components(rows).elements()}
+    assert single.schema == docs.schema
+    assert Counter(r.doc_id for r in single.collect()) == Counter({i for i in least if i is not None and least[i] == i}) + Counter(i for i, _ in rows if i is None)
+    mixed = stages["mixing"](spark, docs, SF)
+    assert mixed.schema == docs.schema and {r.doc_id for r in mixed.collect()} <= {i for i, _ in rows}
+    coded = stages["tokens"](spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in coded) == Counter((i, len(reference_coder.encode_ordinary(t or ""))) for i, t in rows)
+    none = docs.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == "tokens" or out.schema == docs.schema)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from lexforge import session
+    from lexforge.llm import textops
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Cluster:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    for folder in (textops.shared_dir, session.shared_folder):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            folder(Cluster())
