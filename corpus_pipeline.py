@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
 columns of documents.  Between the stages the driver writes the rows and reads them again, as run() does in the shared
-folder.  Rows with null texts have no language and go in the first stage; labels come from sf_dir.
+folder.  Labels come from sf_dir.
+
+Null and empty texts, and those without letters, have no language and go in the first stage; so do all texts where no
+document names a language.  Very long texts go through every stage whole.  Rows with null ids stay where ids decide; of
+rows that repeat an id one stays among near duplicates.  Extra columns, whatever their names, are carried to the last
+stage.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
