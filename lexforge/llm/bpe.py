@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -30,12 +31,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Distinct pieces whose ids a worker remembers: twice so many at most, about 200 bytes each.  When the younger half is
 #: full it becomes the older one, whose pieces go if they are not met again meanwhile.  A piece is remembered when it is
 #: met for the second time, as a table of so many marks tells, which is emptied when half full.
-REMEMBERED = 98_304
+REMEMBERED = 163_840
 MARKS = 1 << 21
 #: Pairs of tokens of which a worker remembers whether they fit; emptied when full.
-PAIRS = 150_000
-#: Bytes of a piece whose table is remembered too, and how many such tables.
-HEAD, HEADS = 5, 8_192
+PAIRS = 262_144
 
 
 class PrefixTable:
@@ -48,32 +47,25 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        """Extends the table; what it already holds stays valid."""
-        rank, reach, known, fits = self.bpe.ranks.get, self.bpe.reach.get, self.bpe.known_fits.get, self.bpe.fits
-        data = self.data = self.data + more
-        last, width = self.last, self.width
-        for end in range(len(last), len(data) + 1):
-            for size in reach(data[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
-                if size > end:
+        """Extends the table; what it already holds stays valid.  An automaton over all tokens names those that end at
+        each byte, longest first; the first one that its prefix's last token lets follow is the last of the longer prefix."""
+        known, fits, last, width = self.bpe.known_fits.get, self.bpe.fits, self.last, self.width
+        old = len(self.data)
+        self.data += more
+        text = self.data.decode("latin-1")
+        last += [-1] * len(more)
+        width += [0] * len(more)
+        done = old - 1
+        for end, (size, token) in self.bpe.endings(text, max(0, old - self.bpe.longest + 1)):
+            if end <= done:
+                continue
+            start = end + 1 - size
+            if start:
+                before = last[start]
+                good = known(before << 20 | token)
+                if not (fits(before, token) if good is None else good):
                     continue
-                token = rank(data[end - size : end])
-                if token is None:
-                    continue
-                if size < end:
-                    before = last[end - size]
-                    good = known(before << 20 | token)
-                    if not (fits(before, token) if good is None else good):
-                        continue
-                last.append(token)
-                width.append(size)
-                break
-
-    def extended(self, more: bytes) -> PrefixTable:
-        """The table of a longer string; this one stays as it is."""
-        longer = PrefixTable.__new__(PrefixTable)
-        longer.bpe, longer.data, longer.last, longer.width = self.bpe, self.data, self.last[:], self.width[:]
-        longer.append(more)
-        return longer
+            last[end + 1], width[end + 1], done = token, size, end
 
     def truncate(self, size: int) -> None:
         """Goes back to the first size bytes."""
@@ -110,11 +102,12 @@ class Bpe:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for data, rank in self.ranks.items():
             self.token[rank] = data
-        self.reach: dict[bytes, list[int]] = {}  # lengths of the tokens of three bytes and more by their last three
-        for data in self.ranks:
-            if len(data) > 2:
-                self.reach.setdefault(data[-3:], []).append(len(data))
-        self.reach = {ending: [*sorted(set(sizes), reverse=True), 2, 1] for ending, sizes in self.reach.items()}
+        self.longest = max(map(len, self.ranks))
+        automaton = ahocorasick.Automaton()
+        for data, rank in self.ranks.items():
+            automaton.add_word(data.decode("latin-1"), (len(data), rank))
+        automaton.make_automaton()
+        self.endings = automaton.iter
         self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.halves: list[tuple[int, int]] = [(-1, -1)] * len(self.token)
         for data, rank in self.ranks.items():
@@ -123,7 +116,6 @@ class Bpe:
         self._memory: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
         self._met, self._marked = bytearray(MARKS), 0
-        self._heads: dict[bytes, PrefixTable] = {}
 
     def _halves(self, data: bytes, rank: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; the token itself, twice, for a byte."""
@@ -166,17 +158,6 @@ class Bpe:
             else:
                 return True
 
-    def table(self, data: bytes) -> PrefixTable:
-        """The prefix table of a piece, grown from that of its first bytes, which many pieces share."""
-        if len(data) <= HEAD:
-            return PrefixTable(self, data)
-        head = self._heads.get(data[:HEAD])
-        if head is None:
-            if len(self._heads) >= HEADS:
-                self._heads.clear()
-            head = self._heads[data[:HEAD]] = PrefixTable(self, data[:HEAD])
-        return head.extended(data[HEAD:])
-
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
         found = self._memory.get(text)
@@ -186,7 +167,7 @@ class Bpe:
         if found is None:
             data = text.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(self.table(data).ids())
+            found = (whole,) if whole is not None else tuple(PrefixTable(self, data).ids())
             at = hash(text) % MARKS
             if not self._met[at]:
                 if 2 * self._marked > MARKS:

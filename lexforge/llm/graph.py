@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .textops import forget, written
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-    return row["n"], row["x"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger node has one smaller neighbour, which has none itself."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("k")).filter("k > 1").select("u")
+    chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return twice.unionByName(chained).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,22 +33,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has a link to another; component is the smallest node of its group.
 
-    Large and small stars in turn; minima are taken with partial aggregation and the joins are inner equi-joins, which
-    adaptive execution splits where a node has very many neighbours.  Each round is a table in the shared folder.
-    Loops, repeated and reversed links are allowed; without links the result is empty.
+    Large and small stars in turn until all that is left are stars; minima are taken with partial aggregation and the
+    joins are inner equi-joins, which adaptive execution splits where a node has very many neighbours.  Each round is a
+    table in the shared folder.  Loops, repeated and reversed links are allowed; without links the result is empty.
     """
     links = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
-    before = _state(links)
-    for _ in range(rounds if before[0] else 0):
+    for _ in range(rounds):
+        if _settled(links):
+            break
         moved = written(_small_star(_large_star(links)), "links")
         forget(links)
-        after, links = _state(moved), moved
-        if after == before:
-            break
-        before = after
+        links = moved
     else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     tops = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 

@@ -251,13 +251,29 @@ def test_bpe_against_library(reference_coder):
 
 
 def test_bpe_remembers_a_bounded_number_of_pieces(monkeypatch, reference_coder):
-    for name, value in (("REMEMBERED", 50), ("MARKS", 64), ("PAIRS", 40), ("HEADS", 5)):
+    for name, value in (("REMEMBERED", 50), ("MARKS", 64), ("PAIRS", 40)):
         monkeypatch.setattr(bpe, name, value)
     coder, rng = bpe.Bpe(), random.Random(12)
     for _ in range(300):
         text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12))) for _ in range(8))
         assert coder.encode(text) == reference_coder.encode_ordinary(text)
-        assert max(len(coder._memory), len(coder._older)) <= 50 and len(coder.known_fits) <= 40 and len(coder._heads) <= 5
+        assert max(len(coder._memory), len(coder._older)) <= 50 and len(coder.known_fits) <= 40
+
+
+def test_tables_grow_as_if_made_whole(reference_coder):
+    coder, rng = bpe.bpe(), random.Random(25)
+    for _ in range(200):
+        data = "".join(rng.choice(["the", "in", "g", " ", "é", "x", "tion", "\n", "a" * 9]) for _ in range(rng.randint(1, 30))).encode()
+        table, at = bpe.PrefixTable(coder), 0
+        while at < len(data):
+            step = rng.randint(1, 12)
+            table.append(data[at : at + step])
+            at += step
+        whole = bpe.PrefixTable(coder, data)
+        assert (table.last, table.width, table.data) == (whole.last, whole.width, whole.data)
+        cut = rng.randrange(len(data))
+        table.truncate(cut)
+        assert table.last == whole.last[: cut + 1] and -1 not in whole.last[1:]
 
 
 def test_encode_texts(spark, reference_coder):
