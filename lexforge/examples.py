@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .functions import cleaning, judgment, lexicons, patterns, similarity, strings, validation
 from .operators import generation, ngram_stats, relational, routing, semantic, social
 from .plans import pipelines
-from .queries import _GRAMS, query, table
+from .queries import _GRAMS, _MEAN, _judged, query, table
+from .queries import _P as _JUDGED
 from .session import scratch
 from .sources import io
 from .streaming import stateful
@@ -572,42 +573,35 @@ def judged(name: str, rows: list[tuple], make: Callable[[], Column], kind: str =
     query(listed([(k, r[2]) for k, r in enumerate(rows)], f"case_id int, result {kind}"))(run)
 
 
-_P, _Q = [0.4, 0.4, 0.2], [0.1, 0.2, 0.7]
+_A, _B = [0.4, 0.4, 0.2], [0.1, 0.2, 0.7]
 _SURE, _EVEN, _NAN = [1.0, 0.0, 0.0], [0.25, 0.5, 0.25], [float("nan")] * 3
-judged("judge_mode_lead", [(_P, _Q, -1.0), (_Q, _P, 1.0), (_P, _P, 0.0)], lambda: judgment.compare_modes("p", "q"))
-judged("judge_split_mode", [(_P, _Q, 0.25), (_Q, _P, 1.0)], lambda: judgment.mode("p", split_ties=True))
-judged("judge_rounded_mean", [([0.5, 0.5, 0.0], _Q, 0.0), (_Q, _P, 1.0), ([0.0, 0.5, 0.5], _P, 1.0)], lambda: judgment.rounded_mean("p"))
-judged("judge_median_lead", [(_P, _Q, -1.0), (_Q, _P, 1.0)], lambda: judgment.compare_medians("p", "q"))
-judged("judge_low_lead", [(_P, _Q, 0.0), ([0.0, 0.5, 0.5], _P, 1.0)], lambda: judgment.compare_lower_percentiles("p", "q"))
-judged("judge_quantile_lead", [(_P, _Q, -0.7), (_P, _P, 0.0), (_SURE, [0.0, 0.0, 1.0], -1.0)], lambda: judgment.compare_quantiles("p", "q"))
+judged("judge_mode_lead", [(_A, _B, -1.0), (_B, _A, 1.0), (_A, _A, 0.0)], lambda: judgment.compare_modes("p", "q"))
+judged("judge_split_mode", [(_A, _B, 0.25), (_B, _A, 1.0)], lambda: judgment.mode("p", split_ties=True))
+judged("judge_rounded_mean", [([0.5, 0.5, 0.0], _B, 0.0), (_B, _A, 1.0), ([0.0, 0.5, 0.5], _A, 1.0)], lambda: judgment.rounded_mean("p"))
+judged("judge_median_lead", [(_A, _B, -1.0), (_B, _A, 1.0)], lambda: judgment.compare_medians("p", "q"))
+judged("judge_low_lead", [(_A, _B, 0.0), ([0.0, 0.5, 0.5], _A, 1.0)], lambda: judgment.compare_lower_percentiles("p", "q"))
+judged("judge_quantile_lead", [(_A, _B, -0.7), (_A, _A, 0.0), (_SURE, [0.0, 0.0, 1.0], -1.0)], lambda: judgment.compare_quantiles("p", "q"))
 # two coins: the mean of even is 0.5, squares from it 0.25 * 0.25 on each side
-judged("judge_deviation", [(_EVEN, _Q, round(0.125**0.5, 6)), (_SURE, _Q, 0.0)], lambda: judgment.deviation("p"))
-judged("judge_semi_deviation", [(_EVEN, _Q, round(0.0625**0.5, 6)), (_SURE, _Q, 0.0)], lambda: judgment.semi_deviation("p"))
+judged("judge_deviation", [(_EVEN, _B, round(0.125**0.5, 6)), (_SURE, _B, 0.0)], lambda: judgment.deviation("p"))
+judged("judge_semi_deviation", [(_EVEN, _B, round(0.0625**0.5, 6)), (_SURE, _B, 0.0)], lambda: judgment.semi_deviation("p"))
 # sure 0 against sure 1: the difference is -1 always; against itself there is nothing to divide by
 judged("judge_risk_averse", [(_SURE, [0.0, 0.0, 1.0], -1.0), (_SURE, _SURE, 0.0)], lambda: judgment.compare_risk_averse("p", "q"))
-judged("judge_ranking", [([0.5, 0.5 + 1e-9], _Q, "0.000 1.000 0.000"), (_NAN, _Q, "0.000 1.000 0.000"), ([0.7, 0.3], _Q, "0.700 0.000 0.300")], lambda: judgment.ranking_distribution("p"), "string")
-judged("judge_scores", [(_P, _Q, "0.000 0.000 0.100 0.200 0.700"), (_Q, _P, "0.400 0.400 0.200 0.000 0.000"), (_NAN, _P, "0.000 0.000 1.000 0.000 0.000")], lambda: judgment.score_difference("p", "q"), "string")
+judged("judge_ranking", [([0.5, 0.5 + 1e-9], _B, "0.000 1.000 0.000"), (_NAN, _B, "0.000 1.000 0.000"), ([0.7, 0.3], _B, "0.700 0.000 0.300")], lambda: judgment.ranking_distribution("p"), "string")
+judged("judge_scores", [(_A, _B, "0.000 0.000 0.100 0.200 0.700"), (_B, _A, "0.400 0.400 0.200 0.000 0.000"), (_NAN, _A, "0.000 0.000 1.000 0.000 0.000")], lambda: judgment.score_difference("p", "q"), "string")
 # the first order is sure of the first option, the second order of its own second one: the same option both times
 _FIRST, _LAST, _TIE = [1.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, 1.0, 0.0]
 for _name, _values in {"mode_s1": (1.0, 0.0, 0.0), "mode_s2": (1.0, 0.0, 0.0), "medi_s1": (1.0, 0.0, 0.0), "medi_s2": (1.0, 0.0, 0.0), "mean_s1": (1.0, 0.0, 0.0), "mean_s2": (1.0, 0.0, 0.0)}.items():
     judged(f"judge_pairwise_{_name}", [(_FIRST, _LAST, _values[0]), (_FIRST, _FIRST, _values[1]), (_TIE, _TIE, _values[2])], lambda n=_name: judgment.pairwise_predictions("p", "q")[n])
 
-_JUDGED = "SELECT vec_id, list_transform(embedding[1:5], lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding[1:5], lambda y: abs(y::DOUBLE)))) AS p, list_transform(embedding[6:10], lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding[6:10], lambda y: abs(y::DOUBLE)))) AS q FROM embeddings"
-_MEAN = "list_sum(list_transform(range(1, 6), lambda i: (i - 1) / 4.0::DOUBLE * {0}[i]))"
-
 
 @query(f"""WITH d AS ({_JUDGED}), m AS (SELECT vec_id, p, q, {_MEAN.format("p")} AS m, {_MEAN.format("q")} AS w FROM d)
   SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 6), lambda i: p[i] * power(m - (i - 1) / 4.0, 2)))), 6)::DOUBLE AS spread, round(sqrt(list_sum(list_transform(range(1, 6), lambda i: p[i] * power(greatest(m - (i - 1) / 4.0, 0), 2)))), 6)::DOUBLE AS below FROM m""")
 def judge_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries import _judged
-
     return _judged(spark, sf_dir).select("vec_id", F.round(judgment.deviation("p"), 6).alias("spread"), F.round(judgment.semi_deviation("p"), 6).alias("below"))
 
 
 @query(f"WITH d AS ({_JUDGED}) SELECT vec_id, sign(list_position(p, list_max(p)) - list_position(q, list_max(q)))::DOUBLE AS lead FROM d")
 def judge_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries import _judged
-
     return _judged(spark, sf_dir).select("vec_id", judgment.compare_modes("p", "q").alias("lead"))
 
 
@@ -616,16 +610,12 @@ def judge_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
   z AS (SELECT y.vec_id, p[i] * q[j] AS w, (i - j) / 4.0::DOUBLE AS g, s.off, s.a - s.b AS gap FROM y JOIN s USING (vec_id)), e AS (SELECT vec_id, any_value(off) AS off, any_value(gap) AS gap, sum(w * abs(g - off)) AS n, sum(w * g * g) AS sq FROM z GROUP BY vec_id)
   SELECT vec_id, round(CASE WHEN n + sqrt(greatest(sq - gap * gap, 0)) > 1e-3 THEN (gap - off) / (n + sqrt(greatest(sq - gap * gap, 0))) ELSE 0 END, 6)::DOUBLE AS lead FROM e""")
 def judge_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries import _judged
-
     return _judged(spark, sf_dir).select("vec_id", F.round(judgment.compare_risk_averse("p", "q"), 6).alias("lead"))
 
 
 @query(f"""WITH d AS ({_JUDGED}), s AS (SELECT vec_id, unnest(list_transform(range(1, 5), lambda i: list_sum(p[1:i]))) AS x, 1 AS d FROM d UNION ALL SELECT vec_id, unnest(list_transform(range(1, 5), lambda i: list_sum(q[1:i]))), -1 FROM d),
   w AS (SELECT vec_id, x - (lag(x) OVER o) AS gap, (sum(d) OVER o) - d AS lead FROM s WINDOW o AS (PARTITION BY vec_id ORDER BY x, d ROWS UNBOUNDED PRECEDING)) SELECT vec_id, round(sum(sign(lead) * coalesce(gap, 0)), 6)::DOUBLE AS lead FROM w GROUP BY vec_id""")
 def judge_quantile_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries import _judged
-
     return _judged(spark, sf_dir).select("vec_id", F.round(judgment.compare_quantiles("p", "q"), 6).alias("lead"))
 
 

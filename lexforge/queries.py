@@ -325,15 +325,17 @@ def merge_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- judgment distributions --------------------------------------------------------------------------------------------
 
-_P = "SELECT vec_id, list_transform(embedding[1:5], lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding[1:5], lambda y: abs(y::DOUBLE)))) AS p, list_transform(embedding[6:10], lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding[6:10], lambda y: abs(y::DOUBLE)))) AS q FROM embeddings"
+# each half of a vector gives a distribution over five labels: the label of a component is its place modulo five
+_SHARES = "list_transform(range(0, 5), lambda i: list_sum(list_transform(list_filter({0}, lambda x, j: (j - 1) % 5 = i), lambda x: abs(x::DOUBLE))) / list_sum(list_transform({0}, lambda x: abs(x::DOUBLE))))"
+_P = f"SELECT vec_id, {_SHARES.format('embedding[1:32]')} AS p, {_SHARES.format('embedding[33:64]')} AS q FROM embeddings"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     def share(start: int):  # noqa: ANN202
-        part = F.transform(F.slice("embedding", start, 5), lambda x: F.abs(x.cast("double")))
-        return F.transform(part, lambda x: x / judgment.total(part))
+        part = F.transform(F.slice("embedding", start, 32), lambda x: F.abs(x.cast("double")))
+        return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: judgment.total(F.filter(part, lambda _, j: j % 5 == i)) / judgment.total(part))
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", share(1).alias("p"), share(6).alias("q"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", share(1).alias("p"), share(33).alias("q"))
 
 
 _MEAN = "list_sum(list_transform(range(1, 6), lambda i: (i - 1) / 4.0::DOUBLE * {0}[i]))"
