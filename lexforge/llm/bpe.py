@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textops import REMEMBERED as REMEMBERED_BY_WORKERS
 from .textops import tidied, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -232,10 +233,13 @@ class Bpe:
 
 @lru_cache(maxsize=4)
 def bpe(path: str = VOCABULARY) -> Bpe:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, until it runs another operator."""
     return Bpe(path)
 
 
+REMEMBERED_BY_WORKERS["bpe"] = bpe.cache_clear
+
+
 def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of every text, and the ids themselves with keep_ids."""
     from pyspark.sql import types as T
@@ -263,7 +267,7 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(tidied(encoded), T.StructType(fields))
+    return docs.select(id_col, text_col).mapInArrow(tidied(encoded, "bpe"), T.StructType(fields))
 
 
 def decode_ids(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -278,7 +282,7 @@ def decode_ids(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids
             texts = [None if x is None else coder.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=out.names)
 
-    return tokens.select(id_col, ids_col).mapInArrow(tidied(decoded), out)
+    return tokens.select(id_col, ids_col).mapInArrow(tidied(decoded, "bpe"), out)
 
 
 def length_histogram(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -292,7 +296,7 @@ def length_histogram(docs: DataFrame, *, text_col: str = "text", vocabulary: str
                 found[n] = found.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
-    return docs.select(text_col).mapInArrow(tidied(counted), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select(text_col).mapInArrow(tidied(counted, "bpe"), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame, *, span: int = 256) -> DataFrame:

@@ -203,10 +203,20 @@ def tidy() -> None:
         _trim()(0)
 
 
-def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """f for mapInArrow, with tidy() after the last batch of a partition."""
+#: How to give up what a worker remembers from partition to partition, by the name of what remembers it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, with tidy() after the last batch of a partition; what the worker remembers for other functions
+    than f is given up before the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [give_up for name, give_up in REMEMBERED.items() if name != keeps]
+        for give_up in others:
+            give_up()
+        if others:
+            tidy()
         try:
             yield from f(batches)
         finally:

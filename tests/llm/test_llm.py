@@ -260,6 +260,17 @@ def test_bpe_remembers_a_bounded_number_of_pieces(monkeypatch, reference_coder):
         assert max(len(coder._memory), len(coder._older)) <= 50 and len(coder.known_fits) <= 40
 
 
+def test_workers_give_up_what_others_remember():
+    from lexforge.llm import textops
+
+    bpe.bpe.cache_clear()
+    for _ in range(3):
+        bpe.bpe()
+    assert bpe.bpe.cache_info().misses == 1
+    assert list(textops.tidied(lambda batches: batches, "bpe")(iter([1]))) == [1] and bpe.bpe.cache_info().currsize == 1
+    assert list(textops.tidied(lambda batches: batches)(iter([1]))) == [1] and bpe.bpe.cache_info().currsize == 0
+
+
 def test_tables_grow_as_if_made_whole(reference_coder):
     coder, rng = bpe.bpe(), random.Random(25)
     for _ in range(200):
